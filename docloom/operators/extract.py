@@ -83,6 +83,9 @@ def _facts(cut: DataFrame, doc: str) -> DataFrame:
     """
     scan = Window.partitionBy(doc, "segment").orderBy("idx")
     back = {f"back{k}": F.lag("text", k).over(scan) for k in range(1, LOOK_BACK + 1)}
+    if "null_text" in cut.columns:
+        back |= {f"back{k}_null": F.lag("null_text", k).over(scan) for k in range(1, LOOK_BACK + 1)}
+        back["following_null"] = F.lead("null_text", 1).over(scan)
     df = cut.withColumns({**back, "following": F.lead("text", 1).over(scan)})
     state = checkbox_state(F.col("back1"), F.col("following"), F.col("text_as_html"))
     df = df.withColumns(
@@ -262,6 +265,8 @@ def annotate_elements(
         F.coalesce(*looked_back, F.lit(UNKNOWN_QUESTION)).alias("looked_back"),
         *[f"back{k}" for k in range(1, LOOK_BACK + 1)],
         "following",
+        *[c for c in marked.columns if c.startswith("back") and c.endswith("_null")],
+        *[c for c in marked.columns if c == "following_null"],
     )
 
 
@@ -304,6 +309,46 @@ def extract_items(
     return items_from_annotated(annotate_elements(elements, doc, segment_rows), doc)
 
 
+def rejected_docs(
+    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """Documents that cannot be extracted, one row each.
+
+    A document is rejected when it is no JSON array of objects, when an element
+    that is looked at lacks its type or metadata, has null markup, or when a
+    neighbour whose label or question is asked for has an explicit null text.
+    """
+    flags = {
+        name: F.col(name) if name in elements.columns else F.lit(False)
+        for name in ("null_text", "null_html", "malformed")
+    }
+    df = annotate_elements(elements.withColumns(flags), doc, segment_rows)
+    boxed = F.col("text_as_html").contains(CHECKBOX_MARK) & ~F.col("is_title")
+    blind = F.col("back1_null") | F.col("following_null")
+    unanswered = F.lit(False)
+    found = F.lit(False)
+    for k in range(1, LOOK_BACK + 1):
+        looked = F.col("idx") - k >= 1
+        unanswered = unanswered | (looked & ~found & F.col(f"back{k}_null"))
+        found = found | (looked & _asks(F.col(f"back{k}")))
+    fails = ~F.col("consumed") & (
+        F.col("malformed")
+        | (F.col("null_html") & ~F.col("is_title"))
+        | (boxed & F.coalesce(blind, F.coalesce("back1_null", "following_null")))
+        | (F.col("answers") & F.col("pending").isNull() & unanswered)
+    )
+    broken = elements.withColumns(flags).filter(F.col("malformed") & F.col("idx").isNull())
+    return df.filter(fails).select(doc).unionByName(broken.select(doc)).distinct()
+
+
+def quarantine_docs(
+    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Elements of the sound documents, and the rejected documents."""
+    rejected = rejected_docs(elements, doc, segment_rows)
+    return elements.join(rejected, doc, "left_anti"), rejected
+
+
 def count_items(items: DataFrame, doc: str = "doc_path") -> DataFrame:
     """Items per document, with a line such as ``3 checkboxs, 1 image``."""
     per_type = items.groupBy(doc, "type").agg(F.count(F.lit(1)).alias("n"))

@@ -90,18 +90,17 @@ def position(
 
 
 def shuffled_position(
-    df: DataFrame, key: str, seed: int, name: str, within: Sequence[str] = (), digits: int = 3
+    df: DataFrame, key: str, seed: int, name: str, digits: int = 5
 ) -> DataFrame:
     """Position in the order of ``md5(seed:key)``: a repeatable shuffle.
 
     The leading hex digits cut md5 order into equal parts whatever the keys look
-    like, and the table of part counts has at most ``16 ** digits`` rows per
-    ``within`` group.
+    like, and the table of part counts has at most ``16 ** digits`` rows.
     """
     digest = seeded_digest(F.col(key), seed)
     return position(
         df.withColumn("shuffle_digest", digest),
-        list(within),
+        [],
         [F.col("shuffle_digest"), F.col(key)],
         [F.substring("shuffle_digest", 1, digits)],
         name,
