@@ -31,7 +31,7 @@ def request_grid(
     return (
         applications.select("application_id", F.explode(checked.scalar()).alias("q"))
         .select(
-            F.explode(F.sequence(F.lit(1), F.lit(runs))).cast("bigint").alias("run"),
+            F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("run"),
             "application_id",
             F.col("q.ordinal").alias("question_id"),
             F.col("q.line").alias("question"),

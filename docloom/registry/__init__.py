@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_THEMES = ("extraction", "texts", "datasets")
+_THEMES = ("extraction", "texts", "datasets", "retrieval", "evaluation", "trainlogs", "files")
 
 
 def _merged(attribute: str) -> dict:

@@ -99,7 +99,7 @@ QUERIES = {
 
 _SPLIT = """
 ordered AS (
-  SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS at, count(*) OVER () AS n
+  SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS pos, count(*) OVER () AS n
   FROM documents)"""
 _HELD = "held AS (SELECT DISTINCT source FROM documents ORDER BY source DESC LIMIT 15)"
 _ONES = "array_to_string(list_transform(range({n}), lambda x: 1), ',')"
@@ -123,12 +123,12 @@ ORACLES = {
       FROM wide""",
     "holdout_groups": f"""WITH {_HELD} SELECT doc_id, source,
       CASE WHEN source IN (SELECT source FROM held) THEN 'eval' ELSE 'train' END AS part FROM documents""",
-    "train_test_split": f"WITH {_SPLIT} SELECT doc_id, at <= ceil(n * CAST(0.01 AS DOUBLE)) AS is_test FROM ordered",
+    "train_test_split": f"WITH {_SPLIT} SELECT doc_id, pos <= ceil(n * CAST(0.01 AS DOUBLE)) AS is_test FROM ordered",
     "make_dataset": f"""WITH {sql.ENCODED}, {_HELD}
       SELECT doc_id, array_to_string(ids[1:{CUT}], ',') AS ids, {_ONES.format(n=f'least(len(ids), {CUT})')} AS mask
       FROM encoded WHERE source NOT IN (SELECT source FROM held)""",
     "dataset_stats": f"""WITH {sql.ENCODED}, {_SPLIT}
-      SELECT CASE WHEN at <= ceil(n * CAST(0.01 AS DOUBLE)) THEN 'test' ELSE 'train' END AS part,
+      SELECT CASE WHEN pos <= ceil(n * CAST(0.01 AS DOUBLE)) THEN 'test' ELSE 'train' END AS part,
         count(*) AS n_rows, CAST(sum(len(ids)) AS BIGINT) AS n_tokens
       FROM encoded JOIN ordered USING (doc_id) GROUP BY 1""",
 }

@@ -150,7 +150,7 @@ def clean(x: str) -> str:
 
 VOCAB = f"""
 tokens AS (
-  SELECT doc_id, source, unnest(range(len(w))) AS at, unnest(w) AS word
+  SELECT doc_id, source, unnest(range(len(w))) AS pos, unnest(w) AS word
   FROM (SELECT doc_id, source, {words("text")} AS w FROM documents)),
 vocab AS (
   SELECT word, n, 3 + row_number() OVER (ORDER BY n DESC, md5(word), word) AS token_id
@@ -160,7 +160,7 @@ ENCODED = f"""{VOCAB},
 encoded AS (
   SELECT d.doc_id, d.source, [2::BIGINT] || coalesce(i.ids, []::BIGINT[]) || [1::BIGINT] AS ids
   FROM documents d LEFT JOIN (
-    SELECT doc_id, list(token_id ORDER BY at) AS ids FROM tokens JOIN vocab USING (word) GROUP BY doc_id
+    SELECT doc_id, list(token_id ORDER BY pos) AS ids FROM tokens JOIN vocab USING (word) GROUP BY doc_id
   ) i ON d.doc_id = i.doc_id)"""
 
 FIXED_CHUNKS = """
