@@ -15,10 +15,10 @@ document) and ``page_present`` (false when the page key is absent).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import WS
 
 SEGMENT_ROWS = 200_000
 
@@ -30,48 +30,56 @@ LOOK_BACK = 4
 DEFAULT_SECTION = "Document Content"
 UNKNOWN_QUESTION = "Unknown question"
 
+# The rules are written as SQL expressions over the element columns.
+_STRIPPED = f"regexp_replace(coalesce(text, ''), r'(?U)^{WS}+|{WS}+$', '')"
+_UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_BACK = [f"back{k}" for k in range(1, LOOK_BACK + 1)]
+
+
+def _is_label(text: str) -> str:
+    return f"{text} IN {LABELS}"
+
+
+def _asks(text: str) -> str:
+    return f"(contains({text}, '?') OR endswith({text}, ':'))"
+
 
 def normalise_elements(elements: DataFrame) -> DataFrame:
     """Stripped non-null text, page 0 where the page key is absent, non-null html."""
-    page = F.col("page_number")
+    page = "page_number"
     if "page_present" in elements.columns:
-        page = F.when(F.col("page_present"), page).otherwise(F.lit(0))
+        page = "CASE WHEN page_present THEN page_number ELSE 0 END"
     return elements.withColumns(
         {
-            "text": strip(F.coalesce(F.col("text"), F.lit(""))),
-            "text_as_html": F.coalesce(F.col("text_as_html"), F.lit("")),
-            "page_number": page.cast("bigint"),
+            "text": F.expr(_STRIPPED),
+            "text_as_html": F.expr("coalesce(text_as_html, '')"),
+            "page_number": F.expr(f"CAST({page} AS BIGINT)"),
         }
     )
 
 
-def _asks(text: Column) -> Column:
-    return text.contains("?") | text.endswith(":")
-
-
-def checkbox_state(previous: Column, following: Column, html: Column) -> Column:
+def checkbox_state(previous: str, following: str, html: str) -> str:
     """Answer of a checkbox from the label before it, else the label after it."""
-    checked = html.contains(CHECKED_MARK)
-    label = F.when(previous.isin(*LABELS), previous).when(following.isin(*LABELS), following)
-    return F.when(
-        html.contains(CHECKBOX_MARK) & label.isNotNull(),
-        F.when(~checked, "unchecked").when(label == "Yes", "checked_yes").otherwise("checked_no"),
+    label = (
+        f"CASE WHEN {_is_label(previous)} THEN {previous} WHEN {_is_label(following)} THEN {following} END"
     )
+    return f"""CASE WHEN contains({html}, '{CHECKBOX_MARK}') THEN
+        CASE WHEN ({label}) IS NULL THEN NULL
+             WHEN NOT contains({html}, '{CHECKED_MARK}') THEN 'unchecked'
+             WHEN ({label}) = 'Yes' THEN 'checked_yes' ELSE 'checked_no' END END"""
 
 
 def _cut(elements: DataFrame, segment_rows: int) -> DataFrame:
     """Give each element its segment, and copies to the neighbours that look at it."""
     if segment_rows <= LOOK_BACK or segment_rows % 2:
         raise ValueError(f"segment_rows must be even and exceed {LOOK_BACK}")
-    place = F.col("idx") % segment_rows
-    home = F.floor(F.col("idx") / segment_rows).cast("bigint")
-    seen_by = F.array(
-        home,
-        F.when((place == 0) & (home > 0), home - 1),
-        F.when(place >= segment_rows - LOOK_BACK, home + 1),
-    )
-    return elements.withColumn("segment", F.explode(F.array_compact(seen_by))).withColumns(
-        {"own": F.col("segment") == home, "place": place}
+    home = f"(idx div {segment_rows})"
+    seen_by = f"""CASE
+        WHEN idx % {segment_rows} = 0 AND idx > 0 THEN array({home} - 1, {home})
+        WHEN idx % {segment_rows} >= {segment_rows - LOOK_BACK} THEN array({home}, {home} + 1)
+        ELSE array({home}) END"""
+    return elements.selectExpr("*", f"explode({seen_by}) AS segment").selectExpr(
+        "*", f"segment = {home} AS own", f"idx % {segment_rows} AS place"
     )
 
 
@@ -81,23 +89,27 @@ def _facts(cut: DataFrame, doc: str) -> DataFrame:
     ``candidate`` marks a label right after a checkbox and ``anchor`` the last
     position that is not one. Halo rows are dropped once they have been read.
     """
-    scan = Window.partitionBy(doc, "segment").orderBy("idx")
-    back = {f"back{k}": F.lag("text", k).over(scan) for k in range(1, LOOK_BACK + 1)}
+    scan = f"OVER (PARTITION BY `{doc}`, segment ORDER BY idx)"
+    near = [f"lag(text, {k}) {scan} AS back{k}" for k in range(1, LOOK_BACK + 1)]
+    near.append(f"lead(text) {scan} AS following")
     if "null_text" in cut.columns:
-        back |= {f"back{k}_null": F.lag("null_text", k).over(scan) for k in range(1, LOOK_BACK + 1)}
-        back["following_null"] = F.lead("null_text", 1).over(scan)
-    df = cut.withColumns({**back, "following": F.lead("text", 1).over(scan)})
-    state = checkbox_state(F.col("back1"), F.col("following"), F.col("text_as_html"))
-    df = df.withColumns(
-        {"state": state, "is_title": F.coalesce(F.col("type") == "Title", F.lit(False))}
-    ).withColumn("is_checkbox", F.col("state").isNotNull() & ~F.col("is_title"))
-    after_box = F.coalesce(F.lag("is_checkbox", 1).over(scan), F.lit(False))
-    df = df.withColumn("candidate", after_box & F.col("text").isin(*LABELS)).filter("own")
-    so_far = scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("anchor", F.max(F.when(~F.col("candidate"), F.col("idx"))).over(so_far))
-
-
-def _consumed(swallowed_in: Column) -> Column:
+        near += [f"lag(null_text, {k}) {scan} AS back{k}_null" for k in range(1, LOOK_BACK + 1)]
+        near.append(f"lead(null_text) {scan} AS following_null")
+    return (
+        cut.selectExpr("*", *near)
+        .selectExpr(
+            "*",
+            f"{checkbox_state('back1', 'following', 'text_as_html')} AS state",
+            "coalesce(type = 'Title', false) AS is_title",
+        )
+        .selectExpr("*", "state IS NOT NULL AND NOT is_title AS is_checkbox")
+        .selectExpr("*", f"coalesce(lag(is_checkbox) {scan}, false) AND {_is_label('text')} AS candidate")
+        .filter("own")
+        .selectExpr("*", f"max(CASE WHEN NOT candidate THEN idx END) {scan[:-1]} {_UP_TO_HERE}) AS anchor")
+    )
+
+
+def _consumed(swallowed_in: str) -> str:
     """Whether the element is a label that the checkbox before it swallows.
 
     A swallowed element is not a checkbox any more, so in a run of candidates
@@ -105,28 +117,13 @@ def _consumed(swallowed_in: Column) -> Column:
     with the segment goes on from ``swallowed_in``, the fate of the element
     before it.
     """
-    in_run = (F.col("idx") - F.col("anchor")) % 2 == 1
-    from_start = (F.col("place") % 2 == 1) == swallowed_in
-    return F.col("candidate") & F.when(F.col("anchor").isNull(), from_start).otherwise(in_run)
-
+    return f"""(candidate AND CASE WHEN anchor IS NULL THEN (place % 2 = 1) = {swallowed_in}
+        ELSE (idx - anchor) % 2 = 1 END)"""
 
-def _opens(consumed: Column) -> Column:
-    return F.col("is_title") & ~consumed
 
-
-def _answers(consumed: Column) -> Column:
-    return F.col("is_checkbox") & ~consumed
-
-
-def _is_text(consumed: Column) -> Column:
-    kind = F.coalesce(F.col("type"), F.lit(""))
-    return (
-        ~consumed
-        & ~F.col("is_checkbox")
-        & ~kind.isin("Title", "Image", "Header")
-        & (F.col("text") != "")
-        & ~F.col("text").isin(*LABELS)
-    )
+def _is_text(consumed: str) -> str:
+    return f"""(NOT {consumed} AND NOT is_checkbox AND coalesce(type, '') NOT IN ('Title', 'Image', 'Header')
+        AND text <> '' AND NOT {_is_label('text')})"""
 
 
 def _left_behind(long: DataFrame, doc: str) -> DataFrame:
@@ -135,62 +132,48 @@ def _left_behind(long: DataFrame, doc: str) -> DataFrame:
     Each segment is summed up for both fates of the element before it. Which one
     holds follows from the last earlier segment that is not one single run of
     candidates; segment length is even, so such runs hand the fate on unchanged.
+    A question before the first section is never pending, so it is not handed on.
     """
-    text, idx = F.col("text"), F.col("idx")
-    in_lead = F.col("candidate") & F.col("anchor").isNull()
     summary = [
-        F.max("is_title").alias("titled"),
-        F.max_by(F.when(~in_lead, _consumed(F.lit(False))), idx).alias("swallowed_end"),
+        "max(is_title) AS titled",
+        f"max_by(CASE WHEN NOT (candidate AND anchor IS NULL) THEN {_consumed('false')} END, idx) AS swallowed_end",
     ]
-    picks = ("title", "title_at", "first_title", "asked", "asked_at", "cleared_at")
-    for fate in (False, True):
-        gone = _consumed(F.lit(fate))
-        opened_at = F.when(_opens(gone), idx)
-        asked_at = F.when(_is_text(gone) & _asks(text), idx)
-        values = (
-            F.max_by(text, opened_at),
-            F.max(opened_at),
-            F.min(opened_at),
-            F.max_by(text, asked_at),
-            F.max(asked_at),
-            F.max(F.when(_answers(gone), idx)),
-        )
-        summary += [v.alias(f"{name}_{fate}") for name, v in zip(picks, values)]
-    earlier = (
-        Window.partitionBy(doc).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    for fate in ("false", "true"):
+        gone = _consumed(fate)
+        opened_at = f"CASE WHEN is_title AND NOT {gone} THEN idx END"
+        asked_at = f"CASE WHEN {_is_text(gone)} AND {_asks('text')} THEN idx END"
+        summary += [
+            f"max_by(text, {opened_at}) AS title_{fate}",
+            f"min({opened_at}) AS first_title_{fate}",
+            f"max_by(text, {asked_at}) AS asked_{fate}",
+            f"max({asked_at}) AS asked_at_{fate}",
+            f"max(CASE WHEN is_checkbox AND NOT {gone} THEN idx END) AS cleared_at_{fate}",
+        ]
+    earlier = f"OVER (PARTITION BY `{doc}` ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = f"OVER (PARTITION BY `{doc}`)"
+    picked = ", ".join(
+        f"CASE WHEN swallowed_in THEN {name}_true ELSE {name}_false END AS {name}"
+        for name in ("title", "first_title", "asked", "asked_at", "cleared_at")
     )
-    whole = Window.partitionBy(doc)
-
-    def last(column: str) -> Column:
-        return F.last(column, ignorenulls=True).over(earlier)
-
-    df = (
+    valid = "NOT titled OR asked_at > first_title"
+    return (
         long.groupBy(doc, "segment")
-        .agg(*summary)
-        .withColumn("swallowed_in", F.coalesce(last("swallowed_end"), F.lit(False)))
-    )
-    df = df.withColumns(
-        {
-            name: F.when(F.col("swallowed_in"), F.col(f"{name}_True")).otherwise(F.col(f"{name}_False"))
-            for name in picks
-        }
-    ).withColumns(
-        {"titled": F.max("titled").over(whole), "first_title": F.min("first_title").over(whole)}
-    )
-    # a question before the first section is never pending
-    counts = ~F.col("titled") | (F.col("asked_at") > F.col("first_title"))
-    df = df.withColumns(
-        {"asked": F.when(counts, F.col("asked")), "asked_at": F.when(counts, F.col("asked_at"))}
-    )
-    return df.select(
-        F.col(doc).alias("in_doc"),
-        F.col("segment").alias("in_segment"),
-        "swallowed_in",
-        F.col("titled").alias("titled_in"),
-        last("title").alias("section_in"),
-        last("asked").alias("asked_in"),
-        last("asked_at").alias("asked_at_in"),
-        last("cleared_at").alias("cleared_at_in"),
+        .agg(*[F.expr(e) for e in summary])
+        .selectExpr("*", f"coalesce(last_value(swallowed_end) IGNORE NULLS {earlier}, false) AS swallowed_in")
+        .selectExpr(f"`{doc}`", "segment", "swallowed_in", "titled", *picked.split(", "))
+        .selectExpr(
+            "* EXCEPT (titled, first_title)", f"max(titled) {whole} AS titled", f"min(first_title) {whole} AS first_title"
+        )
+        .selectExpr(
+            f"`{doc}` AS in_doc",
+            "segment AS in_segment",
+            "swallowed_in",
+            "titled AS titled_in",
+            f"last_value(title) IGNORE NULLS {earlier} AS section_in",
+            f"last_value(CASE WHEN {valid} THEN asked END) IGNORE NULLS {earlier} AS asked_in",
+            f"last_value(CASE WHEN {valid} THEN asked_at END) IGNORE NULLS {earlier} AS asked_at_in",
+            f"last_value(cleared_at) IGNORE NULLS {earlier} AS cleared_at_in",
+        )
     )
 
 
@@ -206,97 +189,66 @@ def annotate_elements(
     if "n_elements" not in df.columns:
         sizes = df.groupBy(doc).agg((F.max("idx") + 1).alias("n_elements"))
         df = df.join(sizes, doc)
-    long = _facts(_cut(df.filter(F.col("n_elements") > segment_rows), segment_rows), doc)
+    long = _facts(_cut(df.filter(f"n_elements > {segment_rows}"), segment_rows), doc)
     received = _left_behind(long, doc)
     cut = _cut(df, segment_rows).join(
-        received,
-        (F.col(doc) == F.col("in_doc")) & (F.col("segment") == F.col("in_segment")),
-        "left",
+        received, F.expr(f"`{doc}` = in_doc AND segment = in_segment"), "left"
     )
-    marked = _facts(cut, doc)
-
-    scan = Window.partitionBy(doc, "segment").orderBy("idx")
-    so_far = scan.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = scan.rowsBetween(Window.unboundedPreceding, -1)
-    segment = Window.partitionBy(doc, "segment")
-    text, idx = F.col("text"), F.col("idx")
-
-    marked = marked.withColumn(
-        "consumed", _consumed(F.coalesce(F.col("swallowed_in"), F.lit(False)))
+    scan = f"PARTITION BY `{doc}`, segment ORDER BY idx"
+    earlier = f"OVER ({scan} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    looked_back = ", ".join(
+        f"CASE WHEN idx - {k} >= 1 AND {_asks(b)} THEN {b} END" for k, b in enumerate(_BACK, start=1)
     )
-    opened = F.when(_opens(F.col("consumed")), text)
-    marked = marked.withColumns(
-        {
-            "answers": _answers(F.col("consumed")),
-            "has_title": F.coalesce("titled_in", F.max("is_title").over(segment)),
-            "section": F.coalesce(F.last(opened, ignorenulls=True).over(so_far), "section_in"),
-        }
-    ).withColumn(
-        "section", F.coalesce("section", F.when(~F.col("has_title"), F.lit(DEFAULT_SECTION)))
-    )
-    marked = marked.withColumn(
-        "is_text", _is_text(F.col("consumed")) & F.col("section").isNotNull()
-    )
-    asking = F.col("is_text") & _asks(text)
-    marked = marked.withColumns(
-        {
-            "asked_at": F.last(F.when(asking, idx), ignorenulls=True).over(earlier),
-            "asked": F.last(F.when(asking, text), ignorenulls=True).over(earlier),
-            "cleared_at": F.last(F.when(F.col("answers"), idx), ignorenulls=True).over(earlier),
-        }
+    asking = f"is_text AND {_asks('text')}"
+    marked = (
+        _facts(cut, doc)
+        .selectExpr("*", f"{_consumed('coalesce(swallowed_in, false)')} AS consumed")
+        .selectExpr(
+            "*",
+            "is_checkbox AND NOT consumed AS answers",
+            f"coalesce(titled_in, max(is_title) OVER (PARTITION BY `{doc}`, segment)) AS has_title",
+            f"coalesce(last_value(CASE WHEN is_title AND NOT consumed THEN text END) IGNORE NULLS"
+            f" OVER ({scan} {_UP_TO_HERE}), section_in) AS open_section",
+        )
+        .selectExpr("*", f"coalesce(open_section, CASE WHEN NOT has_title THEN '{DEFAULT_SECTION}' END) AS section")
+        .selectExpr("*", f"section IS NOT NULL AND {_is_text('consumed')} AS is_text")
+        .selectExpr(
+            "*",
+            f"coalesce(last_value(CASE WHEN {asking} THEN idx END) IGNORE NULLS {earlier}, asked_at_in) AS asked_at",
+            f"coalesce(last_value(CASE WHEN {asking} THEN text END) IGNORE NULLS {earlier}, asked_in) AS asked",
+            f"coalesce(last_value(CASE WHEN answers THEN idx END) IGNORE NULLS {earlier}, cleared_at_in, -1) AS cleared_at",
+        )
     )
-    asked_at = F.coalesce("asked_at", "asked_at_in")
-    cleared_at = F.coalesce("cleared_at", "cleared_at_in", F.lit(-1))
-    looked_back = [
-        F.when((idx - k >= 1) & _asks(F.col(f"back{k}")), F.col(f"back{k}"))
-        for k in range(1, LOOK_BACK + 1)
+    kept = [
+        *df.columns, "state", "is_title", "is_checkbox", "consumed", "answers", "has_title", "section", "is_text",
+        *_BACK, "following", *[c for c in marked.columns if c.endswith("_null")],
     ]
-    return marked.select(
-        *df.columns,
-        "state",
-        "is_title",
-        "is_checkbox",
-        "consumed",
-        "answers",
-        "has_title",
-        "section",
-        "is_text",
-        F.when(asked_at > cleared_at, F.coalesce("asked", "asked_in")).alias("pending"),
-        F.coalesce(*looked_back, F.lit(UNKNOWN_QUESTION)).alias("looked_back"),
-        *[f"back{k}" for k in range(1, LOOK_BACK + 1)],
-        "following",
-        *[c for c in marked.columns if c.startswith("back") and c.endswith("_null")],
-        *[c for c in marked.columns if c == "following_null"],
+    return marked.selectExpr(
+        *[f"`{c}`" for c in kept],
+        "CASE WHEN asked_at > cleared_at THEN asked END AS pending",
+        f"coalesce({looked_back}, '{UNKNOWN_QUESTION}') AS looked_back",
     )
 
 
 def items_from_annotated(annotated: DataFrame, doc: str = "doc_path") -> DataFrame:
     """One row per item in document order: checkbox, image or text."""
-    text = F.col("text")
-    inside = F.col("section").isNotNull() & ~F.col("consumed")
-    titled = inside & F.col("is_title") & (text != "")
-    boxed = inside & F.col("answers")
-    plain = inside & ~F.col("is_title") & ~F.col("answers")
-    pictured = plain & F.coalesce(F.col("type") == "Image", F.lit(False))
-    headed = plain & F.coalesce(F.col("type") == "Header", F.lit(False)) & (text != "")
-    kind = (
-        F.when(boxed, "checkbox")
-        .when(pictured, "image")
-        .when(titled | headed | F.col("is_text"), "text")
-    )
-    value = F.when(F.col("state") == "checked_yes", F.lit(True)).when(
-        F.col("state") == "checked_no", F.lit(False)
-    )
+    kind = """CASE WHEN answers THEN 'checkbox'
+        WHEN is_title THEN CASE WHEN text <> '' THEN 'text' END
+        WHEN type = 'Image' THEN 'image'
+        WHEN type = 'Header' THEN CASE WHEN text <> '' THEN 'text' END
+        WHEN is_text THEN 'text' END"""
     return (
-        annotated.withColumn("item", kind)
-        .filter(F.col("item").isNotNull())
-        .select(
-            doc,
+        annotated.filter("section IS NOT NULL AND NOT consumed")
+        .selectExpr("*", f"{kind} AS item")
+        .filter("item IS NOT NULL")
+        .selectExpr(
+            f"`{doc}`",
             "idx",
-            F.col("item").alias("type"),
-            F.when(F.col("item") == "checkbox", F.coalesce("pending", "looked_back")).alias("question"),
-            F.when(F.col("item") == "text", text).alias("value_text"),
-            F.when(F.col("item") == "checkbox", value).alias("value_bool"),
+            "item AS type",
+            "CASE WHEN item = 'checkbox' THEN coalesce(pending, looked_back) END AS question",
+            "CASE WHEN item = 'text' THEN text END AS value_text",
+            "CASE WHEN item = 'checkbox' THEN CASE state WHEN 'checked_yes' THEN true WHEN 'checked_no' THEN false END"
+            " END AS value_bool",
             "section",
             "page_number",
         )
@@ -323,20 +275,14 @@ def rejected_docs(
         for name in ("null_text", "null_html", "malformed")
     }
     df = annotate_elements(elements.withColumns(flags), doc, segment_rows)
-    boxed = F.col("text_as_html").contains(CHECKBOX_MARK) & ~F.col("is_title")
-    blind = F.col("back1_null") | F.col("following_null")
-    unanswered = F.lit(False)
-    found = F.lit(False)
-    for k in range(1, LOOK_BACK + 1):
-        looked = F.col("idx") - k >= 1
-        unanswered = unanswered | (looked & ~found & F.col(f"back{k}_null"))
-        found = found | (looked & _asks(F.col(f"back{k}")))
-    fails = ~F.col("consumed") & (
-        F.col("malformed")
-        | (F.col("null_html") & ~F.col("is_title"))
-        | (boxed & F.coalesce(blind, F.coalesce("back1_null", "following_null")))
-        | (F.col("answers") & F.col("pending").isNull() & unanswered)
-    )
+    unanswered, seen = [], []
+    for k, b in enumerate(_BACK, start=1):
+        unanswered.append(" AND ".join([f"idx - {k} >= 1", f"{b}_null", *[f"NOT {_asks(s)}" for s in seen]]))
+        seen.append(b)
+    fails = f"""NOT consumed AND (malformed OR (null_html AND NOT is_title)
+        OR (contains(text_as_html, '{CHECKBOX_MARK}') AND NOT is_title
+            AND (coalesce(back1_null, false) OR coalesce(following_null, false)))
+        OR (answers AND pending IS NULL AND ({" OR ".join(f"({u})" for u in unanswered)})))"""
     broken = elements.withColumns(flags).filter(F.col("malformed") & F.col("idx").isNull())
     return df.filter(fails).select(doc).unionByName(broken.select(doc)).distinct()
 

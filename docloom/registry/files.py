@@ -35,7 +35,7 @@ def _element_files(spark: SparkSession, d: str) -> str:
         F.to_json(F.sort_array(F.collect_list(element))).alias("content")
     )
     folder = work_folder(spark, "elements")
-    docs.write.partitionBy("application", "doc").text(folder)
+    docs.repartition(8, "doc").write.partitionBy("application", "doc").text(folder)
     return folder
 
 
@@ -68,7 +68,7 @@ def read_item_docs(spark, d):
         "doc", F.concat(F.lit("["), F.array_join("lines.json", ","), F.lit("]")).alias("content")
     )
     folder = work_folder(spark, "items")
-    docs.write.partitionBy("doc").text(folder)
+    docs.repartition(8, "doc").write.partitionBy("doc").text(folder)
     read = sources.read_item_docs(spark, folder, PART)
     return read.select(
         _doc_of("doc_path").alias("doc_id"), "type", "question", "value_text", "value_bool", "section", "page_number"
@@ -159,7 +159,7 @@ def write_report_csv(spark, d):
 
 
 def upsert_chunks(spark, d):
-    """Chunks of labelled documents first, then all chunks in capitals: the first ones stay."""
+    """Chunks of labelled documents first, then all chunks with a mark: the first ones stay."""
     docs = spread(documents(spark, d).select("doc_id", "source", "text"))
     every = C.chunk_fixed(docs, "doc_id").withColumn(
         "chunk_id", F.concat_ws("_", F.lit("md"), F.col("doc_id").cast("string"), F.col("chunk").cast("string"))
@@ -167,7 +167,7 @@ def upsert_chunks(spark, d):
     first = every.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     path = work_folder(spark, "collection")
     sinks.upsert_chunks(first, path)
-    sinks.upsert_chunks(every.withColumn("document", F.upper("document")), path)
+    sinks.upsert_chunks(every.withColumn("document", F.concat(F.lit("later "), "document")), path)
     return spark.read.parquet(path).select("chunk_id", F.md5("document").alias("digest"))
 
 
@@ -231,7 +231,7 @@ ORACLES = {
       printf('%.2f', CASE WHEN length(answer) > 0 THEN {n_words('answer')} / (length(answer) / 50.0::DOUBLE) ELSE 0 END) AS throughput
       FROM pairs""",
     "upsert_chunks": f"""WITH {sql.FIXED_CHUNKS} SELECT 'md_' || doc_id || '_' || chunk AS chunk_id,
-      md5(CASE WHEN {_LABELLED} THEN document ELSE upper(document) END) AS digest FROM fixed""",
+      md5(CASE WHEN {_LABELLED} THEN document ELSE 'later ' || document END) AS digest FROM fixed""",
     "stream_token_speed": SPEED,
     "stream_ingest_docs": f"""WITH {sql.ITEMS}
       SELECT doc_id, idx, type, question, value_text, value_bool, section, page_number FROM items""",

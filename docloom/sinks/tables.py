@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Decimals of the report columns.
 REPORT_DECIMALS = {
@@ -47,11 +49,21 @@ def append_metrics_csv(records: DataFrame, folder: str) -> None:
     records.write.mode("append").option("header", True).option("escape", '"').csv(folder)
 
 
+def _fixed(places: int):
+    """Python's fixed notation: rounds the exact binary value, which Java's does not."""
+
+    @F.pandas_udf(StringType())
+    def fixed(value: pd.Series) -> pd.Series:
+        return value.map(lambda v: f"{v:.{places}f}", na_action="ignore")
+
+    return fixed
+
+
 def report_columns(records: DataFrame, decimals: Mapping[str, int] = REPORT_DECIMALS) -> DataFrame:
     """Fixed-decimal text for the rounded columns; a null stays empty."""
     return records.withColumns(
         {
-            name: F.when(F.col(name).isNotNull(), F.format_string(f"%.{places}f", F.col(name)))
+            name: _fixed(places)(F.col(name).cast("double"))
             for name, places in decimals.items()
             if name in records.columns
         }
