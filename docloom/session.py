@@ -46,5 +46,4 @@ def work_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
