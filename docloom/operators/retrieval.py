@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.metrics import dot, norm, squared_l2
 from docloom.functions.prompts import parse_rank_score
+from docloom.plans.stored import stored
 
 # Hits kept by distance; chunks kept after reranking per model flavour.
 N_HITS = 20
@@ -101,7 +102,7 @@ def knn_lsh(
         F.col("datasetA.chunk_id").alias("chunk_id"),
         (F.col("l2") * F.col("l2")).alias("distance"),
     )
-    top = _top(near, k)
+    top = stored(_top(near, k), "nearest")
     served = top.filter(F.col("rank") == k).select("query_id")
     rest = queries.join(served, "query_id", "left_anti")
     filled = knn_join(rest, chunks, k, "l2", "global")

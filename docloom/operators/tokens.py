@@ -39,7 +39,7 @@ def build_vocab(lines: DataFrame, text: str = "input") -> DataFrame:
         .withColumn("digest", F.md5("word"))
     )
     by_frequency = [-F.col("n"), F.col("digest"), F.col("word")]
-    rare = F.when(F.col("n") < 1000, F.substring("digest", 1, 2)).otherwise("")
+    rare = F.when(F.col("n") < 100, F.substring("digest", 1, 3)).otherwise("")
     ranked = position(counts, [], by_frequency, [-F.col("n"), rare], "rank")
     return ranked.select("word", "n", (F.col("rank") + (FIRST_WORD_ID - 1)).alias("token_id"))
 

@@ -8,6 +8,7 @@ from docloom.functions.arrays import attention_mask as mask_of
 from docloom.functions.arrays import truncate_ids as cut
 from docloom.operators import dataset as D
 from docloom.operators import tokens as K
+from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.tables import documents, spread
 
@@ -25,8 +26,8 @@ def _shown(ids):
 
 def _rows(spark, d):
     docs = _docs(spark, d)
-    ids = K.encode_tokens(docs, K.build_vocab(docs, "text"), ["doc_id", "source"], "text")
-    return ids
+    vocab = stored(K.build_vocab(docs, "text"), "vocab")
+    return stored(K.encode_tokens(docs, vocab, ["doc_id", "source"], "text"), "tokens")
 
 
 def build_vocab(spark, d):
@@ -36,7 +37,8 @@ def build_vocab(spark, d):
 def encode_tokens(spark, d):
     """With a small head, so that both ways of looking a word up are taken."""
     docs = _docs(spark, d)
-    rows = K.encode_tokens(docs, K.build_vocab(docs, "text"), ["doc_id"], "text", head_words=500)
+    vocab = stored(K.build_vocab(docs, "text"), "vocab")
+    rows = K.encode_tokens(docs, vocab, ["doc_id"], "text", head_words=500)
     return rows.select("doc_id", _shown(F.col("input_ids")).alias("ids"))
 
 

@@ -9,6 +9,7 @@ from docloom.functions.compose import compose_input
 from docloom.operators import extract as X
 from docloom.operators import items as I
 from docloom.operators.audit import corpus_audit
+from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.tables import documents, elements, table
 
@@ -80,7 +81,7 @@ def count_items(spark, d):
 
 
 def quarantine_docs(spark, d):
-    e = elements(spark, d).withColumn("null_text", F.col("text").isNull())
+    e = stored(elements(spark, d).withColumn("null_text", F.col("text").isNull()), "elements")
     sound, rejected = X.quarantine_docs(e, DOC)
     per_doc = sound.groupBy(DOC).agg(F.count(F.lit(1)).alias("n_elements"))
     return per_doc.withColumn("rejected", F.lit(False)).unionByName(
@@ -99,11 +100,11 @@ def nonempty_after_clean(spark, d):
 
 
 def order_by_type(spark, d):
-    return I.order_by_type(typed(spark, d), DOC).select("doc_id", "idx", "type", "out_idx")
+    return I.order_by_type(stored(typed(spark, d), "items"), DOC).select("doc_id", "idx", "type", "out_idx")
 
 
 def union_typed(spark, d):
-    rows = typed(spark, d)
+    rows = stored(typed(spark, d), "items")
 
     def kind(name, *columns):
         return rows.filter(F.col("type") == name).select("doc_id", "idx", "type", "section", *columns)
@@ -135,7 +136,7 @@ def empty_doc_line(spark, d):
 
 
 def audit(spark, d):
-    return corpus_audit(table(spark, d, "labels"), documents(spark, d), items(spark, d), DOC)
+    return corpus_audit(table(spark, d, "labels"), documents(spark, d), stored(items(spark, d), "items"), DOC)
 
 
 def flagship(spark, d):

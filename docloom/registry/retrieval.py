@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
+from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.tables import documents, table
 
@@ -31,7 +32,7 @@ def hits(spark, d) -> DataFrame:
 
 
 def scored(spark, d) -> DataFrame:
-    found = hits(spark, d)
+    found = stored(hits(spark, d), "hits")
     asked = F.concat(F.col("query_id").cast("string"), F.lit(":"), F.col("chunk_id").cast("string"))
     replies = found.select(
         "query_id", "chunk_id", F.concat(F.lit("Score: "), F.substring(F.md5(asked), 1, 3)).alias("reply")
@@ -53,9 +54,9 @@ def knn_join_global(spark, d):
 
 def knn_lsh(spark, d):
     """Hits per query, and how many of them the exact search finds too."""
-    asked, stored = centroids(spark, d), chunks(spark, d)
-    near = R.knn_lsh(asked, stored)
-    exact = R.knn_join(asked, stored, scope="global").select("query_id", "chunk_id", F.lit(1).alias("exact"))
+    asked, every = stored(centroids(spark, d), "centroids"), chunks(spark, d)
+    near = R.knn_lsh(asked, every)
+    exact = R.knn_join(asked, every, scope="global").select("query_id", "chunk_id", F.lit(1).alias("exact"))
     return near.join(exact, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_hits"), F.count("exact").alias("n_exact")
     )

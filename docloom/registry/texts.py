@@ -8,6 +8,7 @@ from docloom.functions import prompts as P
 from docloom.functions import text as T
 from docloom.operators import chunks as C
 from docloom.operators.items import skip_blank as keep_spoken
+from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.tables import documents, spread, table
 from docloom.sources import path_parts as parts_of
@@ -148,7 +149,8 @@ def chunk_fixed(spark, d):
 
 
 def number_chunks(spark, d):
-    return C.number_chunks(C.chunk_fixed(_docs(spark, d), "doc_id"), "doc_id").select(
+    chunks = stored(C.chunk_fixed(_docs(spark, d), "doc_id"), "chunks")
+    return C.number_chunks(chunks, "doc_id").select(
         "doc_id", "chunk", "chunk_id"
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import trainlog as L
 from docloom.plans.segments import position
+from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.tables import table
 
@@ -17,7 +18,7 @@ def log(spark, d) -> DataFrame:
         F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("loss")
     )
     numbered = position(events, ["run"], [F.col("ts"), F.col("event_id")], [day], "eval")
-    return numbered.withColumn("step", F.floor(F.col("eval") * 2 / 3).cast("bigint"))
+    return stored(numbered.withColumn("step", F.floor(F.col("eval") * 2 / 3).cast("bigint")), "log")
 
 
 def tokens_per_second(spark, d):
