@@ -21,5 +21,5 @@ def attention_mask(ids: Column) -> Column:
 
 def padded(values: Column, width: Column, filler: int) -> Column:
     """``values`` as bigint, cut or filled up to ``width``."""
-    cut = F.slice(values.cast("array<bigint>"), F.lit(1), width)
+    cut = F.slice(values, F.lit(1), width).cast("array<bigint>")
     return F.concat(cut, F.array_repeat(F.lit(filler).cast("bigint"), (width - F.size(cut)).cast("int")))

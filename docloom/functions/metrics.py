@@ -71,9 +71,10 @@ def reading_ease(text: Column) -> Column:
     ease = (
         F.lit(EASE_BASE)
         - F.lit(EASE_PER_SENTENCE_WORD) * (words / sentences)
-        - F.lit(EASE_PER_SYLLABLE) * (syllable_count(text) / words)
+        - F.lit(EASE_PER_SYLLABLE) * F.try_divide(syllable_count(text), words)
     )
-    return F.when(words > 0, ease).otherwise(F.lit(0.0))
+    # no CASE around it: the counts are shared between their uses only outside of one
+    return F.coalesce(ease, F.lit(0.0))
 
 
 def readability(text: Column) -> dict[str, Column]:

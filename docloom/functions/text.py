@@ -93,9 +93,14 @@ def strip_html(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"""</?[A-Za-z!?](?:[^<>"']++|"[^"]*"|'[^']*')*+>""", " ")
+    out = F.when(text.contains("<"), out).otherwise(text)
+    return F.when(text.contains("&"), _decoded(out)).otherwise(out)
+
+
+def _decoded(text: Column) -> Column:
     for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def _redecode(run: str) -> str:
@@ -168,10 +173,12 @@ def survives_cleaning(text: Column) -> Column:
 
     Of the Unicode repairs only one can empty a string: wrongly decoded
     whitespace or control characters turning back into what they were. Those
-    sequences are removed here by pattern.
+    sequences are removed here by pattern. Most texts are settled by holding
+    a visible ASCII character and no markup.
     """
     bare = F.regexp_replace(strip_html(missing_token(text)), _GARBLED_BLANK, "")
-    return collapse_ws(strip_controls(bare)) != ""
+    plain = text.rlike("[!-~]") & ~text.contains("<") & ~text.contains("&")
+    return F.when(plain, F.lit(True)).otherwise(collapse_ws(strip_controls(bare)) != "")
 
 
 def mask_references(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.plans.segments import position
+from docloom.plans.lookup import lookup
 
 # Fixed values of the splitter.
 CHUNK_SIZE = 2000
@@ -129,7 +129,7 @@ def number_chunks(
     """
     per_doc = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))
     placed = _running_start(per_doc, key, digits)
-    return chunks.join(placed, key).withColumn(
+    return lookup(chunks, placed, [key], ["chunk"]).withColumn(
         "chunk_id", F.concat(F.lit(prefix), (F.col("start") + F.col("chunk")).cast("string"))
     ).drop("start")
 

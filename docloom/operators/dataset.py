@@ -44,31 +44,31 @@ def train_test_split(
     if ratio == 0:
         return rows.withColumn("is_test", F.lit(False))
     digest = seeded_digest(F.col(key), seed)
-    prefix = F.substring("digest", 1, digits)
-    digests = rows.select(digest.alias("digest")).withColumn("prefix", prefix)
+    prefix = F.substring("_digest", 1, digits)
+    digests = rows.select(digest.alias("_digest")).withColumn("_prefix", prefix)
     everything = Window.partitionBy(F.lit(0))
-    earlier = everything.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.ceil(F.sum("size").over(everything) * F.lit(ratio))
+    earlier = everything.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.ceil(F.sum("_size").over(everything) * F.lit(ratio))
     prefixes = (
-        digests.groupBy("prefix")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .select("prefix", "size", (wanted - F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("take"))
+        digests.groupBy("_prefix")
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .select("_prefix", "_size", (wanted - F.coalesce(F.sum("_size").over(earlier), F.lit(0))).alias("_take"))
     )
-    border = prefixes.filter((F.col("take") > 0) & (F.col("take") < F.col("size")))
+    border = prefixes.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_size")))
     stop = (
-        digests.join(F.broadcast(border), "prefix")
-        .withColumn("at", F.row_number().over(Window.partitionBy("prefix").orderBy("digest")))
-        .filter(F.col("at") == F.col("take"))
-        .select("prefix", F.col("digest").alias("stop"))
+        digests.join(F.broadcast(border), "_prefix")
+        .withColumn("at", F.row_number().over(Window.partitionBy("_prefix").orderBy("_digest")))
+        .filter(F.col("at") == F.col("_take"))
+        .select("_prefix", F.col("_digest").alias("_stop"))
     )
-    rule = prefixes.join(stop, "prefix", "left")
-    taken = F.when(F.col("stop").isNotNull(), F.col("digest") <= F.col("stop")).otherwise(F.col("take") > 0)
+    rule = prefixes.join(stop, "_prefix", "left")
+    taken = F.when(F.col("_stop").isNotNull(), F.col("_digest") <= F.col("_stop")).otherwise(F.col("_take") > 0)
     return (
-        rows.withColumn("digest", digest)
-        .withColumn("prefix", prefix)
-        .join(F.broadcast(rule), "prefix")
+        rows.withColumn("_digest", digest)
+        .withColumn("_prefix", prefix)
+        .join(F.broadcast(rule), "_prefix")
         .withColumn("is_test", taken)
-        .drop("digest", "prefix", "size", "take", "stop")
+        .drop("_digest", "_prefix", "_size", "_take", "_stop")
     )
 
 

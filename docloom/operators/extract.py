@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import WS
+from docloom.plans.lookup import lookup
 
 SEGMENT_ROWS = 200_000
 
@@ -188,7 +189,7 @@ def annotate_elements(
     df = normalise_elements(elements)
     if "n_elements" not in df.columns:
         sizes = df.groupBy(doc).agg((F.max("idx") + 1).alias("n_elements"))
-        df = df.join(sizes, doc)
+        df = lookup(df, sizes, [doc], ["idx"])
     long = _facts(_cut(df.filter(f"n_elements > {segment_rows}"), segment_rows), doc)
     received = _left_behind(long, doc)
     cut = _cut(df, segment_rows).join(

@@ -93,11 +93,11 @@ def knn_lsh(
     from pyspark.ml.functions import array_to_vector
 
     asked = queries.select("query_id", array_to_vector("embedding").alias("vector"))
-    stored = chunks.select("chunk_id", array_to_vector("embedding").alias("vector"))
+    held = chunks.select("chunk_id", array_to_vector("embedding").alias("vector"))
     model = BucketedRandomProjectionLSH(
         inputCol="vector", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(stored)
-    near = model.approxSimilarityJoin(stored, asked, float("inf"), distCol="l2").select(
+    ).fit(held)
+    near = model.approxSimilarityJoin(held, asked, float("inf"), distCol="l2").select(
         F.col("datasetB.query_id").alias("query_id"),
         F.col("datasetA.chunk_id").alias("chunk_id"),
         (F.col("l2") * F.col("l2")).alias("distance"),

@@ -171,11 +171,11 @@ def score_answers_hosted(answers: DataFrame, gold: DataFrame, vectors: DataFrame
     vectors an embedding model gave. A request without gold has accuracy null.
     """
     best = gold.groupBy(*REQUEST).agg(F.max_by("gold_vec_id", "ordinal").alias("gold_vec_id"))
-    judged = lookup(answers, best, REQUEST, [key])
-    by_answer = vectors.select(F.col("vec_id").alias("answer_vec_id"), F.col("embedding"))
     by_gold = vectors.select(F.col("vec_id").alias("gold_vec_id"), F.col("embedding").alias("gold_vec"))
-    judged = lookup(judged, by_answer, ["answer_vec_id"], [key])
-    judged = lookup(judged, by_gold, ["gold_vec_id"], [key])
+    known = best.join(by_gold, "gold_vec_id").drop("gold_vec_id")
+    # both sides are large here: adaptive execution splits a vector many answers share
+    by_answer = vectors.select(F.col("vec_id").alias("answer_vec_id"), F.col("embedding"))
+    judged = lookup(answers, known, REQUEST, [key]).join(by_answer, "answer_vec_id", "left")
     answer = F.col("answer")
     scored = judged.withColumns(
         {
@@ -187,5 +187,5 @@ def score_answers_hosted(answers: DataFrame, gold: DataFrame, vectors: DataFrame
                 F.col("gold_vec").isNotNull(), M.embedding_cosine(F.col("embedding"), F.col("gold_vec"))
             ),
         }
-    ).drop("gold_vec", "gold_vec_id", "answer_vec_id")
+    ).drop("gold_vec", "answer_vec_id")
     return consistency(scored, [key]).drop("embedding")

@@ -56,7 +56,9 @@ def encode_tokens(
 
     ``keys`` identify a line. Frequent words are found by a bounded broadcast,
     only the rest is shuffled to be looked up; words outside the vocabulary get
-    the unknown id. Per line the ids are packed before they are shuffled back.
+    the unknown id. Per line the ids are packed before they are shuffled back. No
+    known word of the shuffled part can be hot; should an unknown one be, adaptive
+    execution splits it, since nothing is aggregated by word here.
     """
     limit = FIRST_WORD_ID + head_words
     head = vocab.filter(F.col("token_id") < limit).select(
@@ -65,23 +67,23 @@ def encode_tokens(
     tail = vocab.filter(F.col("token_id") >= limit).select(
         F.col("word").alias("tail_word"), F.col("token_id").alias("tail_id")
     )
-    tokens = lines.select(*keys, F.posexplode_outer(words(F.col(text))).alias("at", "word"))
+    tokens = lines.select(*keys, F.posexplode_outer(words(F.col(text))).alias("token_at", "word"))
     tried = tokens.join(F.broadcast(head), F.col("word") == F.col("head_word"), "left")
     # a line without words stays here with a null position
     settled = F.col("head_id").isNotNull() | F.col("word").isNull()
-    found = tried.filter(settled).select(*keys, "at", F.col("head_id").alias("id"))
+    found = tried.filter(settled).select(*keys, "token_at", F.col("head_id").alias("found_id"))
     others = (
         tried.filter(~settled)
         .join(tail, F.col("word") == F.col("tail_word"), "left")
-        .select(*keys, "at", F.coalesce("tail_id", F.lit(UNKNOWN_ID)).alias("id"))
+        .select(*keys, "token_at", F.coalesce("tail_id", F.lit(UNKNOWN_ID)).alias("found_id"))
     )
-    token = F.when(F.col("at").isNotNull(), F.struct("at", F.col("id").cast("int").alias("id")))
+    token = F.when(F.col("at").isNotNull(), F.struct("token_at", F.col("id").cast("int").alias("id")))
     placed = (
         found.unionByName(others)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(token)).alias("placed"))
     )
-    ids = F.concat(F.array(F.lit(BOS_ID)), F.col("placed.id"), F.array(F.lit(EOS_ID)))
+    ids = F.concat(F.array(F.lit(BOS_ID)), F.col("placed.token"), F.array(F.lit(EOS_ID)))
     out = placed.select(*keys, ids.alias("input_ids"))
     return out.withColumn("attention_mask", attention_mask(F.col("input_ids"))) if with_mask else out
 
@@ -96,12 +98,12 @@ def make_batches(
     """
     if seed is None:
         cut = F.floor(F.col(key) / block).cast("bigint")
-        numbered = position(rows, [], [F.col(key)], [cut], "row_at")
+        numbered = position(rows, [], [F.col(key)], [cut], "_row_at")
     else:
-        numbered = shuffled_position(rows, key, seed, "row_at")
+        numbered = shuffled_position(rows, key, seed, "_row_at")
     return numbered.withColumn(
-        "batch_id", F.floor((F.col("row_at") - 1) / batch_size).cast("bigint")
-    ).drop("row_at")
+        "batch_id", F.floor((F.col("_row_at") - 1) / batch_size).cast("bigint")
+    ).drop("_row_at")
 
 
 def pad_batch(
@@ -117,11 +119,11 @@ def pad_batch(
     """
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
     width = longest if max_length is None else F.least(longest, F.lit(max_length))
-    size = F.col("width")
-    return rows.withColumn("width", width).withColumns(
+    size = F.col("_width")
+    return rows.withColumn("_width", width).withColumns(
         {
             "input_ids": padded(F.col("input_ids"), size, pad_id),
             "attention_mask": padded(F.col("attention_mask"), size, 0),
             "labels": padded(F.col("input_ids"), size, IGNORED_LABEL),
         }
-    ).drop("width")
+    ).drop("_width")

@@ -20,6 +20,6 @@ def lookup(
     is a function of the data, so a recomputed task sends its rows the same way.
     Where ``facts`` is small enough Spark broadcasts it and nothing is shuffled.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "salt"], "left").drop("salt")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], "left").drop("_salt")

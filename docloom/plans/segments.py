@@ -67,7 +67,7 @@ def position(
     earlier segments. With no keys the numbering is global; the table of segment
     counts is then the only thing one task sees as a whole.
     """
-    seg = [f"seg{i}" for i in range(len(segment))]
+    seg = [f"_seg{i}" for i in range(len(segment))]
     tagged = df.select("*", *[e.alias(s) for e, s in zip(segment, seg)])
     grain = [*keys, *seg]
     earlier = (
@@ -75,17 +75,17 @@ def position(
         .orderBy(*seg)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = tagged.groupBy(*grain).agg(F.count(F.lit(1)).alias("seg_rows"))
+    counts = tagged.groupBy(*grain).agg(F.count(F.lit(1)).alias("_seg_rows"))
     offsets = counts.select(
         *[F.col(c).alias(f"__{c}") for c in grain],
-        F.coalesce(F.sum("seg_rows").over(earlier), F.lit(0)).alias("seg_offset"),
+        F.coalesce(F.sum("_seg_rows").over(earlier), F.lit(0)).alias("_seg_offset"),
     )
     inside = Window.partitionBy(*grain).orderBy(*order)
     return (
-        tagged.withColumn("seg_row", F.row_number().over(inside))
+        tagged.withColumn("_seg_row", F.row_number().over(inside))
         .join(offsets, _same(grain), "left")
-        .withColumn(name, (F.col("seg_offset") + F.col("seg_row")).cast("bigint"))
-        .drop(*seg, *[f"__{c}" for c in grain], "seg_row", "seg_offset")
+        .withColumn(name, (F.col("_seg_offset") + F.col("_seg_row")).cast("bigint"))
+        .drop(*seg, *[f"__{c}" for c in grain], "_seg_row", "_seg_offset")
     )
 
 
@@ -99,12 +99,12 @@ def shuffled_position(
     """
     digest = seeded_digest(F.col(key), seed)
     return position(
-        df.withColumn("shuffle_digest", digest),
+        df.withColumn("_shuffle_digest", digest),
         [],
-        [F.col("shuffle_digest"), F.col(key)],
-        [F.substring("shuffle_digest", 1, digits)],
+        [F.col("_shuffle_digest"), F.col(key)],
+        [F.substring("_shuffle_digest", 1, digits)],
         name,
-    ).drop("shuffle_digest")
+    ).drop("_shuffle_digest")
 
 
 def seeded_digest(key: Column, seed: int) -> Column:

@@ -170,6 +170,50 @@ fixed AS (
           unnest(range(greatest(CAST(ceil((length(text) - 300) / 1700.0) AS BIGINT), 1))) AS chunk
         FROM documents WHERE length(text) > 0))"""
 
+# The splitter on texts whose lines are cut at spaces when they are too long. A run
+# is what is merged together: neighbouring short lines, or the words of a long line.
+# The recursion goes from chunk to chunk of a run over the running piece lengths.
+SPLIT_CHUNKS = f"""
+cut AS (
+  SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS s, contains(text, chr(10)) AS by_line
+  FROM (SELECT doc_id, text, string_split(text, CASE WHEN contains(text, chr(10)) THEN chr(10) ELSE ' ' END) AS p
+        FROM documents WHERE {strip("text")} <> '')),
+lines AS (
+  SELECT doc_id, line, CASE WHEN line > 0 THEN CASE WHEN by_line THEN chr(10) ELSE ' ' END ELSE '' END || s AS piece
+  FROM cut),
+runs AS (
+  SELECT *, 2 * sum((length(piece) >= 2000)::INT) OVER (PARTITION BY doc_id ORDER BY line)
+            - (length(piece) >= 2000)::INT AS run
+  FROM lines WHERE piece <> ''),
+worded AS (
+  SELECT doc_id, run, line, 0 AS word, piece FROM runs WHERE length(piece) < 2000
+  UNION ALL
+  SELECT doc_id, run, line, word, CASE WHEN word > 0 THEN ' ' ELSE '' END || w
+  FROM (SELECT doc_id, run, line, unnest(range(len(string_split(piece, ' ')))) AS word,
+               unnest(string_split(piece, ' ')) AS w FROM runs WHERE length(piece) >= 2000)),
+lengths AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, run ORDER BY line, word)::BIGINT AS upto
+  FROM worded WHERE piece <> ''),
+merged AS (
+  SELECT doc_id, run, string_agg(piece, '' ORDER BY line, word) AS body, list(upto ORDER BY line, word) AS ends
+  FROM lengths GROUP BY doc_id, run),
+steps AS (
+  SELECT doc_id, run, 1 AS k, 1 AS first, len(list_filter(ends, lambda x: x <= 2000)) AS last FROM merged
+  UNION ALL
+  SELECT doc_id, run, k + 1, first,
+    len(list_filter(ends, lambda x: x <= (CASE WHEN first > 1 THEN ends[first - 1] ELSE 0 END) + 2000))
+  FROM (
+    SELECT s.doc_id, s.run, s.k, m.ends, greatest(s.first, 1 + len(list_filter([0::BIGINT] || m.ends,
+             lambda x: x < greatest(m.ends[s.last] - 300, m.ends[s.last + 1] - 2000)))) AS first
+    FROM steps s JOIN merged m USING (doc_id, run) WHERE s.last < len(m.ends))),
+chunks AS (
+  SELECT s.doc_id, s.run, s.k, {strip("""substring(body, (CASE WHEN first > 1 THEN ends[first - 1] ELSE 0 END) + 1,
+    ends[last] - (CASE WHEN first > 1 THEN ends[first - 1] ELSE 0 END))""")} AS document
+  FROM steps s JOIN merged m USING (doc_id, run)),
+numbered AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, k) - 1 AS chunk, document
+  FROM chunks WHERE document <> '')"""
+
 PAIRS = """
 pairs AS (
   SELECT u.conv_id * 1000 + u.turn AS pair_id,

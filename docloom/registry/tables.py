@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,41 +25,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element documents made from ``documents``: one element per sentence."""
-    parts = (
-        spread(documents(spark, sf_dir).select("doc_id", "text", "source"))
-        .withColumn(
-            "n_elements",
-            (F.length("text") - F.length(F.replace("text", F.lit(". "), F.lit("")))) / 2 + 1,
-        )
-        .select("doc_id", "source", "n_elements", F.posexplode(F.split("text", "[.] ")).alias("idx", "s"))
-        .withColumn("idx", F.col("idx").cast("bigint"))
+    sentences = "length(text) - length(replace(text, '. ', ''))"
+    parts = spread(documents(spark, sf_dir).select("doc_id", "text", "source")).selectExpr(
+        "doc_id",
+        "source",
+        f"({sentences}) div 2 + 1 AS n_elements",
+        "posexplode(split(text, '[.] ')) AS (pos, s)",
     )
-    d, i, s = F.col("doc_id"), F.col("idx"), F.col("s")
-    k = (d * 7919 + i * i * 31 + i * 17 + (d % 13) * i) % 23
-    parts = parts.withColumn("k", k)
-    k = F.col("k")
-    return parts.select(
+    return parts.selectExpr("doc_id", "source", "n_elements", "CAST(pos AS BIGINT) AS idx", "s").selectExpr(
+        "*", "(doc_id*7919 + idx*idx*31 + idx*17 + (doc_id % 13)*idx) % 23 AS k"
+    ).selectExpr(
         "doc_id",
         "source",
-        F.col("n_elements").cast("bigint").alias("n_elements"),
+        "n_elements",
         "idx",
-        F.when((k == 0) & (d % 10 != 0), "Title")
-        .when(k == 1, "Image")
-        .when(k == 2, "Header")
-        .when(k.between(7, 12), "FormKeysValues")
-        .otherwise("NarrativeText")
-        .alias("type"),
-        F.when(k == 1, F.lit(None).cast("string"))
-        .when(k.isin(3, 4, 11), "Yes")
-        .when(k.isin(5, 6, 12), "No")
-        .when(k.between(7, 10), "")
-        .when(k.isin(13, 14), F.concat(F.substring(s, 1, 60), F.lit("?")))
-        .when(k == 15, F.concat(F.substring(s, 1, 60), F.lit(":")))
-        .otherwise(F.substring(s, 1, 200))
-        .alias("text"),
-        F.when(k.isin(7, 8, 11), '<input class="Checkbox" type="checkbox" checked/>')
-        .when(k.isin(9, 10, 12), '<input class="Checkbox" type="checkbox"/>')
-        .otherwise("")
-        .alias("text_as_html"),
-        (F.floor(i / 10) + 1).cast("bigint").alias("page_number"),
+        """CASE WHEN k=0 AND doc_id%10<>0 THEN 'Title' WHEN k=1 THEN 'Image' WHEN k=2 THEN 'Header'
+                WHEN k BETWEEN 7 AND 12 THEN 'FormKeysValues' ELSE 'NarrativeText' END AS type""",
+        """CASE WHEN k=1 THEN NULL WHEN k IN (3,4,11) THEN 'Yes' WHEN k IN (5,6,12) THEN 'No'
+                WHEN k BETWEEN 7 AND 10 THEN '' WHEN k IN (13,14) THEN concat(substring(s,1,60),'?')
+                WHEN k=15 THEN concat(substring(s,1,60),':') ELSE substring(s,1,200) END AS text""",
+        """CASE WHEN k IN (7,8,11) THEN '<input class="Checkbox" type="checkbox" checked/>'
+                WHEN k IN (9,10,12) THEN '<input class="Checkbox" type="checkbox"/>' ELSE '' END AS text_as_html""",
+        "idx div 10 + 1 AS page_number",
     )

@@ -227,6 +227,7 @@ ORACLES = {
       FROM conversations""",
     "parse_rank_score": """SELECT conv_id, turn,
       coalesce(CAST(nullif(regexp_extract('Score ' || md5(text), '[0-9]'), '') AS BIGINT), 0) AS score FROM conversations""",
+    "chunk_documents": f"WITH RECURSIVE {sql.SPLIT_CHUNKS} SELECT doc_id, chunk, document FROM numbered",
     "chunk_fixed": f"WITH {sql.FIXED_CHUNKS} SELECT doc_id, chunk, document FROM fixed",
     "number_chunks": f"""WITH {sql.FIXED_CHUNKS} SELECT doc_id, chunk,
       'md_' || (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), chunk) - 1) AS chunk_id FROM fixed""",

@@ -81,8 +81,12 @@ def save_dataset(dataset: DataFrame, path: str) -> None:
 
 
 def new_chunks(chunks: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Chunks whose id the collection does not hold yet, one row per id."""
-    fresh = chunks.dropDuplicates(["chunk_id"])
+    """Chunks whose id the collection does not hold yet, one row per id.
+
+    Of several new rows with one id the smallest stays, whatever order they come in.
+    """
+    others = [c for c in chunks.columns if c != "chunk_id"]
+    fresh = chunks.groupBy("chunk_id").agg(F.min(F.struct(*others)).alias("row")).select("chunk_id", "row.*")
     return fresh if existing is None else fresh.join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 
