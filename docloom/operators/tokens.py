@@ -77,7 +77,9 @@ def encode_tokens(
         .join(tail, F.col("word") == F.col("tail_word"), "left")
         .select(*keys, "token_at", F.coalesce("tail_id", F.lit(UNKNOWN_ID)).alias("found_id"))
     )
-    token = F.when(F.col("at").isNotNull(), F.struct("token_at", F.col("id").cast("int").alias("id")))
+    token = F.when(
+        F.col("token_at").isNotNull(), F.struct("token_at", F.col("found_id").cast("int").alias("token"))
+    )
     placed = (
         found.unionByName(others)
         .groupBy(*keys)
