@@ -65,27 +65,16 @@ def syllable_count(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(f"[{VOWELS}]+")).cast("bigint")
 
 
-def reading_ease(text: Column) -> Column:
-    """Flesch reading ease; syllables are vowel groups. 0 for a text without words."""
-    words, sentences = lexicon_count(text), spoken_sentences(text)
+def reading_ease(words: Column, sentences: Column, syllables: Column) -> Column:
+    """Flesch reading ease from counts; 0 without words."""
     ease = (
         F.lit(EASE_BASE)
         - F.lit(EASE_PER_SENTENCE_WORD) * (words / sentences)
-        - F.lit(EASE_PER_SYLLABLE) * F.try_divide(syllable_count(text), words)
+        - F.lit(EASE_PER_SYLLABLE) * F.try_divide(syllables, words)
     )
-    # no CASE around it: the counts are shared between their uses only outside of one
     return F.coalesce(ease, F.lit(0.0))
 
 
-def readability(text: Column) -> dict[str, Column]:
-    return {
-        "word_count": lexicon_count(text),
-        "char_count": solid_char_count(text),
-        "sentence_count": spoken_sentences(text),
-        "flesch_reading_ease": reading_ease(text),
-    }
-
-
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

@@ -119,9 +119,8 @@ def answer_counts(spark, d):
 
 
 def readability(spark, d):
-    columns = M.readability(F.col("text"))
-    columns["flesch_reading_ease"] = F.round(columns["flesch_reading_ease"], 6)
-    return spread(documents(spark, d)).select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    counted = S.readability(spread(documents(spark, d).select("doc_id", "text")), "text").drop("text")
+    return counted.withColumn("flesch_reading_ease", F.round("flesch_reading_ease", 6))
 
 
 def embedding_cosine(spark, d):
