@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.arrays import IGNORED_LABEL, MAX_BATCH_LENGTH, attention_mask, padded
 from docloom.plans.segments import position, shuffled_position
+from docloom.plans.stored import stored
 
 # Ids below FIRST_WORD_ID are special.
 PAD_ID, EOS_ID, BOS_ID, UNKNOWN_ID = 0, 1, 2, 3
@@ -54,7 +55,8 @@ def encode_tokens(
 ) -> DataFrame:
     """(keys, input_ids[, attention_mask]) with begin and end markers around each line.
 
-    ``keys`` identify a line. Frequent words are found by a bounded broadcast,
+    ``keys`` identify a line. ``vocab`` is read twice and should be a stored table.
+    Frequent words are found by a bounded broadcast,
     only the rest is shuffled to be looked up; words outside the vocabulary get
     the unknown id. Per line the ids are packed before they are shuffled back. No
     known word of the shuffled part can be hot; should an unknown one be, adaptive
@@ -91,16 +93,19 @@ def encode_tokens(
 
 
 def make_batches(
-    rows: DataFrame, key: str, batch_size: int, seed: int | None = 42, block: int = 1_000_000
+    rows: DataFrame, key: str, batch_size: int, seed: int | None = 42
 ) -> DataFrame:
     """Add ``batch_id``: consecutive batches in shuffled order, or in key order.
 
-    Key order (``seed=None``) needs an integer key; rows are numbered per block of
-    keys. Only the last batch can be short.
+    Only the last batch can be short. For key order (``seed=None``) the rows are
+    written out in key ranges first: Spark picks ranges of equal size whatever the
+    keys look like, and once written a recomputed task cannot see other ranges.
     """
     if seed is None:
-        cut = F.floor(F.col(key) / block).cast("bigint")
-        numbered = position(rows, [], [F.col(key)], [cut], "_row_at")
+        ranges = rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+        numbered = position(
+            stored(ranges, "ranges"), [], [F.col(key)], [F.col("_range")], "_row_at"
+        ).drop("_range")
     else:
         numbered = shuffled_position(rows, key, seed, "_row_at")
     return numbered.withColumn(

@@ -62,9 +62,10 @@ def test_batches_and_padding(spark):
         "id", F.sequence(F.lit(1), (F.col("id") % 6 + 1).cast("int")).alias("input_ids")
     ).withColumn("attention_mask", F.transform("input_ids", lambda x: F.lit(1).cast("tinyint")))
     for seed in (None, 42):
-        batched = K.make_batches(rows, "id", 4, seed=seed, block=5)
+        batched = K.make_batches(rows.repartition(3), "id", 4, seed=seed)
         sizes = Counter(r.batch_id for r in batched.collect())
         assert sizes == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 1}
+    assert all(r.batch_id == r.id // 4 for r in K.make_batches(rows, "id", 4, seed=None).collect())
     batch = {r.id: r for r in K.pad_batch(K.make_batches(rows, "id", 4, seed=None), max_length=3).collect()}
     assert batch[0].input_ids == [1, 0, 0] and batch[0].labels == [1, -100, -100]
     assert batch[0].attention_mask == [1, 0, 0]
