@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.columns import arrow_function
 from docloom.llm.decontaminate import free_name
 from docloom.plans.stored import stored
 
@@ -130,13 +131,9 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
 _SEEN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
 _FOUND = pa.struct([("base", pa.list_(_SPAN)), ("seen", pa.list_(_SEEN))])
-_FOUND_SQL = (
-    "base array<struct<start: bigint, end: bigint, kind: int>>, "
-    "seen array<struct<start: bigint, end: bigint, kind: int, value: string, patterns: array<string>>>"
-)
 
 
-@F.arrow_udf(_FOUND_SQL)
+@arrow_function(_FOUND)
 def find(text: pa.Array) -> pa.Array:
     """Base spans, and every seed or candidate (kind null) with its value and contexts."""
     out = []
@@ -189,7 +186,7 @@ def spans(docs: DataFrame, name: str, row: str, **settings: float) -> DataFrame:
     return joined.withColumn(name, F.struct(F.col(f"{name}.base").alias("base"), F.coalesce(f"_{name}", none).alias("added"))).drop(f"_{name}")
 
 
-@F.arrow_udf("string")
+@arrow_function(pa.string())
 def _masked(text: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for t, found in zip(text.to_pylist(), spans.to_pylist()):

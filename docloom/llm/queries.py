@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, packing, pii, simhash, toxicity
+from docloom.llm import ann, brown, decontaminate, licenses, packing, pii, simhash, substring, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,11 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compact_windows": lambda s, d: substring.digest(table(s, d, "documents")),
+    "op2_bloom_cascade": lambda s, d: urlfilter.digest(table(s, d, "pages")),
     "op3_best_fit_packing": lambda s, d: packing.digest(table(s, d, "documents")),
     "op4_decontamination": lambda s, d: decontaminate.digest(table(s, d, "documents"), table(s, d, "benchmark")),
     "op5_pii_bootstrap": lambda s, d: pii.digest(table(s, d, "documents")),
+    "op6_projection_forest": lambda s, d: ann.digest(table(s, d, "embeddings")),
     "op7_ordinal_toxicity": lambda s, d: toxicity.digest(table(s, d, "documents"), table(s, d, "labels")),
     "op8_simhash_anchors": lambda s, d: simhash.digest(table(s, d, "documents")),
+    "op9_brown_classes": lambda s, d: brown.digest(table(s, d, "documents")),
+    "op10_license_index": lambda s, d: licenses.digest(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_bloom_cascade": urlfilter.ORACLE}

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.columns import arrow_function
 from docloom.llm.decontaminate import free_name
 from docloom.llm.graph import components
 from docloom.llm.words import blank_words
@@ -56,7 +57,7 @@ def fingerprint_of(words: list[bytes], n: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-@F.arrow_udf("bigint")
+@arrow_function(pa.int64())
 def fingerprint(text: pa.Array) -> pa.Array:
     """The 64 bits as a signed number."""
     return pa.array([fingerprint_of(blank_words(t)) for t in text.to_pylist()], pa.int64())

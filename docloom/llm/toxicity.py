@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.columns import arrow_function
 from docloom.llm.words import letter_words
 
 GRADES = 3
@@ -75,7 +76,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-@F.arrow_udf("array<binary>")
+@arrow_function(pa.list_(pa.binary()))
 def _word_set(text: pa.Array) -> pa.Array:
     return pa.array([sorted(set(letter_words(t))) for t in text.to_pylist()], pa.list_(pa.binary()))
 
