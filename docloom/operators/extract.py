@@ -296,13 +296,16 @@ def quarantine_docs(
     return elements.join(rejected, doc, "left_anti"), rejected
 
 
-def count_items(items: DataFrame, doc: str = "doc_path") -> DataFrame:
-    """Items per document, with a line such as ``3 checkboxs, 1 image``."""
+def count_items(items: DataFrame, doc: str = "doc_path", docs: DataFrame | None = None) -> DataFrame:
+    """Items per document, with a line such as ``3 checkboxs, 1 image``.
+
+    Documents of ``docs`` without items have 0 and an empty line.
+    """
     per_type = items.groupBy(doc, "type").agg(F.count(F.lit(1)).alias("n"))
     label = F.concat(
         F.col("n").cast("string"), F.lit(" "), "type", F.when(F.col("n") != 1, "s").otherwise("")
     )
-    return (
+    counted = (
         per_type.groupBy(doc)
         .agg(
             F.sum("n").alias("n_items"),
@@ -310,3 +313,7 @@ def count_items(items: DataFrame, doc: str = "doc_path") -> DataFrame:
         )
         .select(doc, "n_items", F.array_join("parts.label", ", ").alias("counts"))
     )
+    if docs is None:
+        return counted
+    every = docs.select(doc).distinct().join(counted, doc, "left")
+    return every.select(doc, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("counts", F.lit("")).alias("counts"))

@@ -76,14 +76,19 @@ def has_type(items: DataFrame, doc: str = "doc_path") -> DataFrame:
 
 
 def compose_lines(
-    items: DataFrame, doc: str = "doc_path", apply_cleaning: bool = False
+    items: DataFrame, doc: str = "doc_path", apply_cleaning: bool = False, docs: DataFrame | None = None
 ) -> DataFrame:
     """(doc, idx, input) for every item that is written.
 
     A row with a null ``idx`` stands for a document without items and becomes
-    the fixed line. Cleaning decides what is kept; the text is written as it is
-    unless ``apply_cleaning`` is set.
+    the fixed line, unless the file is ``malformed``: such a file is no document.
+    So does every document of ``docs``, if given, that ``items`` lacks. Cleaning
+    decides what is kept; the text is written as it is unless ``apply_cleaning`` is set.
     """
+    if "malformed" in items.columns:
+        items = items.filter(~F.col("malformed"))
+    if docs is not None:
+        items = items.unionByName(_bare(docs, items, doc), allowMissingColumns=True)
     bare = F.col("idx").isNull()
     written = items.filter(bare | (F.col("type").isin(*WRITTEN_TYPES) & _survives()))
     if apply_cleaning:
@@ -103,5 +108,11 @@ def compose_lines(
 
 def empty_doc_line(docs: DataFrame, items: DataFrame, doc: str = "doc_path") -> DataFrame:
     """The fixed line for every document that has no items."""
-    bare = docs.select(doc).join(items.select(doc).distinct(), doc, "left_anti")
-    return bare.select(doc, F.lit(EMPTY_DOCUMENT_LINE).alias("input"))
+    return _bare(docs, items, doc).select(doc, F.lit(EMPTY_DOCUMENT_LINE).alias("input"))
+
+
+def _bare(docs: DataFrame, items: DataFrame, doc: str) -> DataFrame:
+    """Documents without items; a malformed file is none."""
+    if "malformed" in docs.columns:
+        docs = docs.filter(~F.col("malformed"))
+    return docs.select(doc).distinct().join(items.select(doc).distinct(), doc, "left_anti")

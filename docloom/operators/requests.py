@@ -9,33 +9,24 @@ from docloom.functions.prompts import build_prompt
 
 # Fixed value: times every request is repeated.
 N_RUNS = 3
-MAX_QUESTIONS = 10_000
+SHARD_ROWS = 100_000
 
 
-def request_grid(
-    applications: DataFrame, questions: DataFrame, runs: int = N_RUNS, max_questions: int = MAX_QUESTIONS
-) -> DataFrame:
+def request_grid(applications: DataFrame, questions: DataFrame, runs: int = N_RUNS) -> DataFrame:
     """(run, application_id, question_id, question): every question about every application.
 
-    ``questions`` (ordinal, line) is a short list. It becomes one array value that
-    every application row unfolds, so the applications are neither joined nor
-    moved. A list longer than ``max_questions`` raises an error.
+    Applications are dealt over shards by hash and the questions (ordinal, line)
+    repeated for every shard, so neither list is bounded nor passes the driver.
     """
-    bounded = questions.select("ordinal", "line").limit(max_questions + 1)
-    listed = bounded.agg(F.sort_array(F.collect_list(F.struct("ordinal", "line"))).alias("asked"))
-    checked = listed.select(
-        F.when(F.size("asked") <= max_questions, F.col("asked")).otherwise(
-            F.raise_error(F.lit(f"more than {max_questions} questions"))
-        )
-    )
+    shards = max(1, -(-applications.count() // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("application_id"), F.lit(shards)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    asked = questions.select(F.col("ordinal").alias("question_id"), F.col("line").alias("question"), every.alias("shard"))
+    run = F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("run")
     return (
-        applications.select("application_id", F.explode(checked.scalar()).alias("q"))
-        .select(
-            F.explode(F.sequence(F.lit(1), F.lit(runs)).cast("array<bigint>")).alias("run"),
-            "application_id",
-            F.col("q.ordinal").alias("question_id"),
-            F.col("q.line").alias("question"),
-        )
+        applications.select("application_id", shard.alias("shard"))
+        .join(asked, "shard")
+        .select(run, "application_id", "question_id", "question")
     )
 
 

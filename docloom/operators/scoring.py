@@ -88,23 +88,24 @@ def pairwise_run_similarity(
 
     The sum of the cosines of one unit vector with all others is its product with
     the sum of all of them, less itself. So one vector sum per request replaces
-    all pairs.
+    all pairs. An answer without vector is compared with none and counts for none.
     """
     size = M.norm(F.col(vector))
     unit = F.transform(
         vector, lambda x: F.when(F.col("vector_size") > 0, x.cast("double") / F.col("vector_size")).otherwise(0.0)
     )
     units = answers.withColumn("vector_size", size).withColumn("unit", unit)
-    sums = units.groupBy(*REQUEST).agg(
+    sums = units.filter(F.col(vector).isNotNull()).groupBy(*REQUEST).agg(
         Summarizer.sum(array_to_vector("unit")).alias("total"), F.count(F.lit(1)).alias("n")
     ).select(*REQUEST, vector_to_array("total").alias("total"), "n")
+    compared = F.col(vector).isNotNull()
     self_product = F.when(F.col("vector_size") > 0, 1.0).otherwise(0.0)
     return (
         lookup(units, sums, REQUEST, spread_by)
         .withColumns(
             {
-                "n_others": (F.col("n") - 1).cast("bigint"),
-                "similarity_sum": M.dot(F.col("unit"), F.col("total")) - self_product,
+                "n_others": F.when(compared, F.col("n") - 1).otherwise(0).cast("bigint"),
+                "similarity_sum": F.when(compared, M.dot(F.col("unit"), F.col("total")) - self_product).otherwise(0.0),
             }
         )
         .drop("vector_size", "unit", "total", "n")

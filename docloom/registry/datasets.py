@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions.arrays import MAX_BATCH_LENGTH, MAX_DATASET_LENGTH
 from docloom.functions.arrays import attention_mask as mask_of
 from docloom.functions.arrays import truncate_ids as cut
 from docloom.operators import dataset as D
 from docloom.operators import tokens as K
 from docloom.plans.stored import stored
 from docloom.registry import sql
-from docloom.registry.tables import documents, spread
+from docloom.registry.tables import documents
 
-# Short enough for truncation and padding to happen on the driver documents.
-CUT, BATCH = 64, 8
+BATCH = 8
 
 
 def _docs(spark, d):
-    return spread(documents(spark, d).select("doc_id", "source", "text"))
+    return documents(spark, d).select("doc_id", "source", "text")
 
 
 def _shown(ids):
@@ -43,11 +43,11 @@ def encode_tokens(spark, d):
 
 
 def truncate_ids(spark, d):
-    return _rows(spark, d).select("doc_id", _shown(cut(F.col("input_ids"), CUT)).alias("ids"))
+    return _rows(spark, d).select("doc_id", _shown(cut(F.col("input_ids"))).alias("ids"))
 
 
 def attention_mask(spark, d):
-    return _rows(spark, d).select("doc_id", _shown(mask_of(cut(F.col("input_ids"), CUT))).alias("mask"))
+    return _rows(spark, d).select("doc_id", _shown(mask_of(F.col("input_ids"))).alias("mask"))
 
 
 def make_batches(spark, d):
@@ -57,7 +57,7 @@ def make_batches(spark, d):
 def pad_batch(spark, d):
     rows = _rows(spark, d).withColumn("attention_mask", mask_of(F.col("input_ids")))
     batched = K.make_batches(rows, "doc_id", BATCH, seed=None)
-    return K.pad_batch(batched, max_length=CUT).select(
+    return K.pad_batch(batched).select(
         "doc_id",
         "batch_id",
         *[_shown(F.col(c)).alias(c) for c in ("input_ids", "attention_mask", "labels")],
@@ -76,7 +76,7 @@ def train_test_split(spark, d):
 
 
 def make_dataset(spark, d):
-    return D.make_dataset(_rows(spark, d), "source", CUT).select(
+    return D.make_dataset(_rows(spark, d), "source").select(
         "doc_id", _shown(F.col("input_ids")).alias("ids"), _shown(F.col("attention_mask")).alias("mask")
     )
 
@@ -109,15 +109,15 @@ _ONES = "array_to_string(list_transform(range({n}), lambda x: 1), ',')"
 ORACLES = {
     "build_vocab": f"WITH {sql.VOCAB} SELECT word, n, token_id FROM vocab",
     "encode_tokens": f"WITH {sql.ENCODED} SELECT doc_id, array_to_string(ids, ',') AS ids FROM encoded",
-    "truncate_ids": f"WITH {sql.ENCODED} SELECT doc_id, array_to_string(ids[1:{CUT}], ',') AS ids FROM encoded",
-    "attention_mask": f"""WITH {sql.ENCODED} SELECT doc_id, {_ONES.format(n=f'least(len(ids), {CUT})')} AS mask
+    "truncate_ids": f"WITH {sql.ENCODED} SELECT doc_id, array_to_string(ids[1:{MAX_DATASET_LENGTH}], ',') AS ids FROM encoded",
+    "attention_mask": f"""WITH {sql.ENCODED} SELECT doc_id, {_ONES.format(n='len(ids)')} AS mask
       FROM encoded""",
     "make_batches": f"""SELECT doc_id, (row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1) // {BATCH} AS batch_id
       FROM documents""",
     "pad_batch": f"""WITH {sql.ENCODED},
       batched AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch_id FROM encoded),
-      wide AS (SELECT doc_id, batch_id, ids[1:{CUT}] AS ids,
-        least(max(len(ids)) OVER (PARTITION BY batch_id), {CUT}) AS width FROM batched)
+      wide AS (SELECT doc_id, batch_id, ids[1:{MAX_BATCH_LENGTH}] AS ids,
+        least(max(len(ids)) OVER (PARTITION BY batch_id), {MAX_BATCH_LENGTH}) AS width FROM batched)
       SELECT doc_id, batch_id,
         array_to_string(ids || list_transform(range(width - len(ids)), lambda x: 0), ',') AS input_ids,
         array_to_string(list_transform(range(width), lambda x: CASE WHEN x < len(ids) THEN 1 ELSE 0 END), ',') AS attention_mask,
@@ -127,7 +127,8 @@ ORACLES = {
       CASE WHEN source IN (SELECT source FROM held) THEN 'eval' ELSE 'train' END AS part FROM documents""",
     "train_test_split": f"WITH {_SPLIT} SELECT doc_id, pos <= ceil(n * CAST(0.01 AS DOUBLE)) AS is_test FROM ordered",
     "make_dataset": f"""WITH {sql.ENCODED}, {_HELD}
-      SELECT doc_id, array_to_string(ids[1:{CUT}], ',') AS ids, {_ONES.format(n=f'least(len(ids), {CUT})')} AS mask
+      SELECT doc_id, array_to_string(ids[1:{MAX_DATASET_LENGTH}], ',') AS ids,
+        {_ONES.format(n=f'least(len(ids), {MAX_DATASET_LENGTH})')} AS mask
       FROM encoded WHERE source NOT IN (SELECT source FROM held)""",
     "dataset_stats": f"""WITH {sql.ENCODED}, {_SPLIT}
       SELECT CASE WHEN pos <= ceil(n * CAST(0.01 AS DOUBLE)) THEN 'test' ELSE 'train' END AS part,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import metrics as M
 from docloom.operators import requests as Q
 from docloom.operators import scoring as S
 from docloom.registry import sql
-from docloom.registry.tables import documents, spread, table
+from docloom.registry.tables import documents, table
 
 ID = ["pair_id", "application_id", "question_id"]
 
@@ -39,13 +39,20 @@ def gold(spark, d) -> DataFrame:
     )
 
 
+def _vector_of(spark, d) -> Column:
+    """The vector number of a pair: turns of a conversation and conversations all get their own."""
+    size = table(spark, d, "embeddings").agg(F.count("*").alias("n")).scalar()
+    conv, turn = F.floor(F.col("pair_id") / 1000), F.col("pair_id") % 1000
+    return (conv * 7 + turn) % size
+
+
 def with_vectors(spark, d) -> DataFrame:
-    """Answers with the vector an embedding table holds for them, where it does."""
+    """Answers with the vector an embedding table holds for them, null where it holds none."""
     vectors = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("vec_of"), F.col("embedding")
     )
-    p = pairs(spark, d).withColumn("vec_of", F.col("pair_id") % 500)
-    return p.join(vectors, "vec_of").drop("vec_of")
+    p = pairs(spark, d).withColumn("vec_of", _vector_of(spark, d))
+    return p.join(vectors, "vec_of", "left").drop("vec_of")
 
 
 def request_grid(spark, d):
@@ -113,18 +120,18 @@ def token_cost(spark, d):
 
 
 def answer_counts(spark, d):
-    return spread(documents(spark, d)).select(
+    return documents(spark, d).select(
         "doc_id", *[c.alias(n) for n, c in M.answer_counts(F.col("text")).items()]
     )
 
 
 def readability(spark, d):
-    counted = S.readability(spread(documents(spark, d).select("doc_id", "text")), "text").drop("text")
+    counted = S.readability(documents(spark, d).select("doc_id", "text"), "text").drop("text")
     return counted.withColumn("flesch_reading_ease", F.round("flesch_reading_ease", 6))
 
 
 def embedding_cosine(spark, d):
-    """Every vector against the next one of its label."""
+    """Every vector against the one with the next number."""
     v = table(spark, d, "embeddings")
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return v.join(other, "vec_id").select(
@@ -170,7 +177,7 @@ def hosted_records(spark, d) -> DataFrame:
         (F.length("answer") / 50).alias("latency"),
         M.word_count(F.col("question")).alias("prompt_tokens"),
         M.word_count(F.col("answer")).alias("completion_tokens"),
-        (F.col("pair_id") % 500).alias("answer_vec_id"),
+        _vector_of(spark, d).alias("answer_vec_id"),
     )
     best = gold(spark, d).withColumn("gold_vec_id", F.col("ordinal"))
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -216,11 +223,7 @@ def _lexicon(x: str) -> str:
 
 
 def _sentences(x: str) -> str:
-    c = "[\\p{L}\\p{N}_]"
-    return (
-        f"greatest(len(regexp_extract_all({x}, "
-        f"'(?:[^\\s.!?]*{c}[^\\s.!?]*\\s+){{2}}[^.!?]*{c}[^.!?]*')), 1)"
-    )
+    return f"greatest(len(list_filter(regexp_split_to_array({x}, '[.!?]+'), lambda p: {_lexicon('p')} >= 3)), 1)"
 
 
 def _ease(x: str) -> str:
@@ -241,11 +244,12 @@ judged AS (
   SELECT p.*, g.gold, g.ordinal FROM pairs p LEFT JOIN last_gold g USING (application_id, question_id))"""
 _VECTORED = f"""{sql.PAIRS},
 vectored AS (
-  SELECT p.*, e.embedding::DOUBLE[] AS v FROM pairs p JOIN embeddings e ON e.vec_id = p.pair_id % 500),
+  SELECT p.*, e.embedding::DOUBLE[] AS v FROM pairs p
+  LEFT JOIN embeddings e ON e.vec_id = ((p.pair_id // 1000) * 7 + p.pair_id % 1000) % (SELECT count(*) FROM embeddings)),
 peers AS (
   SELECT a.pair_id, count(*) AS n_others, sum(list_cosine_similarity(a.v, b.v)) AS similarity_sum
   FROM vectored a JOIN vectored b ON a.application_id = b.application_id AND a.question_id = b.question_id
-    AND a.pair_id <> b.pair_id GROUP BY a.pair_id)"""
+    AND a.pair_id <> b.pair_id AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.pair_id)"""
 
 ORACLES = {
     "request_grid": """SELECT run, source AS application_id, item_id + 1 AS question_id, text AS question

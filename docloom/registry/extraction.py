@@ -77,7 +77,7 @@ def lookback_question(spark, d):
 
 
 def count_items(spark, d):
-    return X.count_items(items(spark, d), DOC)
+    return X.count_items(items(spark, d), DOC, documents(spark, d))
 
 
 def quarantine_docs(spark, d):
@@ -127,7 +127,7 @@ def compose(spark, d):
 
 
 def compose_lines(spark, d):
-    return I.compose_lines(typed(spark, d), DOC)
+    return I.compose_lines(typed(spark, d), DOC, docs=documents(spark, d))
 
 
 def empty_doc_line(spark, d):
@@ -141,7 +141,7 @@ def audit(spark, d):
 
 def flagship(spark, d):
     """Lines per kind from documents to composed input."""
-    lines = I.compose_lines(items(spark, d), DOC)
+    lines = I.compose_lines(items(spark, d), DOC, docs=documents(spark, d))
     return lines.groupBy(F.substring_index("input", ":", 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("input")).cast("bigint").alias("n_chars")
     )
@@ -193,9 +193,9 @@ ORACLES = {
     "extract_items": f"""WITH {sql.ITEMS}
       SELECT doc_id, idx, type, question, value_text, value_bool, section, page_number FROM items""",
     "count_items": f"""WITH {sql.ITEMS}, per_type AS (SELECT doc_id, type, count(*) AS n FROM items GROUP BY ALL)
-      SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_items,
-        string_agg(n || ' ' || type || CASE WHEN n <> 1 THEN 's' ELSE '' END, ', ' ORDER BY type) AS counts
-      FROM per_type GROUP BY doc_id""",
+      SELECT doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_items,
+        coalesce(string_agg(n || ' ' || type || CASE WHEN n <> 1 THEN 's' ELSE '' END, ', ' ORDER BY type), '') AS counts
+      FROM documents LEFT JOIN per_type USING (doc_id) GROUP BY doc_id""",
     "quarantine_docs": f"""WITH {sql.ANNOTATED}, failing AS (
       SELECT DISTINCT doc_id FROM annotated WHERE NOT consumed AND (
         (contains(text_as_html, '<input class="Checkbox"') AND type <> 'Title'
@@ -223,7 +223,9 @@ ORACLES = {
       bool_or(type='checkbox') AS has_checkbox, bool_or(type='image') AS has_image FROM typed GROUP BY doc_id""",
     "compose_input": f"WITH {sql.TYPED} SELECT doc_id, idx, {_LINE} AS input FROM typed WHERE {_WRITTEN}",
     "compose_lines": f"""WITH {sql.TYPED} SELECT doc_id, idx, {_LINE} AS input FROM typed
-      WHERE {_WRITTEN} AND {_SURVIVES}""",
+      WHERE {_WRITTEN} AND {_SURVIVES}
+      UNION ALL SELECT doc_id, NULL, 'This file contains an image' FROM documents
+      WHERE doc_id NOT IN (SELECT doc_id FROM typed)""",
     "empty_doc_line": f"""WITH {sql.ITEMS} SELECT doc_id, 'This file contains an image' AS input FROM documents
       WHERE doc_id NOT IN (SELECT doc_id FROM items WHERE type = 'checkbox')""",
     "corpus_audit": f"""WITH {sql.ITEMS}, shape AS (
@@ -238,7 +240,8 @@ ORACLES = {
       UNION ALL SELECT 'empty', '', count(*) FROM present WHERE doc_id NOT IN (SELECT doc_id FROM shape) HAVING count(*) > 0
       UNION ALL SELECT 'columns', columns, count(*) FROM shape GROUP BY columns
       UNION ALL SELECT 'items', type, count(*) FROM items GROUP BY type""",
-    "documents_to_lines": f"""WITH {sql.ITEMS}, lines AS (SELECT {_LINE} AS input FROM items WHERE {_SURVIVES})
+    "documents_to_lines": f"""WITH {sql.ITEMS}, lines AS (SELECT {_LINE} AS input FROM items WHERE {_SURVIVES}
+        UNION ALL SELECT 'This file contains an image' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM items))
       SELECT string_split(input, ':')[1] AS kind, count(*) AS n_lines, CAST(sum(length(input)) AS BIGINT) AS n_chars
       FROM lines GROUP BY kind""",
 }

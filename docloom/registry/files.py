@@ -14,7 +14,7 @@ from docloom.operators import chunks as C
 from docloom.registry import sql
 from docloom.registry.evaluation import hosted_records, local_records, n_words
 from docloom.registry.extraction import items
-from docloom.registry.tables import documents, elements, spread, table
+from docloom.registry.tables import documents, elements, table
 from docloom.registry.trainlogs import SPEED, log
 from docloom.session import work_folder
 from docloom.streaming import stream_ingest_docs, stream_token_speed
@@ -35,14 +35,14 @@ def _element_files(spark: SparkSession, d: str) -> str:
         F.to_json(F.sort_array(F.collect_list(element))).alias("content")
     )
     folder = work_folder(spark, "elements")
-    docs.repartition(8, "doc").write.partitionBy("application", "doc").text(folder)
+    docs.repartition("doc").write.partitionBy("application", "doc").text(folder)
     return folder
 
 
 def _text_files(spark: SparkSession, d: str) -> str:
     folder = work_folder(spark, "texts")
     documents(spark, d).select(F.col("source").alias("application"), F.col("doc_id").alias("doc"), "text").repartition(
-        8
+        "doc"
     ).write.partitionBy("application", "doc").text(folder)
     return folder
 
@@ -68,7 +68,7 @@ def read_item_docs(spark, d):
         "doc", F.concat(F.lit("["), F.array_join("lines.json", ","), F.lit("]")).alias("content")
     )
     folder = work_folder(spark, "items")
-    docs.repartition(8, "doc").write.partitionBy("doc").text(folder)
+    docs.repartition("doc").write.partitionBy("doc").text(folder)
     read = sources.read_item_docs(spark, folder, PART)
     return read.select(
         _doc_of("doc_path").alias("doc_id"), "type", "question", "value_text", "value_bool", "section", "page_number"
@@ -92,7 +92,7 @@ def read_ordered_lines(spark, d):
 def read_token_jsonl(spark, d):
     """Token lines written by the line sink."""
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w))
-    rows = spread(documents(spark, d)).select("doc_id", F.concat(F.array(F.col("doc_id").cast("int")), lengths).alias("input_ids"))
+    rows = documents(spark, d).select("doc_id", F.concat(F.array(F.col("doc_id").cast("int")), lengths).alias("input_ids"))
     folder = work_folder(spark, "tokens")
     sinks.write_jsonl(rows.select("input_ids"), folder)
     read = sources.read_token_jsonl(spark, folder)
@@ -160,7 +160,7 @@ def write_report_csv(spark, d):
 
 def upsert_chunks(spark, d):
     """Chunks of labelled documents first, then all chunks with a mark: the first ones stay."""
-    docs = spread(documents(spark, d).select("doc_id", "source", "text"))
+    docs = documents(spark, d).select("doc_id", "source", "text")
     every = C.chunk_fixed(docs, "doc_id").withColumn(
         "chunk_id", F.concat_ws("_", F.lit("md"), F.col("doc_id").cast("string"), F.col("chunk").cast("string"))
     ).withColumn("application", (F.col("doc_id") % 20).cast("string"))

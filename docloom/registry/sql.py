@@ -15,21 +15,23 @@ def words(x: str) -> str:
 
 
 ELEMENTS = """
-parts AS (
-  SELECT doc_id, source, unnest(range(len(string_split(text, '. ')))) AS idx,
+sentences AS (
+  SELECT doc_id, source, unnest(range(len(string_split(text, '. ')))) AS pos,
          unnest(string_split(text, '. ')) AS s FROM documents),
+parts AS (
+  SELECT doc_id, source, s, pos * 2 - pos % 2 + nth AS idx, nth > 0 AS inserted
+  FROM sentences, range(3) AS places(nth) WHERE nth = 0 OR pos % 2 = 1),
 keyed AS (
   SELECT *, (doc_id*7919 + idx*idx*31 + idx*17 + (doc_id % 13)*idx) % 23 AS k FROM parts),
 elements AS (
   SELECT doc_id, source, idx,
-    CASE WHEN k=0 AND doc_id%10<>0 THEN 'Title' WHEN k=1 THEN 'Image' WHEN k=2 THEN 'Header'
-         WHEN k BETWEEN 7 AND 12 THEN 'FormKeysValues' ELSE 'NarrativeText' END AS type,
-    CASE WHEN k=1 THEN NULL WHEN k IN (3,4,11) THEN 'Yes' WHEN k IN (5,6,12) THEN 'No'
-         WHEN k BETWEEN 7 AND 10 THEN ''
-         WHEN k IN (13,14) THEN concat(substring(s,1,60),'?')
-         WHEN k=15 THEN concat(substring(s,1,60),':') ELSE substring(s,1,200) END AS text,
-    CASE WHEN k IN (7,8,11) THEN '<input class="Checkbox" type="checkbox" checked/>'
-         WHEN k IN (9,10,12) THEN '<input class="Checkbox" type="checkbox"/>' ELSE '' END AS text_as_html,
+    CASE WHEN inserted AND k=1 THEN 'Image' WHEN inserted AND k BETWEEN 7 AND 12 THEN 'FormKeysValues'
+         WHEN inserted THEN 'NarrativeText' WHEN k=0 AND doc_id%10<>0 THEN 'Title' WHEN k=2 THEN 'Header'
+         ELSE 'NarrativeText' END AS type,
+    CASE WHEN inserted THEN CASE WHEN k=1 THEN NULL WHEN k IN (3,4,11) THEN 'Yes' WHEN k IN (5,6,12) THEN 'No' ELSE '' END
+         WHEN k IN (13,14) THEN concat(s,'?') WHEN k=15 THEN concat(s,':') ELSE s END AS text,
+    CASE WHEN inserted AND k IN (7,8,11) THEN '<input class="Checkbox" type="checkbox" checked/>'
+         WHEN inserted AND k IN (9,10,12) THEN '<input class="Checkbox" type="checkbox"/>' ELSE '' END AS text_as_html,
     idx // 10 + 1 AS page_number
   FROM keyed)"""
 

@@ -9,42 +9,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that yields fewer splits than the cluster has cores.
-
-    The driver files hold a single row group each, so their scan is one task
-    however many cores there are. A table with enough splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element documents made from ``documents``: one element per sentence."""
-    sentences = "length(text) - length(replace(text, '. ', ''))"
-    parts = spread(documents(spark, sf_dir).select("doc_id", "text", "source")).selectExpr(
+    """Element documents made from ``documents``: every sentence whole, and after every
+    second one two elements more: boxes, labels, images and empty ones.
+    """
+    sentences = "((length(text) - length(replace(text, '. ', ''))) div 2 + 1)"
+    parts = documents(spark, sf_dir).select("doc_id", "text", "source").selectExpr(
         "doc_id",
         "source",
-        f"({sentences}) div 2 + 1 AS n_elements",
+        f"IF({sentences} % 2 = 0, 2 * {sentences}, 2 * {sentences} - 1) AS n_elements",
         "posexplode(split(text, '[.] ')) AS (pos, s)",
     )
-    return parts.selectExpr("doc_id", "source", "n_elements", "CAST(pos AS BIGINT) AS idx", "s").selectExpr(
-        "*", "(doc_id*7919 + idx*idx*31 + idx*17 + (doc_id % 13)*idx) % 23 AS k"
+    places = "IF(pos % 2 = 0, array(2 * pos), array(2 * pos - 1, 2 * pos, 2 * pos + 1))"
+    return parts.selectExpr("doc_id", "source", "n_elements", "s", f"posexplode({places}) AS (nth, at)").selectExpr(
+        "*", "CAST(at AS BIGINT) AS idx"
+    ).selectExpr(
+        "*", "nth > 0 AS inserted", "(doc_id*7919 + idx*idx*31 + idx*17 + (doc_id % 13)*idx) % 23 AS k"
     ).selectExpr(
         "doc_id",
         "source",
         "n_elements",
         "idx",
-        """CASE WHEN k=0 AND doc_id%10<>0 THEN 'Title' WHEN k=1 THEN 'Image' WHEN k=2 THEN 'Header'
-                WHEN k BETWEEN 7 AND 12 THEN 'FormKeysValues' ELSE 'NarrativeText' END AS type""",
-        """CASE WHEN k=1 THEN NULL WHEN k IN (3,4,11) THEN 'Yes' WHEN k IN (5,6,12) THEN 'No'
-                WHEN k BETWEEN 7 AND 10 THEN '' WHEN k IN (13,14) THEN concat(substring(s,1,60),'?')
-                WHEN k=15 THEN concat(substring(s,1,60),':') ELSE substring(s,1,200) END AS text""",
-        """CASE WHEN k IN (7,8,11) THEN '<input class="Checkbox" type="checkbox" checked/>'
-                WHEN k IN (9,10,12) THEN '<input class="Checkbox" type="checkbox"/>' ELSE '' END AS text_as_html""",
+        """CASE WHEN inserted AND k=1 THEN 'Image' WHEN inserted AND k BETWEEN 7 AND 12 THEN 'FormKeysValues'
+                WHEN inserted THEN 'NarrativeText' WHEN k=0 AND doc_id%10<>0 THEN 'Title' WHEN k=2 THEN 'Header'
+                ELSE 'NarrativeText' END AS type""",
+        """CASE WHEN inserted THEN CASE WHEN k=1 THEN NULL WHEN k IN (3,4,11) THEN 'Yes' WHEN k IN (5,6,12) THEN 'No'
+                ELSE '' END WHEN k IN (13,14) THEN concat(s,'?') WHEN k=15 THEN concat(s,':') ELSE s END AS text""",
+        """CASE WHEN inserted AND k IN (7,8,11) THEN '<input class="Checkbox" type="checkbox" checked/>'
+                WHEN inserted AND k IN (9,10,12) THEN '<input class="Checkbox" type="checkbox"/>' ELSE '' END AS text_as_html""",
         "idx div 10 + 1 AS page_number",
     )

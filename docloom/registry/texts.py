@@ -10,7 +10,7 @@ from docloom.operators import chunks as C
 from docloom.operators.items import skip_blank as keep_spoken
 from docloom.plans.stored import stored
 from docloom.registry import sql
-from docloom.registry.tables import documents, spread, table
+from docloom.registry.tables import documents, table
 from docloom.sources import path_parts as parts_of
 from docloom.sources import six_digit_number
 
@@ -19,7 +19,7 @@ ACUTE = "é"
 
 
 def _docs(spark, d):
-    return spread(documents(spark, d).select("doc_id", "text", "source"))
+    return documents(spark, d).select("doc_id", "text", "source")
 
 
 def missing_token(spark, d):
@@ -30,7 +30,7 @@ def missing_token(spark, d):
 
 
 def strip_html(spark, d):
-    return spread(table(spark, d, "pages").select("page_id", "html")).select(
+    return table(spark, d, "pages").select("page_id", "html").select(
         "page_id", T.strip_html(F.col("html")).alias("text")
     )
 
@@ -59,7 +59,7 @@ def collapse_ws(spark, d):
 
 def clean_text(spark, d):
     """Marked-up pages and prose with decomposed letters, whole chain."""
-    pages = spread(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("raw")))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("raw"))
     prose = _docs(spark, d).select(
         (-F.col("doc_id") - 1).alias("id"), F.replace("text", F.lit("é"), F.lit(ACUTE)).alias("raw")
     )
@@ -100,10 +100,12 @@ def path_parts(spark, d):
 
 
 def _prompted(spark, d):
-    return _docs(spark, d).select(
+    # every document is asked the benchmark item of its number, where there is one
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("asked"))
+    return _docs(spark, d).join(asked, "doc_id", "left").select(
         "doc_id",
         F.replace("text", F.lit("\n"), F.lit("\n\n\n")).alias("context"),
-        F.substring("text", 1, 50).alias("query"),
+        F.coalesce("asked", F.lit("What is proposed?")).alias("query"),
         F.lit("Answer in a few words. Text: <CONTEXT> Question: <QUERY>").alias("template"),
     )
 
@@ -191,7 +193,7 @@ def _template(template: str, *values: str) -> str:
 
 
 _CONTEXT = r"replace(text, chr(10), repeat(chr(10), 3))"
-_QUERY = "substring(text, 1, 50)"
+_QUERY = "coalesce((SELECT b.text FROM benchmark b WHERE b.item_id = doc_id), 'What is proposed?')"
 _PROMPT = f"""replace('Answer in a few words. Text: ' || {_CONTEXT} || ' Question: ' || {_QUERY},
   repeat(chr(10), 2), chr(10))"""
 _PART = "struct_pack(type := 'text', text := text)"

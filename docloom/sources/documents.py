@@ -98,12 +98,13 @@ def read_element_docs(spark: SparkSession, folder: str, glob: str = "*.json") ->
 def read_item_docs(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """Item rows of every item document; an empty document keeps one row with null ``idx``.
 
-    ``value`` is a string in text items and a boolean in checkbox items, so it
+    A file that is no JSON array has one such row with ``malformed`` set; in a row of an
+    array it marks what is no object. ``value`` is a string in text items and a boolean in checkbox items, so it
     becomes two columns.
     """
     array = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
-    rows = _files(spark, folder, glob).select(
-        "doc_path", F.posexplode_outer(array).alias("idx", "item")
+    rows = _files(spark, folder, glob).select("doc_path", array.alias("array")).select(
+        "doc_path", F.col("array").isNull().alias("broken"), F.posexplode_outer("array").alias("idx", "item")
     )
     item = F.col("item")
     value = F.try_variant_get(item, "$.value", "variant")
@@ -121,6 +122,10 @@ def read_item_docs(spark: SparkSession, folder: str, glob: str = "*.json") -> Da
         F.try_variant_get(item, "$.section", "string").alias("section"),
         F.try_variant_get(item, "$.page_number", "bigint").alias("page_number"),
         F.array_sort(F.json_object_keys(F.to_json(item))).alias("keys"),
+        (
+            F.col("broken")
+            | (F.col("idx").isNotNull() & ~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)))
+        ).alias("malformed"),
     )
 
 
