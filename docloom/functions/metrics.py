@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Price per thousand tokens and the reading ease formula.
 PROMPT_PRICE_PER_1K = 0.30 / 1000
@@ -12,6 +17,9 @@ EASE_BASE, EASE_PER_SENTENCE_WORD, EASE_PER_SYLLABLE = 206.835, 1.015, 84.6
 
 VOWELS = "aeiouyàáâäãåèéêëìíîïòóôöõùúûü"
 WORD_CHAR = r"\p{L}\p{N}_"
+TOKEN = rf"[{WORD_CHAR}]{{2,}}"
+# idf of a token in one text of a pair; in both it is 1
+IDF_ONE = math.log(1.5) + 1
 
 
 def throughput(tokens: Column, seconds: Column) -> Column:
@@ -99,3 +107,27 @@ def embedding_cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 when one of them is zero."""
     size = norm(a) * norm(b)
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+
+
+@F.arrow_udf(DoubleType())
+def _pair_cosine(left: pa.Array, right: pa.Array) -> pa.Array:
+    out = []
+    for a, b in zip(left.to_pylist(), right.to_pylist()):
+        if a is None or b is None or not (a or b):
+            out.append(None)
+            continue
+        a, b = Counter(a), Counter(b)
+        shared = a.keys() & b.keys()
+        size = lambda c: sum((n if t in shared else n * IDF_ONE) ** 2 for t, n in c.items())
+        whole = math.sqrt(size(a)) * math.sqrt(size(b))
+        out.append(sum(a[t] * b[t] for t in shared) / whole if whole else 0.0)
+    return pa.array(out, pa.float64())
+
+
+def tfidf_cosine(left: Column, right: Column) -> Column:
+    """TF-IDF cosine of two texts of a row, fitted on just the two.
+
+    Null when neither text has a token, or one of them is null; 0 when one has none.
+    """
+    tokens = [F.regexp_extract_all(F.lower(side), F.lit(TOKEN), F.lit(0)) for side in (left, right)]
+    return _pair_cosine(*tokens)

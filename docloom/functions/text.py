@@ -7,6 +7,7 @@ a cheap pattern cannot rule out.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
@@ -46,25 +47,40 @@ ENTITIES = {
 
 # Below U+0300 every string is already in composed form.
 _MAY_BE_DECOMPOSED = r"[\x{300}-\x{10FFFF}]"
-# A UTF-8 lead byte read as a single character, then a continuation byte read
-# as latin-1 or as windows-1252.
+# UTF-8 read as latin-1 or windows-1252: bytes 80 to BF as such characters.
 _TAIL = "\u0080-¿€‚ƒ„…†‡ˆ‰Š‹Œ" \
     "Ž‘’“”•–—˜™š›œžŸ"
-_MAY_BE_MOJIBAKE = f"[Â-ô][{_TAIL}]"
-_MOJIBAKE_RUN = re.compile(f"(?:[Â-ô][{_TAIL}]{{1,3}})+")
+# What only garbling leaves behind. An accented letter before a quote or a no-break space is
+# ordinary French or German and no evidence; so is any lead that is not followed as below.
+_EVIDENCE = (
+    rf"[ÂÃ][{_TAIL}]"
+    rf"|â[€\u0080-\u009f][{_TAIL}]"
+    rf"|ï(?:»¿|¬[{_TAIL}])"
+    rf"|ðŸ[{_TAIL}][{_TAIL}]"
+    r"|[ÎÏÐ][¡-ª¬-º¼-¿]"
+    rf"|(?<=[A-Za-z])[ÄÅ][{_TAIL}](?=[A-Za-z])"
+)
+_MAY_BE_MOJIBAKE = rf"[ÂÃÄÅÎÏÐ][{_TAIL}]|â[€\u0080-\u009f]|ï[»¬]|ðŸ"
+_MOJIBAKE_RUN = re.compile(f"(?:{_EVIDENCE})+")
+
+# Typographic characters and what they become.
+_CURLY = str.maketrans("‘’‚‛“”„‟", "\'\'\'\'\"\"\"\"")
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
 def _garbled_blanks() -> str:
-    """Pattern of all whitespace and C1 controls, UTF-8 read as one-byte text."""
+    """Pattern of the whitespace and C1 controls that repair would bring back."""
     blanks = [chr(c) for c in range(0x80, 0x3001) if chr(c).isspace() or 0x80 <= c <= 0x9F]
     seen = set()
     for blank in blanks:
         raw = blank.encode("utf-8")
         for charset in ("latin-1", "cp1252"):
             try:
-                seen.add(raw.decode(charset))
+                garbled = raw.decode(charset)
             except UnicodeError:
                 continue
+            if _MOJIBAKE_RUN.fullmatch(garbled):
+                seen.add(garbled)
     return "|".join(sorted(seen))
 
 
@@ -94,7 +110,7 @@ def strip_html(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"""</?[A-Za-z!?](?:[^<>"']++|"[^"]*"|'[^']*')*+>""", " ")
     out = F.when(text.contains("<"), out).otherwise(text)
-    return F.when(text.contains("&"), _decoded(out)).otherwise(out)
+    return _with_references(F.when(text.contains("&"), _decoded(out)).otherwise(out), out)
 
 
 def _decoded(text: Column) -> Column:
@@ -103,6 +119,28 @@ def _decoded(text: Column) -> Column:
     return text
 
 
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: html.unescape(t.replace("&nbsp;", " ").replace("&#160;", " ")), na_action="ignore")
+
+
+def _with_references(decoded: Column, raw: Column) -> Column:
+    """``decoded``, but rows with a reference beyond the common ones are decoded from ``raw`` by the full table."""
+    common = "|".join(re.escape(e[1:]) for e in ENTITIES)
+    return F.coalesce(_unescape(F.when(raw.rlike(f"&(?!{common})#?[A-Za-z0-9]+;"), raw)), decoded)
+
+
+def plain_characters(text: Column) -> Column:
+    """Curly quotes, full-width forms and ligatures as plain characters."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F)))
+    curly = "".join(map(chr, _CURLY))
+    out = F.translate(text, curly + wide, curly.translate(_CURLY) + narrow)
+    for ligature, letters in _LIGATURES.items():
+        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    return F.when(text.rlike("[\u2018-\u201f\ufb00-\ufb06\uff01-\uff5e]"), out).otherwise(text)
+
+
 def _redecode(run: str) -> str:
     for charset in ("cp1252", "latin-1"):
         try:
@@ -164,7 +202,7 @@ def clean_text(text: Column, flag: Column | None = None, unicode_repair: bool =
     """The whole cleaning chain in its fixed order."""
     out = strip_html(missing_token(text, flag))
     if unicode_repair:
-        out = repair_unicode(out)
+        out = plain_characters(repair_unicode(out))
     return collapse_ws(strip_controls(out))
 
 

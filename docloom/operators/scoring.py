@@ -12,14 +12,16 @@ from docloom.functions.text import strip
 from docloom.plans.lookup import lookup
 
 REQUEST = ["application_id", "question_id"]
-TOKEN = rf"[{M.WORD_CHAR}]{{2,}}"
-# idf of a token in one text of the pair; in both it is 1
-IDF_ONE = "ln(1.5D) + 1"
+
+
+def _last_entries(gold: DataFrame) -> DataFrame:
+    """Rows of the last entry of each application: it replaces the earlier ones as a whole."""
+    last = gold.groupBy("application_id").agg(F.max("ordinal").alias("ordinal"))
+    return gold.join(last, ["application_id", "ordinal"])
 
 
 def _last_gold(gold: DataFrame) -> DataFrame:
-    """One answer per request: the last entry of an application wins."""
-    return gold.groupBy(*REQUEST).agg(F.max_by("answer", "ordinal").alias("gold"))
+    return _last_entries(gold).groupBy(*REQUEST).agg(F.max("answer").alias("gold"))
 
 
 def join_gold(answers: DataFrame, gold: DataFrame, spread_by: list[str]) -> DataFrame:
@@ -44,7 +46,7 @@ def pair_tokens(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """
 
     def tokens(side: str) -> Column:
-        return F.regexp_extract_all(F.lower(F.col(side)), F.lit(TOKEN), F.lit(0))
+        return F.regexp_extract_all(F.lower(F.col(side)), F.lit(M.TOKEN), F.lit(0))
 
     sides = F.array(
         F.struct(F.lit(1).alias("l"), F.lit(0).alias("r"), tokens(left).alias("tokens")),
@@ -61,24 +63,8 @@ def pair_tokens(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
 
 
 def tfidf_pair_similarity(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, similarity): TF-IDF cosine of two texts, fitted on just the two.
-
-    Null when neither text has a token, or one of them is null. ``key`` has to
-    be unique.
-    """
-    both = (F.col("in_left") > 0) & (F.col("in_right") > 0)
-    idf = F.when(both, F.lit(1.0)).otherwise(F.expr(IDF_ONE))
-    real = F.col("token").isNotNull()
-    a = F.when(real, F.col("in_left") * idf)
-    b = F.when(real, F.col("in_right") * idf)
-    sums = (
-        pair_tokens(pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull()), key, left, right)
-        .groupBy(key)
-        .agg(F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
-    )
-    size = F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))
-    cosine = F.when(size > 0, F.col("ab") / size).when(F.col("aa").isNotNull(), 0.0)
-    return sums.select(key, cosine.alias("similarity"))
+    """(key, similarity): TF-IDF cosine of two texts, fitted on just the two; nothing is moved."""
+    return pairs.select(key, M.tfidf_cosine(F.col(left), F.col(right)).alias("similarity"))
 
 
 def pairwise_run_similarity(
@@ -151,10 +137,10 @@ def score_answers(
     input_token_cout and output_token_count.
     """
     judged = readability(join_gold(answers, gold, [key]), "answer")
-    accuracy = tfidf_pair_similarity(judged, key, "answer", "gold")
+    judged = judged.withColumn("similarity", M.tfidf_cosine(F.col("answer"), F.col("gold")))
     total = F.col("time_res_s") + F.col("time_rag_s")
     answer = F.col("answer")
-    return judged.join(accuracy, key, "left").select(
+    return judged.select(
         key,
         "run",
         "model",
@@ -182,27 +168,33 @@ def score_answers(
     )
 
 
-def score_answers_hosted(answers: DataFrame, gold: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+def score_answers_hosted(
+    answers: DataFrame, gold: DataFrame, vectors: DataFrame, key: str, empty_vec_id: int | None = None
+) -> DataFrame:
     """The metric record of answers from a hosted model.
 
     ``answers`` has ``key`` (unique), run, application_id, question_id, answer,
     latency, prompt_tokens, completion_tokens and answer_vec_id. ``gold`` carries
     ``gold_vec_id`` next to each answer; ``vectors`` (vec_id, embedding) holds the
-    vectors an embedding model gave. A request without gold has accuracy null.
+    vectors an embedding model gave. A request without gold is held against the empty
+    answer, whose vector is ``empty_vec_id``; without that its accuracy is null.
     """
-    best = gold.groupBy(*REQUEST).agg(F.max_by("gold_vec_id", "ordinal").alias("gold_vec_id"))
+    best = _last_entries(gold).groupBy(*REQUEST).agg(F.max("gold_vec_id").alias("gold_vec_id"))
     by_gold = vectors.select(F.col("vec_id").alias("gold_vec_id"), F.col("embedding").alias("gold_vec"))
     known = best.join(by_gold, "gold_vec_id").drop("gold_vec_id")
     # both sides are large here: adaptive execution splits a vector many answers share
     by_answer = vectors.select(F.col("vec_id").alias("answer_vec_id"), F.col("embedding"))
     judged = lookup(answers, known, REQUEST, [key]).join(by_answer, "answer_vec_id", "left")
+    if empty_vec_id is not None:
+        empty = vectors.filter(F.col("vec_id") == empty_vec_id).agg(F.first("embedding")).scalar()
+        judged = judged.withColumn("gold_vec", F.coalesce("gold_vec", empty))
     scored = readability(judged, "answer").withColumns(
         {
             "total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"),
             "total_cost": M.token_cost(F.col("prompt_tokens"), F.col("completion_tokens")),
             "throughput": M.throughput(F.col("completion_tokens"), F.col("latency")),
             "accuracy": F.when(
-                F.col("gold_vec").isNotNull(), M.embedding_cosine(F.col("embedding"), F.col("gold_vec"))
+                F.col("gold_vec").isNotNull() & F.col("embedding").isNotNull(), M.embedding_cosine(F.col("embedding"), F.col("gold_vec"))
             ),
         }
     ).drop("gold_vec", "answer_vec_id")

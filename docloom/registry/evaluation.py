@@ -35,7 +35,8 @@ def gold(spark, d) -> DataFrame:
         F.concat(F.lit("app"), (F.col("item_id") % 20).cast("string")).alias("application_id"),
         (F.floor(F.col("item_id") / 20) % 5 + 1).cast("bigint").alias("question_id"),
         F.col("text").alias("answer"),
-        F.col("item_id").alias("ordinal"),
+        F.floor(F.col("item_id") / 100).alias("ordinal"),
+        "item_id",
     )
 
 
@@ -179,7 +180,7 @@ def hosted_records(spark, d) -> DataFrame:
         M.word_count(F.col("answer")).alias("completion_tokens"),
         _vector_of(spark, d).alias("answer_vec_id"),
     )
-    best = gold(spark, d).withColumn("gold_vec_id", F.col("ordinal"))
+    best = gold(spark, d).withColumnRenamed("item_id", "gold_vec_id")
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     return S.score_answers_hosted(answers, best, vectors, "pair_id")
 
@@ -241,7 +242,7 @@ def _solid(x: str) -> str:
 
 _JUDGED = f"""{sql.PAIRS},
 judged AS (
-  SELECT p.*, g.gold, g.ordinal FROM pairs p LEFT JOIN last_gold g USING (application_id, question_id))"""
+  SELECT p.*, g.gold FROM pairs p LEFT JOIN last_gold g USING (application_id, question_id))"""
 _VECTORED = f"""{sql.PAIRS},
 vectored AS (
   SELECT p.*, e.embedding::DOUBLE[] AS v FROM pairs p
@@ -301,5 +302,5 @@ ORACLES = {
         round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 6) AS accuracy,
         round(coalesce(similarity_sum / n_others, 1), 6) AS consistency
       FROM vectored LEFT JOIN last_gold g USING (application_id, question_id)
-        LEFT JOIN embeddings e ON e.vec_id = g.ordinal LEFT JOIN peers USING (pair_id)""",
+        LEFT JOIN embeddings e ON e.vec_id = g.item_id LEFT JOIN peers USING (pair_id)""",
 }

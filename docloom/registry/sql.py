@@ -226,10 +226,10 @@ pairs AS (
   WHERE u.role = 'user'),
 gold AS (
   SELECT 'app' || (item_id % 20) AS application_id, (item_id // 20) % 5 + 1 AS question_id,
-         text AS answer, item_id AS ordinal FROM benchmark),
+         text AS answer, item_id, item_id // 100 AS ordinal FROM benchmark),
 last_gold AS (
-  SELECT application_id, question_id, arg_max(answer, ordinal) AS gold, max(ordinal) AS ordinal
-  FROM gold GROUP BY ALL)"""
+  SELECT application_id, question_id, answer AS gold, item_id
+  FROM (SELECT *, max(ordinal) OVER (PARTITION BY application_id) AS last FROM gold) WHERE ordinal = last)"""
 
 TFIDF = r"""
 sides AS (

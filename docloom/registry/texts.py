@@ -57,11 +57,17 @@ def collapse_ws(spark, d):
     return _docs(spark, d).select("doc_id", T.collapse_ws(spaced).alias("text"))
 
 
+#: Added to prose: references, curly quotes, a ligature, full-width letters, French quotes.
+ODD = " &lsquo;caf&eacute;&#8217; “ﬁne” Ａ１ « cité\u00a0» Ã©tÃ©"
+ODD_CLEAN = " 'café' \"fine\" A1 « cité » été"
+
+
 def clean_text(spark, d):
-    """Marked-up pages and prose with decomposed letters, whole chain."""
+    """Marked-up pages and prose with decomposed letters and odd characters, whole chain."""
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("raw"))
     prose = _docs(spark, d).select(
-        (-F.col("doc_id") - 1).alias("id"), F.replace("text", F.lit("é"), F.lit(ACUTE)).alias("raw")
+        (-F.col("doc_id") - 1).alias("id"),
+        F.concat(F.replace("text", F.lit("é"), F.lit(ACUTE)), F.lit(ODD)).alias("raw"),
     )
     return pages.unionByName(prose).select("id", T.clean_text(F.col("raw")).alias("text"))
 
@@ -209,7 +215,7 @@ ORACLES = {
     "collapse_ws": f"""SELECT doc_id, {sql.collapse_ws("chr(10) || ' ' || replace(text, ' ', ' ' || chr(160) || chr(8195)) || chr(9)")} AS text
       FROM documents""",
     "clean_text": f"""SELECT page_id AS id, {sql.clean('html')} AS text FROM pages
-      UNION ALL SELECT -doc_id - 1, {sql.clean("replace(text, 'é', 'e' || chr(769))")} FROM documents""",
+      UNION ALL SELECT -doc_id - 1, {sql.clean("replace(text, 'é', 'e' || chr(769)) || " + _quoted(ODD_CLEAN))} FROM documents""",
     "clean_udf": "SELECT doc_id, nfc_normalize(replace(text, 'é', 'e' || chr(769))) AS text FROM documents",
     "mask_references": r"""SELECT doc_id, regexp_replace(regexp_replace(
         'Planning Portal Reference: PP-' || (doc_id + 11000000) || ' at WA14 ' || (doc_id % 10) || 'QP. ' || text,

@@ -4,7 +4,9 @@ import pytest
 
 from docloom.functions import compose as P
 from docloom.functions import text as T
+from docloom.operators import extract as X
 from docloom.operators import items as I
+from docloom.sources import read_item_docs
 from pyspark.sql import functions as F
 
 
@@ -70,6 +72,19 @@ def test_survives_cleaning_agrees_with_cleaning(spark):
     assert [r.short for r in rows] == [r.chain for r in rows]
 
 
+def test_repair_needs_evidence(spark):
+    sound = ["« café\u00a0»", "voilà\u00a0»", "RÉSUMÉ\u00a0:", "“CAFÉ”", "Â ge", "où\u00a0?", "„Größe“", "Åse"]
+    assert apply(spark, T.fix_mojibake, *sound) == sound
+    garbled = ["cafÃ©", "Â£5", "itâ€™s", "cÅ“ur", "ðŸ˜€", "ï»¿x", "Ã©Ã¨Ã\u00a0 là\u00a0»"]
+    assert apply(spark, T.fix_mojibake, *garbled) == ["café", "£5", "it’s", "cœur", "😀", "\ufeffx", "éèà là\u00a0»"]
+
+
+def test_references_and_typography(spark):
+    texts = ["&#8217;&#xA3;&eacute;&rarr;&nbsp;x", "AT&T &amp;eacute; &lt;b&gt;", "&unknown; &amp;", None]
+    assert apply(spark, T.strip_html, *texts) == ["’£é→ x", "AT&T &eacute; <b>", "&unknown; &", None]
+    assert apply(spark, T.plain_characters, "“ﬁ” ‘Ａ！’ é", "plain") == ["\"fi\" 'A!' é", "plain"]
+
+
 def test_mask_references(spark):
     text = "Planning Portal Reference: PP-11298341 at WA14 4QP and M1 1AE, not PPX-1"
     assert apply(spark, T.mask_references, text) == [
@@ -97,6 +112,25 @@ def items(spark):
     return spark.createDataFrame(rows, ITEM)
 
 
+def test_broken_and_empty_item_files(spark, tmp_path):
+    for name, content in {"broken": '[{"type":"text"', "empty": "[]", "odd": "[1]", "good": '[{"type":"image","section":"S"}]'}.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    rows = read_item_docs(spark, str(tmp_path))
+    assert {r.doc_path.split("/")[-1]: r.malformed for r in rows.collect()} == {
+        "broken.json": True, "empty.json": False, "odd.json": True, "good.json": False,
+    }
+    lines = {r.doc_path.split("/")[-1]: r.input for r in I.compose_lines(rows).collect()}
+    assert lines == {"empty.json": P.EMPTY_DOCUMENT_LINE, "good.json": "Image: S"}
+
+
+def test_documents_without_items_keep_a_line(items, spark):
+    docs = spark.createDataFrame([("a",), ("c",), ("c",)], "doc string")
+    got = I.compose_lines(items.filter("doc = 'a'"), "doc", docs=docs).filter("doc = 'c'").collect()
+    assert [(r.idx, r.input) for r in got] == [(None, P.EMPTY_DOCUMENT_LINE)]
+    counts = {r.doc: (r.n_items, r.counts) for r in X.count_items(items.filter("doc = 'a'"), "doc", docs).collect()}
+    assert counts["c"] == (0, "") and counts["a"][0] == 9
+
+
 def test_compose_lines(items):
     lines = {(r.doc, r.idx): r.input for r in I.compose_lines(items, "doc").collect()}
     assert lines == {
