@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import ann, brown, decontaminate, licenses, packing, pii, simhash, substring, toxicity, urlfilter
+from docloom.llm.columns import few_texts_at_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    few_texts_at_once(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
