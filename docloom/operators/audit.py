@@ -12,11 +12,15 @@ def corpus_audit(
     """(measure, name, n): what the corpus should hold and what it does.
 
     Measures: expected, present, missing (in the manifest only), unlisted, empty
-    (no items), the column sets documents come with, and items by type.
+    (no items), the column sets documents come with, and items by type. Column sets
+    are the ``keys`` found in the files; items made here have none and get those they
+    would be written with.
     """
     expected = manifest.select(doc).distinct().withColumn("expected", F.lit(1))
     present = docs.select(doc).distinct().withColumn("present", F.lit(1))
+    observed = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))), ",").alias("columns")] if "keys" in items.columns else []
     shape = items.groupBy(doc).agg(
+        *observed,
         F.bool_or(F.col("type").isin("text", "header")).alias("texts"),
         F.bool_or(F.col("type") == "checkbox").alias("boxes"),
     )
@@ -32,7 +36,7 @@ def corpus_audit(
         ),
         ",",
     )
-    both = expected.join(present, doc, "full").join(shape.withColumn("columns", columns), doc, "left")
+    both = expected.join(present, doc, "full").join(shape if observed else shape.withColumn("columns", columns), doc, "left")
     here, listed = F.col("present").isNotNull(), F.col("expected").isNotNull()
     facts = F.array(
         F.when(listed, F.lit("expected")),

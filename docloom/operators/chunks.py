@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,29 +70,31 @@ def chunk_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     rows_per_batch: int = 512,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, chunk, document): chunk counts from 0 inside each document.
+    """(key, chunk, document) and the columns in ``keep``; chunk counts from 0 inside each document.
 
     Whole texts go through Arrow batches; a document is split on its own, so no
     shuffle is needed.
     """
-    key_type = docs.schema[key].dataType.simpleString()
+    carried = [key, *keep]
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), rows_per_batch):
                 part = batch.iloc[at : at + rows_per_batch]
                 found = [
-                    (k, n, chunk)
-                    for k, body in zip(part[key], part[text])
+                    (*own, n, chunk)
+                    for *own, body in zip(*[part[c] for c in carried], part[text])
                     if body and body.strip()
                     for n, chunk in enumerate(split_text(body, size, overlap))
                 ]
                 if found:
-                    yield pd.DataFrame(found, columns=[key, "chunk", "document"])
+                    yield pd.DataFrame(found, columns=[*carried, "chunk", "document"])
 
-    return docs.select(key, text).mapInPandas(
-        split_batches, schema=f"`{key}` {key_type}, chunk bigint, document string"
+    return docs.select(*carried, text).mapInPandas(
+        split_batches, schema=f"{types}, chunk bigint, document string"
     )
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import WS
 from docloom.plans.lookup import lookup
+from docloom.plans.stored import stored
 
 SEGMENT_ROWS = 200_000
 
@@ -262,20 +263,14 @@ def extract_items(
     return items_from_annotated(annotate_elements(elements, doc, segment_rows), doc)
 
 
-def rejected_docs(
-    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
-    """Documents that cannot be extracted, one row each.
+_FLAGS = ("null_text", "null_html", "malformed")
 
-    A document is rejected when it is no JSON array of objects, when an element
-    that is looked at lacks its type or metadata, has null markup, or when a
-    neighbour whose label or question is asked for has an explicit null text.
-    """
-    flags = {
-        name: F.col(name) if name in elements.columns else F.lit(False)
-        for name in ("null_text", "null_html", "malformed")
-    }
-    df = annotate_elements(elements.withColumns(flags), doc, segment_rows)
+
+def _flagged(elements: DataFrame) -> DataFrame:
+    return elements.withColumns({name: F.col(name) if name in elements.columns else F.lit(False) for name in _FLAGS})
+
+
+def _rejected(annotated: DataFrame, flagged: DataFrame, doc: str) -> DataFrame:
     unanswered, seen = [], []
     for k, b in enumerate(_BACK, start=1):
         unanswered.append(" AND ".join([f"idx - {k} >= 1", f"{b}_null", *[f"NOT {_asks(s)}" for s in seen]]))
@@ -284,8 +279,38 @@ def rejected_docs(
         OR (contains(text_as_html, '{CHECKBOX_MARK}') AND NOT is_title
             AND (coalesce(back1_null, false) OR coalesce(following_null, false)))
         OR (answers AND pending IS NULL AND ({" OR ".join(f"({u})" for u in unanswered)})))"""
-    broken = elements.withColumns(flags).filter(F.col("malformed") & F.col("idx").isNull())
-    return df.filter(fails).select(doc).unionByName(broken.select(doc)).distinct()
+    broken = flagged.filter(F.col("malformed") & F.col("idx").isNull())
+    return annotated.filter(fails).select(doc).unionByName(broken.select(doc)).distinct()
+
+
+def rejected_docs(
+    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """Documents that cannot be extracted, one row each.
+
+    A document is rejected when it is no JSON array of objects, when an element
+    that is looked at lacks its type or metadata, has null markup, or when a
+    neighbour whose label or question is asked for has an explicit null text.
+    """
+    flagged = _flagged(elements)
+    return _rejected(annotate_elements(flagged, doc, segment_rows), flagged, doc)
+
+
+def extract_sound(
+    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Items of the sound documents, and the rejected documents; ``elements`` are read and annotated once.
+
+    A sound document without items keeps one row with null ``idx``. Elements as they
+    are parsed and as they are annotated are stored for the steps that follow.
+    """
+    flagged = stored(_flagged(elements), "elements")
+    annotated = stored(annotate_elements(flagged, doc, segment_rows), "annotated")
+    rejected = stored(_rejected(annotated, flagged, doc), "rejected")
+    items = items_from_annotated(annotated, doc).join(rejected, doc, "left_anti")
+    sound = flagged.select(doc).distinct().join(rejected, doc, "left_anti")
+    bare = sound.join(items.select(doc).distinct(), doc, "left_anti")
+    return items.unionByName(bare, allowMissingColumns=True), rejected
 
 
 def quarantine_docs(

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType
 
 from docloom.functions.metrics import dot, norm, squared_l2
-from docloom.functions.prompts import parse_rank_score
+from docloom.functions.prompts import build_prompt, parse_rank_score
 from docloom.plans.stored import stored
 
 # Hits kept by distance; chunks kept after reranking per model flavour.
 N_HITS = 20
 TOP_N = {"gemma": 10, "phi": 6}
 
-SHARDS = 16
+#: Chunks of one shard, about.
+SHARD_ROWS = 50_000
 
 
 def filter_application(chunks: DataFrame, application: str | None) -> DataFrame:
@@ -43,7 +47,7 @@ def knn_join(
     k: int = N_HITS,
     metric: str = "l2",
     scope: str = "application",
-    shards: int = SHARDS,
+    shards: int | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, distance, rank) of the k nearest chunks of each query.
 
@@ -51,8 +55,11 @@ def knn_join(
     ``chunks`` has chunk_id, embedding, application. Chunks are dealt over shards
     and the queries repeated once per shard, so that the join is by equal keys, an
     application with a third of all chunks is many tasks, and no side has to be
-    broadcast; Spark still does so where the queries are few.
+    broadcast; Spark still does so where the queries are few. There are as many shards
+    as the number of chunks asks for. Vectors travel as they are stored.
     """
+    if shards is None:
+        shards = max(1, -(-chunks.count() // SHARD_ROWS))
     if scope not in ("application", "global"):
         raise ValueError(f"unknown scope {scope!r}")
     on = ["shard", "application"] if scope == "application" else ["shard"]
@@ -60,14 +67,14 @@ def knn_join(
     asked = queries.select(
         "query_id",
         *[c for c in on if c != "shard"],
-        F.col("embedding").cast("array<double>").alias("query_vec"),
+        F.col("embedding").alias("query_vec"),
         *([norm(F.col("embedding")).alias("query_norm")] if with_norm else []),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
     dealt = chunks.select(
         "chunk_id",
         *[c for c in on if c != "shard"],
-        F.col("embedding").cast("array<double>").alias("chunk_vec"),
+        F.col("embedding").alias("chunk_vec"),
         *([norm(F.col("embedding")).alias("chunk_norm")] if with_norm else []),
         F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"),
     )
@@ -79,36 +86,53 @@ def knn_lsh(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = N_HITS,
-    bucket_length: float = 1.0,
-    tables: int = 6,
+    width: float = 2.0,
+    tables: int = 8,
+    hashes: int = 8,
     seed: int = 7,
+    sample: int = 10_000,
 ) -> DataFrame:
     """Approximate l2 search over all chunks: random projection buckets, exact distances.
 
-    Only chunks that share a bucket with a query are measured. A query whose
+    A bucket is ``hashes`` projections together, each cut into steps of ``width``
+    spreads; the spread is measured on ``sample`` chunks. Only ids go through the
+    buckets; vectors are joined to the distinct pairs that are left. A query whose
     buckets hold fewer than k chunks is searched exactly, so every query gets its
     k hits.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    asked = queries.select("query_id", array_to_vector("embedding").alias("vector"))
-    held = chunks.select("chunk_id", array_to_vector("embedding").alias("vector"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="vector", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(held)
-    near = model.approxSimilarityJoin(held, asked, float("inf"), distCol="l2").select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.chunk_id").alias("chunk_id"),
-        (F.col("l2") * F.col("l2")).alias("distance"),
-    )
-    top = stored(_top(near, k), "nearest")
+    asked, held = queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding")
+    near = lsh_pairs(asked, held, width, tables, hashes, seed, sample)
+    pairs = near.join(asked.withColumnRenamed("embedding", "query_vec"), "query_id")
+    pairs = pairs.join(held.withColumnRenamed("embedding", "chunk_vec"), "chunk_id")
+    top = stored(_top(pairs.select("query_id", "chunk_id", _distance("l2").alias("distance")), k), "nearest")
     served = top.filter(F.col("rank") == k).select("query_id")
     rest = queries.join(served, "query_id", "left_anti")
     filled = knn_join(rest, chunks, k, "l2", "global")
     return top.join(served, "query_id", "left_semi").unionByName(filled)
 
 
+def lsh_pairs(
+    asked: DataFrame, held: DataFrame, width: float, tables: int, hashes: int, seed: int, sample: int
+) -> DataFrame:
+    """Distinct (query_id, chunk_id) that share a bucket of any table."""
+    some = held.limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
+    points = np.array(some, dtype=float) if some else np.zeros((1, 1))
+    rng = np.random.default_rng(seed)
+    lines = rng.normal(size=(tables * hashes, points.shape[1]))
+    step = max(width * float((points @ lines.T).std(axis=0).mean()), 1e-9)
+    shifts = rng.uniform(0, step, size=tables * hashes)
+
+    @F.arrow_udf(ArrayType(BinaryType()))
+    def buckets(vectors: pa.Array) -> pa.Array:
+        x = np.array(vectors.to_pylist(), dtype=float).reshape(-1, lines.shape[1])
+        cells = np.floor((x @ lines.T + shifts) / step).astype("<i4")
+        return pa.array([[c.tobytes() for c in row.reshape(tables, hashes)] for row in cells], pa.list_(pa.binary()))
+
+    left = asked.select("query_id", F.posexplode(buckets("embedding")).alias("table", "bucket"))
+    right = held.select("chunk_id", F.posexplode(buckets("embedding")).alias("table", "bucket"))
+    return left.join(right, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
+
+
 def fetch_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
@@ -121,7 +145,9 @@ def attach_scores(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """
     if "score" not in scores.columns:
         scores = scores.withColumn("score", parse_rank_score(F.col("reply")))
-    return hits.join(scores.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").withColumn(
+    # a hit scored twice keeps its best score
+    best = scores.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return hits.join(best, ["query_id", "chunk_id"], "left").withColumn(
         "score", F.coalesce("score", F.lit(0))
     )
 
@@ -137,9 +163,32 @@ def rerank_topn(scored: DataFrame, n: int) -> DataFrame:
 def build_context(selected: DataFrame, order: str = "chunk_id") -> DataFrame:
     """(query_id, context): chunk texts of a query, each after an empty line.
 
+    Chunks come by the number their id ends with (``md_2`` before ``md_10``).
     ``selected`` holds the few chunks reranking kept, with their ``document``.
     """
-    parts = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("document").alias("text"))))
+    number = F.regexp_extract(F.col(order).cast("string"), "([0-9]+)$", 1).try_cast("bigint")
+    place = F.struct(number.alias("number"), F.col(order).alias("at"), F.col("document").alias("text"))
+    parts = F.sort_array(F.collect_list(place))
     return selected.groupBy("query_id").agg(parts.alias("parts")).select(
         "query_id", F.concat(F.lit("\n\n"), F.array_join("parts.text", "\n\n")).alias("context")
     )
+
+
+def retrieve_prompt(
+    queries: DataFrame, chunks: DataFrame, scores: DataFrame, template: str, n: int, k: int = N_HITS
+) -> DataFrame:
+    """(query_id, prompt, n_chunks): from queries to prompts.
+
+    Nearest chunks of the query's application, model scores (``scores``: query_id,
+    chunk_id and score or reply), the ``n`` best, their texts in order, the prompt.
+    ``queries`` has query_id, application, embedding, question; ``chunks`` has chunk_id,
+    application, embedding, document.
+    """
+    found = stored(knn_join(queries, chunks, k), "hits")
+    kept = rerank_topn(attach_scores(found, scores), n).select("query_id", "chunk_id")
+    texts = fetch_by_ids(chunks, kept).select("chunk_id", "document")
+    context = build_context(kept.join(texts, "chunk_id"))
+    counts = kept.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    ready = queries.select("query_id", "question").join(context, "query_id").join(counts, "query_id")
+    prompt = build_prompt(F.lit(template), F.col("context"), F.col("question"))
+    return ready.select("query_id", prompt.alias("prompt"), "n_chunks")

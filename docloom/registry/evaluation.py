@@ -252,6 +252,17 @@ peers AS (
   FROM vectored a JOIN vectored b ON a.application_id = b.application_id AND a.question_id = b.question_id
     AND a.pair_id <> b.pair_id AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.pair_id)"""
 
+hosted_sql = f"""{_VECTORED},
+hosted AS (
+  SELECT pair_id, length(answer) / 50.0::DOUBLE AS latency,
+    {n_words('question')} / 1000.0::DOUBLE * 0.0003::DOUBLE + {n_words('answer')} / 1000.0::DOUBLE * 0.0025::DOUBLE AS total_cost,
+    CASE WHEN length(answer) > 0 THEN {n_words('answer')} / (length(answer) / 50.0::DOUBLE) ELSE 0 END AS throughput,
+    {_ease('answer')} AS flesch_reading_ease,
+    list_cosine_similarity(v, e.embedding::DOUBLE[]) AS accuracy,
+    coalesce(similarity_sum / n_others, 1) AS consistency
+  FROM vectored LEFT JOIN last_gold g USING (application_id, question_id)
+    LEFT JOIN embeddings e ON e.vec_id = g.item_id LEFT JOIN peers USING (pair_id))"""
+
 ORACLES = {
     "request_grid": """SELECT run, source AS application_id, item_id + 1 AS question_id, text AS question
       FROM (SELECT DISTINCT source FROM documents) CROSS JOIN benchmark CROSS JOIN range(1, 4) r(run)""",

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from docloom import sinks, sources
 from docloom.operators import chunks as C
 from docloom.registry import sql
-from docloom.registry.evaluation import hosted_records, local_records, n_words
+from docloom.registry.evaluation import hosted_records, hosted_sql, local_records, n_words
 from docloom.registry.extraction import items
 from docloom.registry.tables import documents, elements, table
 from docloom.registry.trainlogs import SPEED, log
 from docloom.session import work_folder
+from docloom.sinks.tables import REPORT_DECIMALS, REPORT_HEADERS
 from docloom.streaming import stream_ingest_docs, stream_token_speed
 
 PART = "part-*"
@@ -55,23 +56,14 @@ def read_element_docs(spark, d):
 
 
 def read_item_docs(spark, d):
-    """Items written as one array per document, read back with their two-typed value."""
-    rows = items(spark, d)
-    fields = F.to_json(
-        F.struct("idx", "type", F.col("value_text").alias("value"), "question", "section", "page_number")
-    )
-    flags = F.to_json(
-        F.struct("idx", "type", F.col("value_bool").alias("value"), "question", "section", "page_number")
-    )
-    line = F.struct("idx", F.when(F.col("type") == "checkbox", flags).otherwise(fields).alias("json"))
-    docs = rows.groupBy(F.col("doc_id").alias("doc")).agg(F.sort_array(F.collect_list(line)).alias("lines")).select(
-        "doc", F.concat(F.lit("["), F.array_join("lines.json", ","), F.lit("]")).alias("content")
-    )
+    """Items written by the item sink, read back with their two-typed value and the keys each kind has."""
+    apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "items")
-    docs.repartition("doc").write.partitionBy("doc").text(folder)
+    sinks.write_items(items(spark, d).join(apps, "doc_id").withColumnRenamed("doc_id", "document"), folder)
     read = sources.read_item_docs(spark, folder, PART)
     return read.select(
-        _doc_of("doc_path").alias("doc_id"), "type", "question", "value_text", "value_bool", "section", "page_number"
+        F.regexp_extract("doc_path", r"document=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+        "type", "question", "value_text", "value_bool", "section", "page_number", F.array_join("keys", ",").alias("keys"),
     )
 
 
@@ -130,14 +122,17 @@ def save_dataset(spark, d):
 
 
 def write_items(spark, d):
-    """Items below their application folder, read back with their output key."""
+    """Every document's file: its key, its application and how many items of which kinds it holds."""
     apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "written")
-    name = F.concat("application", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf.json"))
-    rows = items(spark, d).join(apps, "doc_id").withColumn("key", sinks.item_key(name))
+    rows = items(spark, d).join(apps, "doc_id").withColumn("document", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf.json")))
     sinks.write_items(rows, folder)
-    schema = "doc_id bigint, idx bigint, type string, value_text string, key string, application string"
-    return spark.read.schema(schema).json(folder)
+    read = sources.read_item_docs(spark, folder, PART)
+    application = F.regexp_extract("doc_path", "application=([^/]+)", 1)
+    name = F.regexp_extract("doc_path", "document=([^/]+)", 1)
+    return read.groupBy(sinks.item_key(F.concat_ws("/", application, name)).alias("key"), application.alias("application")).agg(
+        F.count("idx").alias("n_items"), F.count(F.when(F.col("type") == "checkbox", 1)).alias("n_boxes"), F.bool_or("malformed").alias("malformed")
+    )
 
 
 def append_metrics_csv(spark, d):
@@ -152,10 +147,11 @@ def append_metrics_csv(spark, d):
 
 def write_report_csv(spark, d):
     folder = work_folder(spark, "report")
-    columns = ["pair_id", "latency", "total_cost", "throughput"]
+    columns = ["pair_id", *REPORT_DECIMALS]
     sinks.write_report_csv(hosted_records(spark, d).select(*columns), folder)
-    schema = "pair_id bigint, latency string, total_cost string, throughput string"
-    return spark.read.schema(schema).option("header", True).csv(folder)
+    read = spark.read.option("header", True).csv(folder)
+    names = {header: column for column, header in REPORT_HEADERS.items()}
+    return read.select(F.col("pair_id").cast("bigint").alias("pair_id"), *[F.col(f"`{c}`").alias(names[c]) for c in read.columns[1:]])
 
 
 def upsert_chunks(spark, d):
@@ -171,6 +167,16 @@ def upsert_chunks(spark, d):
     return spark.read.parquet(path).select("chunk_id", F.md5("document").alias("digest"))
 
 
+def populate_chunks(spark, d):
+    path = work_folder(spark, "store")
+    docs = documents(spark, d).select(
+        F.col("doc_id").cast("string").alias("path"), F.col("source").alias("application"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), "text",
+    )
+    sinks.populate_chunks(docs, path)
+    return spark.read.parquet(path).select("chunk_id", "application", "filename", F.md5("document").alias("digest"))
+
+
 def stream_speed(spark, d):
     """The batch rates from a file stream of the event log."""
     folder = work_folder(spark, "speed")
@@ -203,6 +209,7 @@ QUERIES = {
     "append_metrics_csv": append_metrics_csv,
     "write_report_csv": write_report_csv,
     "upsert_chunks": upsert_chunks,
+    "populate_chunks": populate_chunks,
     "stream_token_speed": stream_speed,
     "stream_ingest_docs": stream_ingest,
 }
@@ -212,6 +219,8 @@ _LABELLED = "doc_id IN (SELECT doc_id FROM labels)"
 ORACLES = {
     "read_element_docs": f"WITH {sql.ELEMENTS} SELECT doc_id, idx, type, text, text_as_html, page_number FROM elements",
     "read_item_docs": f"""WITH {sql.ITEMS} SELECT doc_id, type, question, value_text, value_bool, section, page_number
+      , array_to_string(list_sort(CASE type WHEN 'checkbox' THEN ['page_number','question','section','type','value']
+        WHEN 'image' THEN ['page_number','section','type'] ELSE ['page_number','section','type','value'] END), ',') AS keys
       FROM items""",
     "read_markdown_docs": "SELECT doc_id, source, text FROM documents WHERE trim(text, ' ' || chr(10)) <> ''",
     "read_ordered_lines": """SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ordinal,
@@ -221,17 +230,21 @@ ORACLES = {
     "read_gold_answers": """SELECT 'app' || item_id AS application_id, item_id % 5 + 1 AS question_id, text AS answer
       FROM benchmark""",
     "load_dataset": "SELECT doc_id, text, source FROM documents",
-    "write_items": f"""WITH {sql.ITEMS} SELECT doc_id, idx, type, value_text, source || '/' || doc_id || '.json' AS key,
-      source AS application FROM items""",
+    "write_items": f"""WITH {sql.ITEMS} SELECT source || '/' || doc_id || '.json' AS key, source AS application,
+      count(*) AS n_items, count(*) FILTER (type = 'checkbox') AS n_boxes, false AS malformed FROM items GROUP BY doc_id, source""",
     "write_jsonl": "SELECT text AS input FROM documents",
     "append_metrics_csv": f"""WITH {sql.PAIRS} SELECT pair_id, pair_id % 3 + 1 AS run, answer,
       {n_words('answer')} AS word_count_answ FROM pairs CROSS JOIN range(2)""",
-    "write_report_csv": f"""WITH {sql.PAIRS} SELECT pair_id, printf('%.4f', length(answer) / 50.0::DOUBLE) AS latency,
-      printf('%.6f', {n_words('question')} / 1000.0::DOUBLE * 0.0003::DOUBLE + {n_words('answer')} / 1000.0::DOUBLE * 0.0025::DOUBLE) AS total_cost,
-      printf('%.2f', CASE WHEN length(answer) > 0 THEN {n_words('answer')} / (length(answer) / 50.0::DOUBLE) ELSE 0 END) AS throughput
-      FROM pairs""",
+    "write_report_csv": f"""WITH {hosted_sql}
+      SELECT pair_id, printf('%.4f', latency) AS latency, printf('%.6f', total_cost) AS total_cost,
+        printf('%.2f', throughput) AS throughput, printf('%.2f', flesch_reading_ease) AS flesch_reading_ease,
+        printf('%.4f', accuracy) AS accuracy, printf('%.4f', consistency) AS consistency FROM hosted""",
     "upsert_chunks": f"""WITH {sql.FIXED_CHUNKS} SELECT 'md_' || doc_id || '_' || chunk AS chunk_id,
       md5(CASE WHEN {_LABELLED} THEN document ELSE 'later ' || document END) AS digest FROM fixed""",
+    "populate_chunks": f"""WITH RECURSIVE {sql.SPLIT_CHUNKS}
+      SELECT 'md_' || (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), chunk) - 1) AS chunk_id,
+        source AS application, doc_id || '.md' AS filename, md5(document) AS digest
+      FROM numbered JOIN documents USING (doc_id)""",
     "stream_token_speed": SPEED,
     "stream_ingest_docs": f"""WITH {sql.ITEMS}
       SELECT doc_id, idx, type, question, value_text, value_bool, section, page_number FROM items""",

@@ -6,17 +6,7 @@ TOKEN_LINE = T.StructType(
     [
         T.StructField("input_ids", T.ArrayType(T.IntegerType())),
         T.StructField("attention_mask", T.ArrayType(T.ByteType())),
-    ]
-)
-
-ITEM = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField("question", T.StringType()),
-        T.StructField("value_text", T.StringType()),
-        T.StructField("value_bool", T.BooleanType()),
-        T.StructField("section", T.StringType()),
-        T.StructField("page_number", T.LongType()),
+        T.StructField("corrupt_record", T.StringType()),
     ]
 )
 
@@ -32,14 +22,7 @@ GOLD_FILE = T.StructType(
                     ]
                 )
             ),
-        )
-    ]
-)
-
-CHUNK = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("chunk", T.LongType()),
-        T.StructField("document", T.StringType()),
+        ),
+        T.StructField("corrupt_record", T.StringType()),
     ]
 )

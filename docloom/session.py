@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,16 +32,24 @@ def build_session(app: str = "docloom", cpus: str | int = "*", **conf: str) -> S
     return spark
 
 
+def _work_root(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        # the warehouse is a folder all executors reach too
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/docloom-{spark.sparkContext.applicationId}"
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path of this application in the shared folder.
 
-    Only a local session without that setting falls back to a temporary folder
-    of this machine; on a cluster executors could not see such a folder, so the
-    call fails instead.
+    That is ``spark.checkpoint.dir`` or, where it is unset, ``spark.sql.warehouse.dir``.
+    ``drop_work`` removes all of the application's.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="docloom-")
-    return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+    return f"{_work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete everything this application stored; call it once its results are written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -2,8 +2,10 @@
 
 from docloom.sinks.tables import (  # noqa: F401
     append_metrics_csv,
+    item_documents,
     item_key,
     new_chunks,
+    populate_chunks,
     report_columns,
     save_dataset,
     upsert_chunks,

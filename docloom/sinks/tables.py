@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docloom.operators.chunks import chunk_documents, number_chunks
+from docloom.plans.stored import stored
+
 # Decimals of the report columns.
 REPORT_DECIMALS = {
     "latency": 4,
@@ -19,6 +22,24 @@ REPORT_DECIMALS = {
     "consistency": 4,
 }
 
+# Columns of the report in order, and their headers.
+REPORT_HEADERS = {
+    "run": "Run",
+    "answer": "Answer",
+    "latency": "Latency (s)",
+    "prompt_tokens": "Prompt Tokens",
+    "completion_tokens": "Completion Tokens",
+    "total_tokens": "Total Tokens",
+    "total_cost": "Total Cost ($)",
+    "throughput": "Throughput (tokens/s)",
+    "word_count": "Word Count",
+    "char_count": "Character Count",
+    "sentence_count": "Sentence Count",
+    "flesch_reading_ease": "Flesch Reading Ease",
+    "accuracy": "Accuracy",
+    "consistency": "Consistency",
+}
+
 
 def item_key(relative_path: Column) -> Column:
     """Output name of a document: ``.pdf.json`` becomes ``.json``."""
@@ -30,18 +51,37 @@ def item_key(relative_path: Column) -> Column:
     return F.concat(folder, renamed)
 
 
-def write_items(items: DataFrame, folder: str, application: str = "application") -> None:
-    """Items as JSON lines below one folder per application.
+def item_documents(items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, content): one JSON array per document, its items in order of ``idx``.
 
-    The rebalance hint gives every application as many files as its size asks
-    for, instead of one task per application.
+    ``value`` is a string in texts and headers and a boolean in checkboxes; a null value stays
+    an explicit null, and kinds without value or question have no such key. A row with null
+    ``idx`` stands for a document without items, an empty array.
+    """
+    keep = {"ignoreNullFields": "false"}
+    kind = F.col("type")
+    text = F.to_json(F.struct("type", F.col("value_text").alias("value"), "section", "page_number"), keep)
+    box = F.to_json(F.struct("type", "question", F.col("value_bool").alias("value"), "section", "page_number"), keep)
+    bare = F.to_json(F.struct("type", "section", "page_number"), keep)
+    line = F.when(kind == "checkbox", box).when(kind == "image", bare).otherwise(text)
+    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", line.alias("json")))
+    docs = items.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("lines"))
+    return docs.select(*by, F.concat(F.lit("["), F.array_join("lines.json", ","), F.lit("]")).alias("content"))
+
+
+def write_items(items: DataFrame, folder: str, application: str = "application", document: str = "document") -> None:
+    """Every document's items as one array in a file of its own, below its application's folder.
+
+    ``read_item_docs`` reads them back. The rebalance hint gives every application as
+    many tasks as its size asks for.
     """
-    items.hint("rebalance", application).write.mode("overwrite").partitionBy(application).json(folder)
+    docs = item_documents(items, [application, document])
+    docs.hint("rebalance", application).write.mode("overwrite").partitionBy(application, document).text(folder)
 
 
 def write_jsonl(df: DataFrame, folder: str) -> None:
-    """One JSON object per line, characters kept as they are."""
-    df.write.mode("overwrite").json(folder)
+    """One JSON object per line, characters and nulls kept as they are."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
 def append_metrics_csv(records: DataFrame, folder: str) -> None:
@@ -71,7 +111,11 @@ def report_columns(records: DataFrame, decimals: Mapping[str, int] = REPORT_DECI
 
 
 def write_report_csv(records: DataFrame, folder: str) -> None:
-    report_columns(records).write.mode("overwrite").option("header", True).option(
+    """The report's columns in their fixed order under their fixed headers; other columns come first."""
+    known = [c for c in REPORT_HEADERS if c in records.columns]
+    others = [c for c in records.columns if c not in REPORT_HEADERS]
+    report = report_columns(records).select(*others, *[F.col(c).alias(REPORT_HEADERS[c]) for c in known])
+    report.write.mode("overwrite").option("header", True).option(
         "escape", '"'
     ).csv(folder)
 
@@ -97,6 +141,15 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if fs.exists(hadoop_path) else None
 
 
+def populate_chunks(docs: DataFrame, path: str) -> None:
+    """Markdown documents (path, application, filename, text) as numbered chunks in the collection at ``path``.
+
+    Chunks carry their document's application and file name; ids already there stay.
+    """
+    cut = stored(chunk_documents(docs, "path", keep=["application", "filename"]), "chunks")
+    upsert_chunks(number_chunks(cut, "path"), path)
+
+
 def upsert_chunks(chunks: DataFrame, path: str, application: str = "application") -> None:
     """Add chunks to the collection at ``path``; ids already there stay untouched.
 

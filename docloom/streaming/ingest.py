@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.extract import extract_items, rejected_docs
+from docloom.operators.extract import extract_sound
 from docloom.sources.documents import parse_elements
 
 
@@ -21,8 +21,8 @@ def stream_ingest_docs(
     """Items of every document file that appears below ``folder``.
 
     A file is a whole document, so no state crosses micro-batches and each one
-    runs the batch extraction. Below ``out`` each micro-batch leaves its
-    ``elements``, ``items`` and ``rejected`` documents.
+    runs the batch extraction. Below ``out`` each micro-batch leaves its ``items``
+    and ``rejected`` documents.
     """
     files = (
         spark.readStream.option("wholetext", "true")
@@ -35,16 +35,10 @@ def stream_ingest_docs(
     )
 
     def each(batch: DataFrame, epoch: int) -> None:
-        # parsed once and stored by column: the steps below read it more than once,
-        # and its row group statistics keep them from reading short documents twice
-        stored = f"{out}/elements/epoch={epoch}"
-        parse_elements(batch).write.mode("overwrite").parquet(stored)
-        elements = spark.read.parquet(stored)
-        rejected_docs(elements).write.mode("overwrite").parquet(f"{out}/rejected/epoch={epoch}")
-        rejected = spark.read.parquet(f"{out}/rejected/epoch={epoch}")
-        extract_items(elements).join(rejected, "doc_path", "left_anti").write.mode("overwrite").parquet(
-            f"{out}/items/epoch={epoch}"
-        )
+        # parsed and annotated once; what that stores is the application's own and goes with it
+        items, rejected = extract_sound(parse_elements(batch))
+        rejected.write.mode("overwrite").parquet(f"{out}/rejected/epoch={epoch}")
+        items.filter("idx IS NOT NULL").write.mode("overwrite").parquet(f"{out}/items/epoch={epoch}")
 
     return (
         files.writeStream.foreachBatch(each)

@@ -59,9 +59,9 @@ def test_knn_is_exact(frames, metric, scope):
 
 def test_lsh_recall_and_fill(frames):
     exact = nearest(frames, 20, "l2", "global")
-    for length, floor in ((50.0, 1.0), (4.0, 0.5), (1e-6, 1.0)):
+    for length, floor in ((50.0, 1.0), (6.0, 0.5), (1e-6, 1.0)):
         got = {}
-        for r in R.knn_lsh(*frames, k=20, bucket_length=length).collect():
+        for r in R.knn_lsh(*frames, k=20, width=length).collect():
             got.setdefault(r.query_id, set()).add(r.chunk_id)
         assert all(len(got[q]) == 20 for q in exact)
         recall = np.mean([len(got[q] & set(exact[q])) / 20 for q in exact])
@@ -170,3 +170,34 @@ def test_metrics(spark):
     ).first()
     assert list(got[:5]) == [10, 3, 9, len(re.sub(r"\s", "", text)), 2]
     assert list(got[5:]) == [20.0, 0.0, pytest.approx(0.1 * 0.0003 + 0.04 * 0.0025)]
+
+
+def test_context_follows_chunk_numbers(spark):
+    rows = [(1, f"md_{n}", f"t{n}") for n in (10, 9, 2, 100)] + [(2, "b", "x"), (2, "a", "y")]
+    got = R.build_context(spark.createDataFrame(rows, "query_id int, chunk_id string, document string")).collect()
+    assert {r.query_id: r.context.split() for r in got} == {1: ["t2", "t9", "t10", "t100"], 2: ["y", "x"]}
+
+
+def test_duplicate_scores_keep_one_hit(spark):
+    hits = spark.createDataFrame([(1, "a", 1)], "query_id int, chunk_id string, rank int")
+    scores = spark.createDataFrame([(1, "a", 3), (1, "a", 5)], "query_id int, chunk_id string, score int")
+    assert [r.score for r in R.attach_scores(hits, scores).collect()] == [5]
+
+
+def test_last_entry_replaces_the_application(spark):
+    gold = spark.createDataFrame([("a", 1, "x", 0), ("a", 2, "y", 0), ("a", 1, "z", 1), ("b", 2, "w", 0)], GOLD)
+    asked = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 2)], "k int, application_id string, question_id bigint")
+    assert {r.k: r.gold for r in S.join_gold(asked, gold, ["k"]).collect()} == {1: "z", 2: None, 3: "w"}
+
+
+def test_answers_without_vector_do_not_count(spark):
+    rows = [(1, "a", 1, [1.0, 0.0]), (2, "a", 1, [0.0, 1.0]), (3, "a", 1, None), (4, "b", 1, None)]
+    frame = spark.createDataFrame(rows, "k int, application_id string, question_id bigint, embedding array<double>")
+    got = {r.k: round(r.consistency, 9) for r in S.consistency(frame, ["k"]).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0}
+
+
+def test_readability_of_one_long_word(spark):
+    texts = [("x" * 100_000,), ("-" * 100_000,), ("a b c. - - - d! e f g h?",)]
+    got = S.readability(spark.createDataFrame(texts, "t string"), "t").collect()
+    assert [(r.word_count, r.sentence_count) for r in got] == [(1, 1), (0, 1), (8, 2)]

@@ -50,6 +50,9 @@ def test_token_lines_skip_blanks(spark, tmp_path):
     write(tmp_path / "g1" / "t.jsonl", '{"input_ids": [9]}\n')
     rows = sources.read_token_jsonl(spark, str(tmp_path)).collect()
     assert sorted((r.input_ids, r.attention_mask) for r in rows) == [([1, 2], [1, 1]), ([3], None)]
+    write(tmp_path / "g2" / "t.json", '{"input_ids": [1\n')
+    rows = sources.read_token_jsonl(spark, str(tmp_path / "g2")).collect()
+    assert [(r.input_ids, r.corrupt_record) for r in rows] == [(None, '{"input_ids": [1')]
 
 
 def test_gold_answers_in_both_key_styles(spark, tmp_path):
@@ -59,7 +62,14 @@ def test_gold_answers_in_both_key_styles(spark, tmp_path):
     ]
     write(tmp_path / "gold.json", json.dumps({"application_summaries": entries}, indent=1))
     rows = sources.read_gold_answers(spark, str(tmp_path / "gold.json")).collect()
-    assert sorted(map(tuple, rows)) == [("109428-CND-22", 1, "a", 0), ("109428-CND-22", 2, "b", 0), ("109435", 1, "c", 1)]
+    assert sorted(map(tuple, rows)) == [
+        ("109428-CND-22", 1, "a", 0, None), ("109428-CND-22", 2, "b", 0, None), ("109435", 1, "c", 1, None)
+    ]
+    write(tmp_path / "z.json", json.dumps({"application_summaries": entries[:1]}))
+    write(tmp_path / "bad.json", "{")
+    rows = sources.read_gold_answers(spark, str(tmp_path / "*.json")).collect()
+    assert [r.corrupt_record for r in rows if r.question_id is None] == ["{"]
+    assert len({r.ordinal for r in rows if r.application_id == "109428-CND-22"}) == 2  # one for each file
 
 
 def test_item_key(spark):
@@ -76,7 +86,7 @@ def test_report_rounds_like_python(spark, tmp_path):
     (part,) = (tmp_path / "r").glob("*.csv")
     with part.open() as f:
         got = list(csv.reader(f))
-    assert got[0] == ["id", "latency", "total_cost", "throughput"]
+    assert got[0] == ["id", "Latency (s)", "Total Cost ($)", "Throughput (tokens/s)"]
     assert got[1:] == [[str(i), f"{v:.4f}", f"{v:.6f}", f"{v:.2f}"] for i, v in enumerate(values)] + [["99", "", "", ""]]
 
 
