@@ -51,5 +51,10 @@ def work_folder(spark: SparkSession, label: str) -> str:
 
 def drop_work(spark: SparkSession) -> None:
     """Delete everything this application stored; call it once its results are written."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    drop_folder(spark, _work_root(spark))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark reaches; none there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.trainlog import DAY_US, tokens_per_second, tokens_per_step
+from docloom.session import drop_folder
 
 
 def stream_token_speed(
@@ -20,7 +21,7 @@ def stream_token_speed(
     """Rates of every micro-batch of ``log`` (run, step, ts), appended below ``out``.
 
     What has to be remembered is one row per run: the highest step and the time
-    it was first seen. It is kept as a table per micro-batch below ``state``, so a
+    it was first seen. It is kept as a table per micro-batch below ``state``, two at a time, so a
     micro-batch that is run again reads and writes the same places. A micro-batch
     goes through the batch operator with the remembered rows in front, which keeps
     a run with most of the rows in many tasks.
@@ -38,6 +39,8 @@ def stream_token_speed(
         points.groupBy("run").agg(best.alias("best")).select(
             "run", F.col("best.step").alias("step"), F.timestamp_micros(-F.col("best.neg_us")).alias("ts")
         ).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+        # a micro-batch run again reads the state before it, so the one before that has had its day
+        drop_folder(spark, f"{state}/epoch={epoch - 2}")
 
     return (
         log.writeStream.foreachBatch(each)
