@@ -7,6 +7,9 @@ onwards, so many to a sequence, from that offset on. Pieces then take their slot
 joining on (length, rank within length). The work of the driver depends on the number
 of lengths, never on the number of documents; the plan is broadcast.
 
+Ranks need no shuffle of pieces: tokenising tasks number the pieces of each length they
+write, and the counts per task and length say where each task's numbers begin.
+
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 each; an empty table gives no rows. Sequence numbers have no order of meaning.
 """
@@ -17,21 +20,22 @@ import base64
 import bisect
 import os
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.plans.segments import position
 from docloom.plans.stored import stored
 
 CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k"
 END_ID = 2
-#: Pieces of one length are ranked in so many tasks.
-SEGMENTS = 1024
+#: Counts per task and length that are broadcast; more are joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
 
 
 def encoder(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
@@ -67,12 +71,15 @@ def encoder(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
 def pieces(
     docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID, keep_ids: bool = True
 ) -> DataFrame:
-    """Documents as pieces of at most ``capacity`` ids; only the first may be shorter."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    """Documents as pieces of at most ``capacity`` ids; only the first may be shorter.
+
+    ``task`` and ``nth`` (from 0, per task and length) number the pieces once they are stored.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * keep_ids
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode, task, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -81,10 +88,11 @@ def pieces(
                 first = len(flat) % capacity or capacity
                 for piece, start in enumerate([0, *range(first, len(flat), capacity)]):
                     part = flat[start : first if piece == 0 else start + capacity]
-                    row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype("i4"))
+                    row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), task, seen[len(part)], part.astype("i4"))
+                    seen[len(part)] += 1
                     for column, value in zip(rows, row):
                         column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, schema)
@@ -132,23 +140,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple]:
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (stored pieces) with ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
+    by_task = stored(cut.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = spark.createDataFrame(
         best_fit(counts, capacity),
         "of_length bigint, rank_from bigint, rank_to bigint, each bigint, sequence bigint, free_from bigint",
     )
-    segment = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SEGMENTS))
-    order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = position(cut, ["length"], order, [segment], "rank").withColumn("rank", F.col("rank") - 1)
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if by_task.count() <= BROADCAST_COUNTS:
+        first = F.broadcast(first)
+    ranked = cut.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
     planned = ranked.join(
         F.broadcast(plan),
         (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")),
     )
-    nth = F.col("rank") - F.col("rank_from")
+    at = F.col("rank") - F.col("rank_from")
     return planned.select(
-        *cut.columns,
-        (F.col("sequence") + F.floor(nth / F.col("each"))).cast("bigint").alias("sequence_id"),
-        (F.col("free_from") + nth % F.col("each") * F.col("length")).cast("bigint").alias("offset"),
+        *[c for c in cut.columns if c not in ("task", "nth")],
+        (F.col("sequence") + F.floor(at / F.col("each"))).cast("bigint").alias("sequence_id"),
+        (F.col("free_from") + at % F.col("each") * F.col("length")).cast("bigint").alias("offset"),
     )
 
 
