@@ -170,5 +170,28 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("found.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         contaminated("found").alias("contaminated"),
-        F.col("found.chars").alias("spans"),
     )
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+cuts AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW_WORDS}) AS n, array_to_string(w[i + 1 : i + {WINDOW_WORDS}], ' ') AS s
+  FROM (SELECT item, w, unnest(range(greatest(1, len(w) - {WINDOW_WORDS - 1}))) AS i FROM b WHERE len(w) > 0)),
+runs AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM cuts) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item FROM runs JOIN cuts USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {HIT_SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

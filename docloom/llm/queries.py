@@ -26,4 +26,4 @@ QUERIES = {
     "op10_license_index": lambda s, d: licenses.digest(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op2_bloom_cascade": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op2_bloom_cascade": urlfilter.ORACLE, "op4_decontamination": decontaminate.ORACLE}

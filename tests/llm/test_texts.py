@@ -284,3 +284,22 @@ def test_licenses(spark):
         assert label in labels[10 + i], label
     assert labels[52] == [""] and labels[50] == ["cc-by"]
     assert licenses.digest(_docs(spark, rows).limit(0)).count() == 0
+
+
+# SQL twins
+
+
+@pytest.mark.parametrize("name", ["op2_bloom_cascade", "op4_decontamination"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from docloom.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    expected = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(expected.columns)
+    rows = {tuple(r) for r in got.select(*expected.columns).collect()}
+    assert rows == set(expected.fetchall())
