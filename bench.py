@@ -47,9 +47,8 @@ HEADLINE = (
     "tokens_per_second",
     "early_stop_step",
     "upsert_chunks",
-    "read_element_docs",
-    "stream_ingest_docs",
-    "stream_token_speed",
+    "write_jsonl",
+    "read_token_jsonl",
     "retrieve_prompt",
     "populate_chunks",
 )

@@ -73,10 +73,22 @@ def train_test_split(
 
 
 def make_dataset(
-    tokens: DataFrame, group: str, max_length: int = MAX_DATASET_LENGTH, n: int = HELD_OUT_GROUPS
+    tokens: DataFrame,
+    group: str,
+    max_length: int = MAX_DATASET_LENGTH,
+    n: int = HELD_OUT_GROUPS,
+    skip_malformed: bool = False,
 ) -> DataFrame:
-    """Training rows: held-out groups removed, ids cut, mask recomputed."""
-    training, _ = holdout_groups(tokens.filter(F.col("input_ids").isNotNull()), group, n)
+    """Training rows: held-out groups removed, ids cut, mask recomputed.
+
+    Blank lines are no rows. A line that could not be read (``corrupt_record``)
+    fails the job, unless ``skip_malformed`` says to leave such lines out.
+    """
+    sound = F.col("input_ids").isNotNull()
+    if "corrupt_record" in tokens.columns and not skip_malformed:
+        complaint = F.concat(F.lit("malformed token line: "), F.col("corrupt_record"))
+        sound = F.when(F.col("corrupt_record").isNotNull(), F.raise_error(complaint)).otherwise(sound)
+    training, _ = holdout_groups(tokens.filter(sound), group, n)
     ids = truncate_ids(F.col("input_ids"), max_length)
     return training.withColumn("input_ids", ids).withColumn(
         "attention_mask", attention_mask(F.col("input_ids"))

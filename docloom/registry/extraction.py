@@ -127,7 +127,7 @@ def compose(spark, d):
 
 
 def compose_lines(spark, d):
-    return I.compose_lines(typed(spark, d), DOC, docs=documents(spark, d))
+    return I.compose_lines(stored(typed(spark, d), "items"), DOC, docs=documents(spark, d))
 
 
 def empty_doc_line(spark, d):
@@ -141,7 +141,8 @@ def audit(spark, d):
 
 def flagship(spark, d):
     """Lines per kind from documents to composed input."""
-    lines = I.compose_lines(items(spark, d), DOC, docs=documents(spark, d))
+    found = stored(items(spark, d), "items")  # read for the lines and for the documents without any
+    lines = I.compose_lines(found, DOC, docs=documents(spark, d))
     return lines.groupBy(F.substring_index("input", ":", 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("input")).cast("bigint").alias("n_chars")
     )

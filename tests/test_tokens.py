@@ -81,3 +81,12 @@ def test_make_dataset(spark):
     )
     got = {r.g: (r.input_ids, r.attention_mask) for r in D.make_dataset(rows, "g", 2).collect()}
     assert got == {"g00": ([0], [1]), "g01": ([0, 1], [1, 1]), "g02": ([0, 1], [1, 1])}
+
+
+def test_malformed_token_lines_are_not_lost_silently(spark):
+    rows = spark.createDataFrame(
+        [(f"g{i:02d}", [i], None) for i in range(18)] + [("g00", None, "{bad")], "g string, input_ids array<int>, corrupt_record string"
+    )
+    with pytest.raises(Exception, match="malformed token line"):
+        D.make_dataset(rows, "g").collect()
+    assert D.make_dataset(rows, "g", skip_malformed=True).count() == 3
