@@ -98,6 +98,7 @@ class Cascade:
             words = -(-largest * BITS_PER_KEY // 64)
             self.tables.append(stored(self._level(left, level, words), "level"))
             self.words.append(words)
+            self.packed = stored(self._levels(), "levels")
 
     def _shard(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(self.shards)).cast("int")
@@ -112,18 +113,19 @@ class Cascade:
         return dense.select(F.lit(level).alias("level"), "shard", F.col("bits.bit").alias("bits"))
 
     def _levels(self) -> DataFrame:
-        """(shard, levels): the bits of all levels so far."""
+        """(shard, levels): the bits of all levels so far; one row with all of them if they are held inline."""
         rows = reduce(DataFrame.union, self.tables)
         packed = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("level", "bits"))).alias("levels"))
-        return packed.select("shard", F.col("levels.bits").alias("levels"))
+        packed = packed.select("shard", F.col("levels.bits").alias("levels"))
+        if not self.inline:
+            return packed
+        return packed.agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("all")).select("all.levels")
 
     def _with_levels(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` (with a column shard) and the levels of each row's shard."""
-        table = self._levels()
         if not self.inline:
-            return df.join(table.withColumnRenamed("levels", name), "shard", "left")
-        whole = table.agg(F.sort_array(F.collect_list(F.struct("shard", "levels"))).alias("all")).select("all.levels").scalar()
-        return df.withColumn(name, F.get(whole, F.col("shard")))
+            return df.join(self.packed.withColumnRenamed("levels", name), "shard", "left")
+        return df.withColumn(name, F.get(self.packed.scalar(), F.col("shard")))
 
     def _first_miss(self, key: Column, levels: Column) -> Column:
         """Number of the first level that lacks the key."""
