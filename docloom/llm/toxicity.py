@@ -34,7 +34,7 @@ from docloom.llm.words import letter_words
 
 GRADES = 3
 #: Labelled documents used for fitting, at most.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 6_000
 #: A word must stand in so many of them to get a weight.
 MIN_DOCS = 5
 #: L1 penalty of a word, in standard errors of its gradient if it meant nothing.
@@ -98,8 +98,8 @@ def fit(docs: DataFrame, grades: DataFrame, max_train: int = MAX_TRAIN, n_grades
     words = words if isinstance(words, pa.ListArray) else words.chunk(0) if words.num_chunks else pa.array([], pa.list_(pa.binary()))
     coded = words.flatten().dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
-    names, row, col = _features(vocabulary, row, coded.indices.to_numpy().astype(np.int64))
+    row = np.repeat(np.arange(len(words), dtype=np.int32), words.value_lengths().fill_null(0).to_numpy())
+    names, row, col = _features(vocabulary, row, coded.indices.to_numpy())
     weights, thresholds = _fit(row, col, grade, len(names), n_grades)
     return Model({names[k]: float(weights[k]) for k in np.nonzero(weights)[0]}, thresholds)
 
@@ -110,7 +110,7 @@ def _features(vocabulary: list[bytes], row: np.ndarray, code: np.ndarray) -> tup
 
     def keep(labels: list, r: np.ndarray, c: np.ndarray) -> None:
         kept = np.nonzero(np.bincount(c, minlength=len(labels)) >= MIN_DOCS)[0]
-        place = np.full(len(labels), -1)
+        place = np.full(len(labels), -1, np.int32)
         place[kept] = np.arange(len(kept)) + len(names)
         use = place[c] >= 0
         names.extend(labels[k] for k in kept)
@@ -120,9 +120,10 @@ def _features(vocabulary: list[bytes], row: np.ndarray, code: np.ndarray) -> tup
     keep([(w, 0) for w in vocabulary], row, code)
     for size in BEGINNINGS:
         ids: dict[bytes, int] = {}
-        start_of = np.array([ids.setdefault(w[:size], len(ids)) if len(w) > size else -1 for w in vocabulary], np.int64)
+        start_of = np.array([ids.setdefault(w[:size], len(ids)) if len(w) > size else -1 for w in vocabulary], np.int32)
         starts = start_of[code] if len(vocabulary) else code
-        pair, n = np.unique(row[starts >= 0] * max(len(ids), 1) + starts[starts >= 0], return_counts=True)
+        whole = starts >= 0
+        pair, n = np.unique(row[whole].astype(np.int64) * max(len(ids), 1) + starts[whole], return_counts=True)
         for level in LEVELS:
             at = pair[n >= level]
             keep([(w, level) for w in ids], at // max(len(ids), 1), at % max(len(ids), 1))
