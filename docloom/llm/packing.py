@@ -38,8 +38,8 @@ END_ID = 2
 BROADCAST_COUNTS = 1_000_000
 
 
-def encoder(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids, equal to those of the ``tokenizers`` file ``vocabulary.json``.
+def encoder(vocabulary: str) -> Callable[[str], list[int]]:
+    """A text to ids, equal to those of the ``tokenizers`` file ``vocabulary.json``.
 
     The rank file of the same vocabulary gives the same ids several times faster.
     Texts with the name of a special token, which only the JSON file knows, go to it.
@@ -54,16 +54,12 @@ def encoder(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     exact: list[Tokenizer] = []
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        out = []
-        for text in texts:
-            if "<|" in text:
-                if not exact:
-                    exact.append(Tokenizer.from_file(place(".json")))
-                out.append(exact[0].encode(text, add_special_tokens=False).ids)
-            else:
-                out.append(fast.encode_ordinary(text))
-        return out
+    def encode(text: str) -> list[int]:
+        if "<|" not in text:
+            return fast.encode_ordinary(text)
+        if not exact:
+            exact.append(Tokenizer.from_file(place(".json")))
+        return exact[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -82,9 +78,8 @@ def pieces(
         encode, task, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                flat = np.array([*ids, end_id], dtype="<u4")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                flat = np.array([*encode(text or ""), end_id], dtype="<u4")
                 first = len(flat) % capacity or capacity
                 for piece, start in enumerate([0, *range(first, len(flat), capacity)]):
                     part = flat[start : first if piece == 0 else start + capacity]
