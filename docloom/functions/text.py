@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,7 +111,16 @@ def strip_html(text: Column) -> Column:
     out = F.regexp_replace(out, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"""</?[A-Za-z!?](?:[^<>"']++|"[^"]*"|'[^']*')*+>""", " ")
     out = F.when(text.contains("<"), out).otherwise(text)
-    return _with_references(F.when(text.contains("&"), _decoded(out)).otherwise(out), out)
+    # rows with a reference beyond the common ones are decoded by the full table instead
+    common = "|".join(re.escape(e[1:]) for e in ENTITIES)
+    odd = text.contains("&") & text.rlike(f"&(?!{common})#?[A-Za-z0-9]+;")
+    decoded = _once(out, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+    return F.coalesce(_unescape(F.when(odd, out)), decoded)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _decoded(text: Column) -> Column:
@@ -124,21 +134,19 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t.replace("&nbsp;", " ").replace("&#160;", " ")), na_action="ignore")
 
 
-def _with_references(decoded: Column, raw: Column) -> Column:
-    """``decoded``, but rows with a reference beyond the common ones are decoded from ``raw`` by the full table."""
-    common = "|".join(re.escape(e[1:]) for e in ENTITIES)
-    return F.coalesce(_unescape(F.when(raw.rlike(f"&(?!{common})#?[A-Za-z0-9]+;"), raw)), decoded)
-
-
 def plain_characters(text: Column) -> Column:
     """Curly quotes, full-width forms and ligatures as plain characters."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     narrow = "".join(map(chr, range(0x21, 0x7F)))
     curly = "".join(map(chr, _CURLY))
-    out = F.translate(text, curly + wide, curly.translate(_CURLY) + narrow)
-    for ligature, letters in _LIGATURES.items():
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return F.when(text.rlike("[\u2018-\u201f\ufb00-\ufb06\uff01-\uff5e]"), out).otherwise(text)
+
+    def replaced(t: Column) -> Column:
+        out = F.translate(t, curly + wide, curly.translate(_CURLY) + narrow)
+        for ligature, letters in _LIGATURES.items():
+            out = F.replace(out, F.lit(ligature), F.lit(letters))
+        return F.when(t.rlike("[\u2018-\u201f\ufb00-\ufb06\uff01-\uff5e]"), out).otherwise(t)
+
+    return _once(text, replaced)
 
 
 def _redecode(run: str) -> str:
@@ -173,7 +181,7 @@ def clean_udf(text: pd.Series) -> pd.Series:
 
 def _only_if(text: Column, pattern: str, repair) -> Column:
     """Ship to Python only rows that match; the others travel as null."""
-    return F.coalesce(repair(F.when(text.rlike(pattern), text)), text)
+    return F.coalesce(repair(_once(text, lambda t: F.when(t.rlike(pattern), t))), text)
 
 
 def fix_mojibake(text: Column) -> Column:
