@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,19 @@ def zip_by_ordinal(questions: DataFrame, prompts: DataFrame) -> DataFrame:
     )
 
 
+def attach_outputs(requests: DataFrame, outputs: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Model outputs (answers, vectors, counts) joined to their requests by id.
+
+    A request without output keeps nulls. Two outputs for one id fail the job, as
+    either could be meant.
+    """
+    values = [c for c in outputs.columns if c not in on]
+    one = outputs.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*values)).alias("_out"))
+    twice = F.concat(F.lit("more than one output for "), F.to_json(F.struct(*on)))
+    out = F.when(F.col("_n") == 1, F.col("_out")).otherwise(F.raise_error(twice))
+    return requests.join(one.select(*on, out.alias("_out")), list(on), "left").select("*", "_out.*").drop("_out")
+
+
 def prepare_prompts(requests: DataFrame) -> DataFrame:
     """Add the prompt and the two lengths that are recorded with it.
 

@@ -70,6 +70,17 @@ def zip_by_ordinal(spark, d):
     return Q.zip_by_ordinal(lines, prompts)
 
 
+def attach_outputs(spark, d):
+    """User turns with the answer and the vector a model gave, where it gave them."""
+    asked = table(spark, d, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    told = with_vectors(spark, d).select(
+        F.floor(F.col("pair_id") / 1000).alias("conv_id"), (F.col("pair_id") % 1000).alias("turn"), "answer",
+        F.size("embedding").alias("vector_size"),
+    )
+    found = Q.attach_outputs(asked, told, ["conv_id", "turn"])
+    return found.withColumn("vector_size", F.coalesce("vector_size", F.lit(0)))
+
+
 def join_gold(spark, d):
     return S.join_gold(pairs(spark, d), gold(spark, d), ["pair_id"]).select(*ID, "gold")
 
@@ -193,6 +204,7 @@ def score_answers_hosted(spark, d):
 QUERIES = {
     "request_grid": request_grid,
     "zip_by_ordinal": zip_by_ordinal,
+    "attach_outputs": attach_outputs,
     "join_gold": join_gold,
     "join_gold_default": join_gold_default,
     "pairwise_run_similarity": pairwise_run_similarity,
@@ -268,6 +280,8 @@ ORACLES = {
       FROM (SELECT DISTINCT source FROM documents) CROSS JOIN benchmark CROSS JOIN range(1, 4) r(run)""",
     "zip_by_ordinal": """SELECT b.item_id + 1 AS ordinal, b.text AS question, 'Text: <CONTEXT> ' || d.text AS template
       FROM benchmark b JOIN documents d ON d.doc_id = b.item_id""",
+    "attach_outputs": f"""WITH {_VECTORED} SELECT conv_id, turn, text AS question, answer, coalesce(len(v), 0)::INT AS vector_size
+      FROM conversations LEFT JOIN vectored ON pair_id = conv_id * 1000 + turn WHERE role = 'user'""",
     "join_gold": f"WITH {_JUDGED} SELECT {_ID}, gold FROM judged",
     "join_gold_default": f"WITH {_JUDGED} SELECT {_ID}, coalesce(gold, '') AS gold FROM judged",
     "pairwise_run_similarity": f"""WITH {_VECTORED} SELECT {_ID}, coalesce(n_others, 0) AS n_others,

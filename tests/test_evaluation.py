@@ -201,3 +201,12 @@ def test_readability_of_one_long_word(spark):
     texts = [("x" * 100_000,), ("-" * 100_000,), ("a b c. - - - d! e f g h?",)]
     got = S.readability(spark.createDataFrame(texts, "t string"), "t").collect()
     assert [(r.word_count, r.sentence_count) for r in got] == [(1, 1), (0, 1), (8, 2)]
+
+
+def test_attach_outputs(spark):
+    asked = spark.createDataFrame([(1, "q1"), (2, "q2")], "id int, question string")
+    told = spark.createDataFrame([(1, "a1", 0.5)], "id int, answer string, seconds double")
+    got = sorted(map(tuple, Q.attach_outputs(asked, told, ["id"]).collect()))
+    assert got == [(1, "q1", "a1", 0.5), (2, "q2", None, None)]
+    with pytest.raises(Exception, match="more than one output"):
+        Q.attach_outputs(asked, told.union(told), ["id"]).collect()
