@@ -35,7 +35,7 @@ CAPACITY = 1024
 VOCABULARY = "byte_bpe_50k"
 END_ID = 2
 #: Counts per task and length that are broadcast; more are joined by a shuffle.
-BROADCAST_COUNTS = 1_000_000
+BROADCAST_COUNTS = 250_000
 
 
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
