@@ -13,7 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn: each node's larger neighbours are tied to the smallest
     one, then its smaller neighbours. Edges never multiply and the rounds grow with the
-    logarithm of the graph. Every round is a stored table, so a lost executor costs a read.
+    logarithm of the graph. Every round is a stored table, so a lost executor costs a read,
+    and so are the smallest neighbours: a node with very many edges is then an ordinary skewed
+    join key, which Spark splits.
     Self-loops and null ends are left out; repeated edges do no harm.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -30,11 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select("v", "u"))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    least = stored(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
     return both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    pairs = stored(pairs, "stars")
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
