@@ -42,7 +42,7 @@ ERRORS = 4.0
 SWEEPS = 20
 RIDGE = 1e-4
 #: Bytes of the word beginnings that count as features, and how many words share them.
-BEGINNINGS = (6, 7, 8)
+BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 #: Probability of the highest grade from which a document counts as toxic.
 REJECT = 0.5
