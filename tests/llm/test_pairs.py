@@ -158,3 +158,20 @@ def test_verbatim_passages_of_the_driver_documents(spark):
     repeated = {d for ds in holders.values() if len(ds) > 1 for d in ds}
     got = {r.doc_id for r in substring.digest(docs).collect()}
     assert repeated and repeated <= got
+
+
+def test_passages_are_found_behind_a_smaller_document_with_a_part(spark):
+    rng = np.random.default_rng(8)
+    line, rows = _words(rng, 20), []
+    for i in range(20):
+        passage = _words(rng, 50)
+        part = passage[:30] if i % 2 else passage[10:40]
+        rows += [(i, _words(rng, 60) + part + _words(rng, 60)), (100 + i, _words(rng, 70) + passage + _words(rng, 40)), (200 + i, passage + _words(rng, 30))]
+    # a frequent line, which alone is no repeat, inside passages of two documents
+    rows += [(300 + i, _words(rng, 40) + line + _words(rng, 40)) for i in range(200)]
+    for i in range(10):
+        passage = _words(rng, 15) + line + _words(rng, 15)
+        rows += [(600 + i, passage + _words(rng, 30)), (700 + i, _words(rng, 20) + passage)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in substring.digest(docs).collect()}
+    assert got == {**{k + i: 100 + i for k in (100, 200) for i in range(20)}, **{k + i: 600 + i for k in (600, 700) for i in range(10)}}
