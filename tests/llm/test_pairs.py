@@ -175,3 +175,19 @@ def test_passages_are_found_behind_a_smaller_document_with_a_part(spark):
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in substring.digest(docs).collect()}
     assert got == {**{k + i: 100 + i for k in (100, 200) for i in range(20)}, **{k + i: 600 + i for k in (600, 700) for i in range(10)}}
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_every_passage_at_the_least_similarity_is_found(spark, frequent, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(100):
+        passage = _words(rng, 50)
+        edited = list(passage)
+        edited[5 + i % 40] = "changed"  # five of 46 tokens
+        rows += [(i, _words(rng, 70) + passage + _words(rng, 60)), (100 + i, _words(rng, 30) + edited + _words(rng, 40))]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    if frequent:  # whatever tokens come last in the order
+        tokens = np.concatenate(substring.tokens([" ".join(w) for _, w in rows[::3]]))
+        monkeypatch.setattr(substring, "hot", lambda texts: np.unique(tokens))
+    assert {r.doc_id: r.class_id for r in substring.digest(docs).collect()} == {k + i: i for k in (0, 100) for i in range(100)}
