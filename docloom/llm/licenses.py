@@ -2,7 +2,8 @@
 
 Licence templates are short runs of words. Their index lists for every word where in which
 template it stands. Document frequencies over the whole corpus tell which licence words
-are rare; each file looks up its rarest ones only. A posting and a place in the file give
+are rare; each file looks up the rarest ones of every template whose mandatory phrase it
+holds. A posting and a place in the file give
 the place where the template would begin; postings that agree on it are counted, and a
 template is taken if enough of its looked-up words agree and its mandatory phrase
 stands in the file.
@@ -51,7 +52,7 @@ TEMPLATES = {
 #: Words of templates that ordinary English is full of; they are not indexed.
 COMMON = frozenset("a and any are in into is of or the this to under use with without work".split())
 
-#: Rarest licence words that a file looks up.
+#: Rarest words of a template that a file looks up for it.
 LOOKUPS = 8
 #: Share of a template's indexed words (of ``LOOKUPS`` at most) that must agree on its place.
 AGREE = 0.6
@@ -72,7 +73,7 @@ def _words(text: str) -> Column:
 
 
 def postings(spark, templates: Mapping[str, tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(word, template, at, needed): where indexed words stand, and how many must agree."""
+    """(word, template, at, indexed): where indexed words stand, and how many are looked up."""
     rows = []
     for label, (notice, _) in templates.items():
         places = [(w, i) for i, w in enumerate(notice.split()) if w not in COMMON]
@@ -110,30 +111,41 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, str]] = TEMPLATES,
 
     none = F.expr("CAST(array() AS array<int>)")
     read = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), _words("text").alias("words"))
-    looked = read.withColumn("rare", F.slice(F.array_intersect(_array(rarest), "words"), 1, LOOKUPS))
+    # of each template whose mandatory phrase is in the file, the rarest words that the file has
+    verified = []
+    for label, (notice, must) in templates.items():
+        own = [w for w in rarest if w in notice.split()]
+        rare = F.slice(F.array_intersect(_array(own), "words"), 1, LOOKUPS).alias("rare")
+        verified.append(F.when(F.col("text").rlike(_phrase_regex(must)), F.struct(F.lit(label).alias("template"), rare)))
     numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-    spots = F.filter(numbered, lambda s: F.array_contains("rare", s["word"]))
+
+    def with_spots(found: Column) -> Column:
+        spots = F.filter(numbered, lambda s: F.exists(found, lambda v: F.array_contains(v["rare"], s["word"])))
+        return F.struct(found.alias("verified"), F.when(F.size(found) > 0, spots).alias("spots"))
+
+    # one lambda variable and one stored column, so that Spark matches the phrases once a file
+    some = F.size(F.array_intersect(_array(rarest), "words")) > 0
+    looked = F.when(some, F.get(F.transform(F.array(F.array_compact(F.array(*verified))), with_spots), F.lit(0)))
     phrases = {label: F.when(F.col("text").rlike(_phrase_regex(p)), _places(F.col("words"), p)) for p, label in base.items()}
-    verified = [F.when(F.col("text").rlike(_phrase_regex(must)), F.lit(label)) for label, (_, must) in templates.items()]
-    reduced = looked.select(
+    reduced = read.select(
         "row",
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
         *[F.coalesce(places, none).alias(f"base_{label}") for label, places in phrases.items()],
-        F.when(F.size("rare") > 1, spots).alias("spots"),
-        F.when(F.size("rare") > 1, F.array_compact(F.array(*verified))).alias("verified"),
+        looked.alias("looked"),
     )
     files = stored(reduced, "licenses")
 
     # postings that agree on where their template begins
-    spot = files.where("size(verified) > 0").select("row", "verified", F.explode("spots").alias("s")).select("row", "verified", "s.*")
-    met = spot.withColumnRenamed("at", "place").join(F.broadcast(index), "word").where("array_contains(verified, template)")
+    spot = files.where("size(looked.verified) > 0").select("row", "looked.verified", F.explode("looked.spots").alias("s")).select("row", "verified", "s.*")
+    looked_up = F.exists("verified", lambda v: (v["template"] == F.col("template")) & F.array_contains(v["rare"], F.col("word")))
+    met = spot.withColumnRenamed("at", "place").join(F.broadcast(index), "word").where(looked_up)
     begins = met.groupBy("row", "template", "indexed", (F.col("place") - F.col("at")).alias("begin"))
     agreed = begins.agg(F.count_distinct("at").alias("n")).withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("indexed")))
     taken = agreed.where(F.col("share") >= AGREE).groupBy("row").agg(
         F.collect_set("template").alias("found"), F.max("share").alias("share")
     )
-    return files.join(taken, "row", "left").drop("spots", "verified", "row")
+    return files.join(taken, "row", "left").drop("looked", "row")
 
 
 def digest(docs: DataFrame) -> DataFrame:

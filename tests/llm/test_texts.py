@@ -286,6 +286,23 @@ def test_licenses(spark):
     assert licenses.digest(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_of_files_with_several_notices(spark):
+    notices = [n for n, _ in licenses.TEMPLATES.values()]
+    words = sorted({w for n in notices for w in n.split()})
+    rng = np.random.default_rng(4)
+    noise = " ".join(rng.choice(words, 30_000))  # a very long text of licence words, in no order
+    rows = [(i, f"Some words. {n} and more") for i, n in enumerate(notices)]
+    pairs = [(a, b) for a in range(len(notices)) for b in range(len(notices)) if a != b]
+    rows += [(100 + i, f"Some words. {notices[a]} and more words. {notices[b]} and more") for i, (a, b) in enumerate(pairs)]
+    rows += [(1000, " some words ".join(notices)), *[(1001 + i, f"{noise} some {n} words {noise}") for i, n in enumerate(notices)]]
+    labels = {r.doc_id: set(r.labels.split(",")) for r in licenses.digest(_docs(spark, rows)).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert labels[100 + i] == labels[a] | labels[b]
+    assert set(licenses.TEMPLATES) <= labels[1000]
+    for i, label in enumerate(licenses.TEMPLATES):
+        assert label in labels[1001 + i]
+
+
 # SQL twins
 
 
