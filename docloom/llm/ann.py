@@ -4,17 +4,18 @@ Trees are grown on a bounded sample: every node halves its sample points at the
 their projection on the line between two of them. Below the sample's depth, leaves are cut
 further by random projections through their own mean, until a leaf holds about ``LEAF_ROWS``
 rows of the whole table. Every row is indexed in every tree. A query walks all trees with
-one priority queue, nearest boundary first, until it has opened ``SEARCH / LEAF_ROWS``
-leaves; their rows are ranked by exact cosine.
+one priority queue, nearest boundary first, until it has opened as many leaves as the table
+asks for; their rows are ranked by exact cosine. That number is measured: ``PROBES`` of the queries
+are compared with the whole table, and as many leaves are opened as hold ``RECALL`` of their
+neighbours, ``SEARCH / LEAF_ROWS`` at least.
 
 Rows and queries meet per (tree, leaf) in cells of ``CELL`` rows by ``CELL`` queries, so a
 leaf that took a third of the table is many tasks. Equal vectors are one index entry with
 the smallest ids, as many as a result can need. The forest is broadcast; its size follows from
 ``SAMPLE`` and ``TREES`` alone.
 
-Recall depends on the data. On directions without any structure a query has to
-open a fixed share of the table whatever the index, so ``SEARCH`` is set for tables
-of some ten thousand such rows; the README has measured figures.
+The work depends on the data. On directions without any structure a query has to
+open a fixed share of the table whatever the index; the README has measured figures.
 
 Defined results: vectors null, zero, with null or non-finite components, of another length than
 most, or without an id take no part; an id given with several vectors counts with each,
@@ -38,8 +39,11 @@ SAMPLE = 16_384
 #: Sample points in a trained leaf, at least.
 SAMPLE_LEAF = 8
 LEAF_ROWS = 128
-#: Rows a query looks at, over all trees.
+#: Rows a query looks at, over all trees, at least.
 SEARCH = 40_000
+#: Queries whose neighbours are known, and the share of these that has to be in the opened leaves.
+PROBES = 128
+RECALL = 0.93
 CELL = 2048
 SEED = 1
 
@@ -126,7 +130,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, trees: int = TREES, sample: int = SAMPLE,
-    leaf_rows: int = LEAF_ROWS, search: int = SEARCH, cell: int = CELL, seed: int = SEED,
+    leaf_rows: int = LEAF_ROWS, search: int | None = None, cell: int = CELL, seed: int = SEED,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found among ``vectors`` for each of ``queries`` (both vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -143,13 +147,20 @@ def nearest(
     width = len(flat[0])
     forest = Forest(_unit(flat, width), n, trees, leaf_rows, seed)
     shipped = spark.sparkContext.broadcast(forest.__dict__)
-    opened = max(1, search // leaf_rows)
 
     def planted() -> Forest:
         out = Forest.__new__(Forest)
         out.__dict__ = shipped.value
         return out
 
+    if search is None:
+        probes = usable(queries).where(F.size("embedding") == width).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(PROBES)
+        depths = np.sort(_depths(entries, probes.select("vec_id", "embedding").toArrow(), k, width, planted))
+        enough = int(depths[int(np.ceil(RECALL * len(depths))) - 1]) if len(depths) else 0
+        opened = max(1, SEARCH // leaf_rows, enough)
+    else:
+        opened = max(1, search // leaf_rows)
+
     @F.arrow_udf("array<bigint>")
     def route(vector: pa.Array) -> pa.Array:
         return pa.array(list(planted().route(_unit(vector, width))), pa.list_(pa.int64()))
@@ -209,6 +220,42 @@ def nearest(
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _depths(entries: DataFrame, probes: pa.Table, k: int, width: int, planted) -> np.ndarray:
+    """How many leaves a probe has to open for each of its ``k`` nearest entries, known by comparing it with all."""
+    if not len(probes):
+        return np.zeros(0, np.int64)
+    asked, own = _unit(probes.column("embedding").combine_chunks(), width), probes.column("vec_id").to_numpy()
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            scores = asked @ _unit(batch.column(1), width).T
+            scores[own[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            best = np.argsort(-scores, axis=1)[:, :k]
+            probe = np.repeat(np.arange(len(asked)), best.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(probe), pa.array(np.take_along_axis(scores, best, 1).ravel()), batch.column(1).take(pa.array(best.ravel()))], ["probe", "score", "embedding"]
+            )
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = planted()
+        for batch in batches:
+            for probe, near in zip(batch.column(0).to_pylist(), batch.column(1)):
+                leaves = grown.route(_unit(near.values, width))
+                found = grown.search(asked[probe], len(grown.normal) << grown.trained + grown.extra)
+                at = {leaf: i + 1 for i, leaf in enumerate(found)}
+                need = [min(at[t, int(leaf)] for t, leaf in enumerate(row)) for row in leaves]
+                yield pa.RecordBatch.from_arrays([pa.array(need, pa.int64())], ["need"])
+
+    kind = entries.schema["embedding"].dataType.simpleString()
+    # an entry of a probe's own vector counts for others of its ids only in the search itself
+    met = entries.select("entry", "embedding").mapInArrow(ranked, f"probe bigint, score double, embedding {kind}").where("score > double('-infinity')")
+    nth = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "embedding"))
+    near = met.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("probe").agg(F.collect_list("embedding").alias("near"))
+    return near.mapInArrow(opened, "need bigint").toArrow().column(0).to_numpy()
+
+
 class _Best:
     """The best few entries of each query met in a task."""
 

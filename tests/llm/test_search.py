@@ -60,6 +60,21 @@ def test_recall_on_clustered_vectors(spark, sample):
     assert np.mean(hits) / 5 >= 0.9
 
 
+@pytest.mark.parametrize("n", [10_000, 240_000])
+def test_recall_without_structure_at_the_default_search(spark, n):
+    import pyarrow as pa
+
+    x = np.random.default_rng(2).normal(size=(n, 48)).astype("f4")
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(8)
+    got = {}
+    for r in ann.nearest(frame, frame.where(f"vec_id % {n // 100} = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, n // 100)
+    hits = [len(got[q] & set(np.argsort(-s)[1:6].tolist())) for q, s in zip(asked.tolist(), unit[asked] @ unit.T)]
+    assert np.mean(hits) / 5 >= 0.9
+
+
 def test_pipeline_stages_and_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     clashing = docs.selectExpr("*", "1 AS found", "2 AS row", "3 AS fp", "4 AS length")
