@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import ann, brown, decontaminate, licenses, packing, pii, simhash, substring, toxicity, urlfilter
+from docloom.llm import (
+    ann,
+    brown,
+    decontaminate,
+    licenses,
+    packing,
+    pieces,
+    pii,
+    ranking,
+    runs,
+    simhash,
+    substring,
+    toxicity,
+    urlfilter,
+)
 from docloom.llm.columns import few_texts_at_once
 
 
@@ -24,6 +38,14 @@ QUERIES = {
     "op8_simhash_anchors": lambda s, d: simhash.digest(table(s, d, "documents")),
     "op9_brown_classes": lambda s, d: brown.digest(table(s, d, "documents")),
     "op10_license_index": lambda s, d: licenses.digest(table(s, d, "documents")),
+    "op11_prefix_table": lambda s, d: pieces.digest(table(s, d, "documents")),
+    "op12_shared_ranking": lambda s, d: ranking.digest(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op13_block_convolution": lambda s, d: runs.digest(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op2_bloom_cascade": urlfilter.ORACLE, "op4_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_bloom_cascade": urlfilter.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
+    "op12_shared_ranking": ranking.ORACLE,
+    "op13_block_convolution": runs.ORACLE,
+}
