@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType
 
 from docloom.functions.metrics import dot, norm, squared_l2
 from docloom.functions.prompts import build_prompt, parse_rank_score
+from docloom.operators import sketches
 from docloom.plans.stored import stored
 
 # Hits kept by distance; chunks kept after reranking per model flavour.
@@ -56,8 +55,9 @@ def knn_join(
     and the queries repeated once per shard, so that the join is by equal keys, an
     application with a third of all chunks is many tasks, and no side has to be
     broadcast; Spark still does so where the queries are few. There are as many shards
-    as the number of chunks asks for. Vectors travel as they are stored.
+    as the number of chunks asks for. Vectors travel as they are stored; null ones take no part.
     """
+    queries, chunks = (side.where("embedding IS NOT NULL") for side in (queries, chunks))
     if shards is None:
         shards = max(1, -(-chunks.count() // SHARD_ROWS))
     if scope not in ("application", "global"):
@@ -83,54 +83,56 @@ def knn_join(
 
 
 def knn_lsh(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = N_HITS,
-    width: float = 2.0,
-    tables: int = 8,
-    hashes: int = 8,
-    seed: int = 7,
-    sample: int = 10_000,
+    queries: DataFrame, chunks: DataFrame, k: int = N_HITS, seed: int = 7, near: DataFrame | None = None
 ) -> DataFrame:
-    """Approximate l2 search over all chunks: random projection buckets, exact distances.
+    """Approximate l2 search over all chunks: candidates by hashing, exact distances.
 
-    A bucket is ``hashes`` projections together, each cut into steps of ``width``
-    spreads; the spread is measured on ``sample`` chunks. Only ids go through the
-    buckets; vectors are joined to the distinct pairs that are left. A query whose
-    buckets hold fewer than k chunks is searched exactly, so every query gets its
-    k hits.
+    ``candidates`` names the pairs worth comparing (``near``, if they are at hand); only these meet the vectors. A query with
+    fewer than k of them is searched exactly, so every query gets its k hits. Vectors that
+    are null take no part.
     """
-    asked, held = queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding")
-    near = lsh_pairs(asked, held, width, tables, hashes, seed, sample)
+    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    held = chunks.select("chunk_id", "embedding").where("embedding IS NOT NULL")
+    near = candidates(asked, held, k, seed) if near is None else near
     pairs = near.join(asked.withColumnRenamed("embedding", "query_vec"), "query_id")
     pairs = pairs.join(held.withColumnRenamed("embedding", "chunk_vec"), "chunk_id")
     top = stored(_top(pairs.select("query_id", "chunk_id", _distance("l2").alias("distance")), k), "nearest")
     served = top.filter(F.col("rank") == k).select("query_id")
-    rest = queries.join(served, "query_id", "left_anti")
-    filled = knn_join(rest, chunks, k, "l2", "global")
+    filled = knn_join(asked.join(served, "query_id", "left_anti"), held, k, "l2", "global")
     return top.join(served, "query_id", "left_semi").unionByName(filled)
 
 
-def lsh_pairs(
-    asked: DataFrame, held: DataFrame, width: float, tables: int, hashes: int, seed: int, sample: int
-) -> DataFrame:
-    """Distinct (query_id, chunk_id) that share a bucket of any table."""
-    some = held.limit(sample).select("embedding").toArrow().column("embedding").to_pylist()
-    points = np.array(some, dtype=float) if some else np.zeros((1, 1))
-    rng = np.random.default_rng(seed)
-    lines = rng.normal(size=(tables * hashes, points.shape[1]))
-    step = max(width * float((points @ lines.T).std(axis=0).mean()), 1e-9)
-    shifts = rng.uniform(0, step, size=tables * hashes)
-
-    @F.arrow_udf(ArrayType(BinaryType()))
-    def buckets(vectors: pa.Array) -> pa.Array:
-        x = np.array(vectors.to_pylist(), dtype=float).reshape(-1, lines.shape[1])
-        cells = np.floor((x @ lines.T + shifts) / step).astype("<i4")
-        return pa.array([[c.tobytes() for c in row.reshape(tables, hashes)] for row in cells], pa.list_(pa.binary()))
+def candidates(asked: DataFrame, held: DataFrame, k: int = N_HITS, seed: int = 7) -> DataFrame:
+    """Distinct (query_id, chunk_id) that hold ``sketches.RECALL`` of the k nearest chunks or more.
 
-    left = asked.select("query_id", F.posexplode(buckets("embedding")).alias("table", "bucket"))
-    right = held.select("chunk_id", F.posexplode(buckets("embedding")).alias("table", "bucket"))
-    return left.join(right, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
+    ``sketches.MEASURED`` queries, a bounded set that does not depend on the partitions, are answered
+    exactly first; they set how many cells are opened and how far sketches may differ. Only ids
+    and sketches go through the buckets. A bucket with very many rows is a skewed join key, which Spark splits.
+    """
+    asked, held = (side.where("embedding IS NOT NULL") for side in (asked, held))
+    if held.isEmpty() or asked.isEmpty():
+        return asked.select("query_id").limit(0).crossJoin(held.select("chunk_id").limit(0))
+    shape, points = sketches.draw(held, seed)
+    some = stored(asked.orderBy(F.xxhash64("embedding"), "query_id").limit(sketches.MEASURED), "measured")
+    exact = knn_join(some, held, k, "l2", "global").select("query_id", "chunk_id")
+    pairs = exact.join(some.withColumnRenamed("embedding", "query_vec"), "query_id").join(held, "chunk_id")
+    # MEASURED * k rows
+    near: dict = {}
+    for row in pairs.select("query_id", "query_vec", "embedding").collect():
+        near.setdefault(row["query_id"], (np.array(row["query_vec"], float), []))[1].append(row["embedding"])
+    setting = sketches.measure(shape, points, [(q, np.array(vs, float)) for q, vs in near.values()])
+
+    left, right = sketches.sketched(asked, shape, "query_sketch"), sketches.sketched(held, shape, "chunk_sketch")
+    if setting.probes:
+        left, right = sketches.bucketed(left, shape, setting.probes), sketches.bucketed(right, shape)
+        met, again = left.drop("embedding").join(right.drop("embedding"), "bucket"), True
+    else:
+        shards = max(1, -(-held.count() // SHARD_ROWS))
+        left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        right = right.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"))
+        met, again = left.drop("embedding").join(right.drop("embedding"), "shard"), False
+    close = met.where(sketches.apart("query_sketch", "chunk_sketch") <= setting.apart).select("query_id", "chunk_id")
+    return close.distinct() if again else close
 
 
 def fetch_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -181,6 +183,7 @@ def retrieve_prompt(
 
     Nearest chunks of the query's application, model scores (``scores``: query_id,
     chunk_id and score or reply), the ``n`` best, their texts in order, the prompt.
+    A query whose application has no chunk, or a null vector, gets a prompt without context and 0 chunks.
     ``queries`` has query_id, application, embedding, question; ``chunks`` has chunk_id,
     application, embedding, document.
     """
@@ -189,6 +192,6 @@ def retrieve_prompt(
     texts = fetch_by_ids(chunks, kept).select("chunk_id", "document")
     context = build_context(kept.join(texts, "chunk_id"))
     counts = kept.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
-    ready = queries.select("query_id", "question").join(context, "query_id").join(counts, "query_id")
-    prompt = build_prompt(F.lit(template), F.col("context"), F.col("question"))
-    return ready.select("query_id", prompt.alias("prompt"), "n_chunks")
+    ready = queries.select("query_id", "question").join(context, "query_id", "left").join(counts, "query_id", "left")
+    prompt = build_prompt(F.lit(template), F.coalesce("context", F.lit("")), F.col("question"))
+    return ready.select("query_id", prompt.alias("prompt"), F.coalesce("n_chunks", F.lit(0)).cast("bigint").alias("n_chunks"))

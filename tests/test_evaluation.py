@@ -57,15 +57,55 @@ def test_knn_is_exact(frames, metric, scope):
     assert got == nearest(frames, 7, metric, scope)
 
 
-def test_lsh_recall_and_fill(frames):
-    exact = nearest(frames, 20, "l2", "global")
-    for length, floor in ((50.0, 1.0), (6.0, 0.5), (1e-6, 1.0)):
-        got = {}
-        for r in R.knn_lsh(*frames, k=20, width=length).collect():
-            got.setdefault(r.query_id, set()).add(r.chunk_id)
-        assert all(len(got[q]) == 20 for q in exact)
-        recall = np.mean([len(got[q] & set(exact[q])) / 20 for q in exact])
-        assert recall >= floor, (length, recall)
+def _recall(spark, points, asked, k=20):
+    """Recall of ``knn_lsh`` with its defaults and the share of all pairs whose vectors it compares."""
+    frame = lambda ids, name: spark.createDataFrame([(int(i), points[i].tolist()) for i in ids], f"{name} long, embedding array<float>")
+    queries, chunks = frame(asked, "query_id").cache(), frame(range(len(points)), "chunk_id").cache()
+    near = R.candidates(queries, chunks, k).cache()
+    assert near.count() == near.distinct().count()
+    got, hits = {}, 0
+    for r in R.knn_lsh(queries, chunks, k, near=near).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    stored = points.astype("f4").astype(float)
+    for i in asked:
+        exact = np.lexsort((np.arange(len(points)), ((stored - stored[i]) ** 2).sum(axis=1)))[:k]
+        assert len(got[i]) == k
+        hits += len(got[i] & set(exact.tolist()))
+    return hits / k / len(asked), near.count() / len(asked) / len(points)
+
+
+def test_lsh_finds_neighbours_in_clusters_by_its_cells(spark, monkeypatch):
+    opened = []
+    measure = R.sketches.measure
+    monkeypatch.setattr(R.sketches, "measure", lambda *a: opened.append(measure(*a)) or opened[-1])
+    rng = np.random.default_rng(3)
+    points = np.repeat(rng.normal(size=(60, 32)), 50, axis=0) + 0.1 * rng.normal(size=(3000, 32))
+    recall, share = _recall(spark, points, range(0, 3000, 20))
+    assert opened[0].probes and recall >= 0.9 and share < 0.1
+
+
+def test_lsh_finds_neighbours_without_any_structure(spark):
+    recall, share = _recall(spark, np.random.default_rng(4).normal(size=(3000, 32)), range(0, 3000, 20))
+    assert recall >= 0.9 and share < 0.2
+
+
+def test_lsh_of_few_null_and_equal_vectors(spark, frames):
+    queries, chunks = frames
+    exact = {tuple(r) for r in R.knn_join(queries, chunks, 5000, "l2", "global").select("query_id", "chunk_id").collect()}
+    assert {(r.query_id, r.chunk_id) for r in R.knn_lsh(queries, chunks, 5000).collect()} <= exact
+    few = spark.createDataFrame([(i, [1.0, 2.0] if i else None) for i in range(30)], "chunk_id long, embedding array<float>")
+    one = few.selectExpr("chunk_id AS query_id", "embedding").where("query_id < 3")
+    got = sorted((r.query_id, r.chunk_id) for r in R.knn_lsh(one, few, 4).collect())
+    assert got == [(q, c) for q in (1, 2) for c in (1, 2, 3, 4)]
+    assert R.knn_lsh(one, few.limit(0)).count() == 0 == R.knn_lsh(one.limit(0), few).count()
+
+
+def test_prompt_of_a_query_without_chunks(spark):
+    queries = spark.createDataFrame([(1, "a", [1.0], "q?"), (2, "none", [1.0], "r?"), (3, "a", None, "s?")], "query_id int, application string, embedding array<float>, question string")
+    chunks = spark.createDataFrame([("c1", "a", [1.0], "text")], "chunk_id string, application string, embedding array<float>, document string")
+    scores = spark.createDataFrame([], "query_id int, chunk_id string, score int")
+    got = {r.query_id: (r.prompt, r.n_chunks) for r in R.retrieve_prompt(queries, chunks, scores, "<CONTEXT>|<QUERY>", 3).collect()}
+    assert got == {1: ("\ntext|q?", 1), 2: ("|r?", 0), 3: ("|s?", 0)}
 
 
 def test_rerank_keeps_retrieval_order_on_ties(spark):
