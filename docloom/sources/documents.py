@@ -1,4 +1,4 @@
-"""Whole-file document sources: one file is one row, so one document is one row."""
+"""Document sources: a file is a document, and one row while it is read unless it is large."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_blank
+from docloom.sources.ranges import WHOLE_BYTES, large_arrays
 
 
 def path_parts(path: Column) -> dict[str, Column]:
@@ -20,13 +21,13 @@ def six_digit_number(path: Column) -> Column:
     return F.when(found != "", found)
 
 
-def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _files(spark: SparkSession, folder: str, glob: str, up_to: int | None = None) -> DataFrame:
     # wholetext has to be an argument: as an option text() overrides it
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder, wholetext=True)
+    if up_to is not None:
+        files = files.where(F.col("_metadata.file_size") <= up_to)
     return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("content"))
+        files.select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("content"))
     )
 
 
@@ -49,6 +50,11 @@ def parse_elements(files: DataFrame, doc: str = "doc_path", content: str = "cont
         "n_elements",
         F.posexplode_outer("array").alias("idx", "element"),
     )
+    return _element_columns(rows, carried)
+
+
+def _element_columns(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Columns of elements from (broken, n_elements, idx, element)."""
     e = F.col("element")
 
     def text_of(path: str) -> Column:
@@ -90,9 +96,17 @@ def parse_elements(files: DataFrame, doc: str = "doc_path", content: str = "cont
     )
 
 
-def read_element_docs(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
-    """Element rows of every JSON document below ``folder``."""
-    return parse_elements(_files(spark, folder, glob))
+def read_element_docs(
+    spark: SparkSession, folder: str, glob: str = "*.json", whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """Element rows of every JSON document below ``folder``.
+
+    A file of up to ``whole_bytes`` is one row until it is parsed; larger ones are read by many tasks, in
+    byte ranges, and may be of any size as long as each of their elements fits a row.
+    """
+    small = parse_elements(_files(spark, folder, glob, whole_bytes))
+    large = large_arrays(spark, folder, glob, whole_bytes)
+    return small if large is None else small.unionByName(_element_columns(large, ["doc_path"]))
 
 
 def read_item_docs(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:

@@ -1,10 +1,12 @@
 import csv
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from docloom import sinks, sources
 from docloom.operators.audit import corpus_audit
+from docloom.sources import ranges
 from docloom.streaming import stream_ingest_docs
 
 
@@ -131,3 +133,51 @@ def test_stream_ingest_takes_new_files_only(spark, tmp_path):
         (0, "text", "one", None), (1, "checkbox", "two?", True), (1, "text", "two?", None)
     ]
     assert [r.doc_path.rsplit("/", 1)[-1] for r in spark.read.parquet(f"{out}/rejected").collect()] == ["bad.json"]
+
+
+def _element(rng, depth=0):
+    text = "".join(rng.choice(['"', "\\", "{", "}", "[", "]", ",", "é", "😀", "\n", "a", " ", '\\"', "}}"]) for _ in range(rng.randint(0, 12)))
+    extra = {"more": [_element(rng, depth + 1)]} if depth < 3 and rng.random() < 0.4 else {}
+    page = {"page_number": rng.choice([1, None])} if rng.random() < 0.7 else {}
+    return {"type": "T{" if rng.random() < 0.2 else "T", "text": text, "metadata": {**page, "text_as_html": rng.choice([None, "<x a=\"}\">"])}, **extra}
+
+
+def _rows(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def test_element_docs_in_ranges_equal_whole_ones(spark, tmp_path):
+    rng = random.Random(7)
+    for n in range(12):
+        array = [_element(rng) if rng.random() < 0.9 else rng.choice([1, "x}", None, [{"a": "]"}], [], True]) for _ in range(n * 7)]
+        write(tmp_path / "sound" / f"{n}.json", json.dumps(array, ensure_ascii=n % 2 == 0, indent=n % 3 or None))
+    odd = ["", " ", "[]", " [ ]\n", "{}", '{"a": [{"b": 1}, {"c": 2}]}', '[{"a": 1}', '[{"a": 1},]', '[{"a": 1},,{"b": 2}]', '[{"a": 1} {"b": 2}]',
+           '{"a": 1}]', '[{"a": "}]', "[1, 2]", '[1, {"a": {}}, 2]', '[{"a": [}]}]', "x", '[{"a": 1}, 2', '["}", "{"]', '[{"a": "\\\\"}, {"b": "\\""}]']
+    for n, text in enumerate(odd):
+        write(tmp_path / "odd" / f"{n}.json", text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = {k: _rows(sources.read_element_docs(spark, str(tmp_path / k))) for k in ("sound", "odd")}
+    try:
+        for block in ("300", "5000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            for k, expected in whole.items():
+                assert _rows(sources.read_element_docs(spark, str(tmp_path / k), whole_bytes=-1)) == expected, (k, block)
+            both = sources.read_element_docs(spark, str(tmp_path / "sound"), whole_bytes=4000)
+            assert _rows(both) == whole["sound"]
+            assert both.selectExpr("count(DISTINCT doc_path)").first()[0] == 12
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_one_large_file_is_many_tasks(spark, tmp_path):
+    write(tmp_path / "large.json", json.dumps([{"type": "T", "text": "x" * 200, "metadata": {}} for _ in range(2000)]))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        rows = ranges.large_files(spark, str(tmp_path), "*.json", 1000)
+        assert rows.select("block").distinct().count() >= 8
+        assert ranges.large_files(spark, str(tmp_path), "*.json", 10_000_000).isEmpty()
+        got = sources.read_element_docs(spark, str(tmp_path), whole_bytes=1000)
+        assert got.selectExpr("count(*)", "count(DISTINCT idx)", "max(idx)", "max(n_elements)").first() == (2000, 2000, 1999, 2000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
