@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from docloom.llm.columns import arrow_function
 
 MODEL = "piece_bpe_32k.model"
-#: Parts and pair verdicts a worker keeps; beyond that the older half goes.
+#: Parts and pair verdicts a worker keeps; beyond that the older half of the parts goes, and all verdicts.
 KEPT_PARTS = 400_000
 KEPT_PAIRS = 1_000_000
 #: Only parts of so many characters at most are kept.
@@ -67,6 +67,7 @@ class Pieces:
         plain = [i for i in ids if not (file.is_control(i) or file.is_unknown(i) or file.is_byte(i) or file.is_unused(i))]
         self.names = [file.id_to_piece(i) for i in ids]
         self.ids = {self.names[i]: i for i in plain}
+        self.decimal = [str(i) for i in ids]
         self.scores = {self.names[i]: file.get_score(i) for i in plain}
         self.bytes = {int(self.names[i][3:5], 16): i for i in ids if file.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -82,9 +83,11 @@ class Pieces:
             raise ValueError(f"{model} has characters that are no pieces")
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, (len(piece) - 1, i))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        #: For each token the verdicts on tokens before it.
+        self.pairs: list[dict[int, bool]] = [{} for _ in ids]
+        self.judged = 0
         self.parts: dict[str, list[int]] = {}
         self.cut = re.compile(self._cuts())
 
@@ -141,17 +144,21 @@ class Pieces:
         """Whether the tokens stay two side by side; before -1, a text's start or a foreign character, one."""
         alone = [self.names[i]] if before < 0 else [self.names[before], self.names[i]]
         verdict = self.merged("".join(alone)) == alone
-        _keep(self.pairs, (before << 32) + i, verdict, KEPT_PAIRS)
+        if self.judged >= KEPT_PAIRS:
+            self.judged = 0
+            for verdicts in self.pairs:
+                verdicts.clear()
+        self.pairs[i][before] = verdict
+        self.judged += 1
         return verdict
 
     def last_tokens(self, part: str) -> list[int]:
         """The last token of every prefix; -1 for the empty one and where a character is in no piece."""
-        last = [-1] * (len(part) + 1)
-        verdict = self.pairs.get
-        for at, (size, i) in self.automaton.iter(part):
+        last, pairs = [-1] * (len(part) + 1), self.pairs
+        for at, (less, i) in self.automaton.iter(part):
             if last[at + 1] < 0:
-                before = last[at + 1 - size]
-                fits = verdict((before << 32) + i)
+                before = last[at - less]
+                fits = pairs[i].get(before)
                 if fits or (fits is None and self.compatible(before, i)):
                     last[at + 1] = i
         return last
@@ -269,7 +276,8 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
         codec, rows = load(), []
         for t in text:
             ids = codec.encode(t.as_py())
-            shas = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), codec.decode(ids))]
+            listed = ",".join([codec.decimal[i] for i in ids])
+            shas = [hashlib.sha256(x.encode()).hexdigest() for x in (listed, codec.decode(ids))]
             rows.append({"n_tokens": len(ids), "ids_sha256": shas[0], "decoded_sha256": shas[1]})
         return pa.array(rows, kind)
 
