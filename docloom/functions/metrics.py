@@ -18,6 +18,8 @@ EASE_BASE, EASE_PER_SENTENCE_WORD, EASE_PER_SYLLABLE = 206.835, 1.015, 84.6
 VOWELS = "aeiouyàáâäãåèéêëìíîïòóôöõùúûü"
 WORD_CHAR = r"\p{L}\p{N}_"
 TOKEN = rf"[{WORD_CHAR}]{{2,}}"
+# All Unicode blanks, as Python's str.split knows them, for a character class.
+BLANKS = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # idf of a token in one text of a pair; in both it is 1
 IDF_ONE = math.log(1.5) + 1
 
@@ -33,7 +35,7 @@ def token_cost(prompt_tokens: Column, completion_tokens: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Whitespace separated words."""
-    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")).cast("bigint")
+    return F.regexp_count(text, F.lit(f"[^{BLANKS}]+")).cast("bigint")
 
 
 def sentence_marks(text: Column) -> Column:
@@ -60,12 +62,12 @@ def lexicon_count(text: Column) -> Column:
 
 def _spoken_words(text: Column) -> Column:
     """Runs between blanks with a word character in them, in time linear in the text."""
-    return F.regexp_count(F.regexp_replace(text, rf"[^\s{WORD_CHAR}]+", ""), F.lit(r"\S+"))
+    return F.regexp_count(F.regexp_replace(text, f"[^{BLANKS}{WORD_CHAR}]+", ""), F.lit(f"[^{BLANKS}]+"))
 
 
 def solid_char_count(text: Column) -> Column:
     """Characters that are not whitespace."""
-    return F.length(F.regexp_replace(text, r"\s", "")).cast("bigint")
+    return F.length(F.regexp_replace(text, f"[{BLANKS}]+", "")).cast("bigint")
 
 
 def spoken_sentences(text: Column) -> Column:

@@ -46,6 +46,8 @@ ENTITIES = {
     "&amp;": "&",
 }
 
+_NO_BREAK = re.compile("&(?:nbsp|#0*160(?![0-9])|#[xX]0*[aA]0(?![0-9A-Fa-f]));?")
+
 # Below U+0300 every string is already in composed form.
 _MAY_BE_DECOMPOSED = r"[\x{300}-\x{10FFFF}]"
 # UTF-8 read as latin-1 or windows-1252: bytes 80 to BF as such characters.
@@ -57,11 +59,11 @@ _EVIDENCE = (
     rf"[ÂÃ][{_TAIL}]"
     rf"|â[€\u0080-\u009f][{_TAIL}]"
     rf"|ï(?:»¿|¬[{_TAIL}])"
-    rf"|ðŸ[{_TAIL}][{_TAIL}]"
+    rf"|ð[Ÿ\u009f][{_TAIL}][{_TAIL}]"
     r"|[ÎÏÐ][¡-ª¬-º¼-¿]"
     rf"|(?<=[A-Za-z])[ÄÅ][{_TAIL}](?=[A-Za-z])"
 )
-_MAY_BE_MOJIBAKE = rf"[ÂÃÄÅÎÏÐ][{_TAIL}]|â[€\u0080-\u009f]|ï[»¬]|ðŸ"
+_MAY_BE_MOJIBAKE = rf"[ÂÃÄÅÎÏÐ][{_TAIL}]|â€|ï[»¬]|ðŸ|[\x{{80}}-\x{{9f}}]"
 _MOJIBAKE_RUN = re.compile(f"(?:{_EVIDENCE})+")
 
 # Typographic characters and what they become.
@@ -69,23 +71,13 @@ _CURLY = str.maketrans("‘’‚‛“”„‟", "\'\'\'\'\"\"\"\"")
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
-def _garbled_blanks() -> str:
-    """Pattern of the whitespace and C1 controls that repair would bring back."""
-    blanks = [chr(c) for c in range(0x80, 0x3001) if chr(c).isspace() or 0x80 <= c <= 0x9F]
-    seen = set()
-    for blank in blanks:
-        raw = blank.encode("utf-8")
-        for charset in ("latin-1", "cp1252"):
-            try:
-                garbled = raw.decode(charset)
-            except UnicodeError:
-                continue
-            if _MOJIBAKE_RUN.fullmatch(garbled):
-                seen.add(garbled)
-    return "|".join(sorted(seen))
-
-
-_GARBLED_BLANK = _garbled_blanks()
+# C1 controls are windows-1252 read as latin-1; five of its bytes stand for nothing.
+_C1 = {bytes([c]).decode("cp1252", "ignore"): chr(c) for c in range(0x80, 0xA0)}
+_C1.pop("", None)
+_FROM_C1, _TO_CP1252 = "".join(_C1.values()), "".join(_C1)
+_C1_TABLE = str.maketrans(_FROM_C1, _TO_CP1252)
+_BYTES = {char: ord(c1) for char, c1 in _C1.items()}
+_HIGH_RUN = re.compile(f"[\x80-\xff{''.join(_BYTES)}]+")
 
 
 def strip(text: Column) -> Column:
@@ -105,17 +97,29 @@ def missing_token(text: Column, flag: Column | None = None) -> Column:
     return F.coalesce(value, F.lit("MISSING"))
 
 
+# Inside a tag: a quoted value hides whatever it holds. A quote swaps the states in and out of it, so attempts
+# at different starts never meet in one state, three at most are alive anywhere, and the match is linear.
+_IN_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+# One token of markup. What opens a comment or a raw element always matches, to the end of the text
+# if nothing closes it, as in an HTML parser; so no text is searched twice.
+_MARKUP = (
+    rf"(?is)<!--.*?(?:-->|\z)"
+    rf"|<(script|style|template)\b{_IN_TAG}.*?(?:</\1\s*+>|\z)"
+    rf"|</?[A-Za-z!?]{_IN_TAG}"
+)
+
+
 def strip_html(text: Column) -> Column:
-    """Visible text of a markup string, tags replaced by a space."""
-    out = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"""</?[A-Za-z!?](?:[^<>"']++|"[^"]*"|'[^']*')*+>""", " ")
-    out = F.when(text.contains("<"), out).otherwise(text)
-    # rows with a reference beyond the common ones are decoded by the full table instead
+    """Visible text of a markup string, tags replaced by a space, character references decoded.
+
+    References are decoded as HTML does, those without a semicolon too, but no-break spaces become blanks.
+    Rows whose references all stand in ``ENTITIES`` are decoded in the JVM.
+    """
+    bare = F.when(text.contains("<"), F.regexp_replace(text, _MARKUP, " ")).otherwise(text)
     common = "|".join(re.escape(e[1:]) for e in ENTITIES)
-    odd = text.contains("&") & text.rlike(f"&(?!{common})#?[A-Za-z0-9]+;")
-    decoded = _once(out, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
-    return F.coalesce(_unescape(F.when(odd, out)), decoded)
+    odd = _once(bare, lambda t: F.when(t.contains("&") & t.rlike(f"&(?!{common})[#A-Za-z]"), t))
+    decoded = _once(bare, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+    return F.coalesce(_unescape(odd), decoded)
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -131,7 +135,7 @@ def _decoded(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(t.replace("&nbsp;", " ").replace("&#160;", " ")), na_action="ignore")
+    return text.map(lambda t: html.unescape(_NO_BREAK.sub(" ", t)), na_action="ignore")
 
 
 def plain_characters(text: Column) -> Column:
@@ -149,18 +153,43 @@ def plain_characters(text: Column) -> Column:
     return _once(text, replaced)
 
 
-def _redecode(run: str) -> str:
-    for charset in ("cp1252", "latin-1"):
-        try:
-            return run.encode(charset).decode("utf-8")
-        except UnicodeError:
-            continue
-    return run
+def _redecode(run: str) -> str | None:
+    """The run's characters as the bytes they were read from, windows-1252 and latin-1 mixed, read as UTF-8."""
+    try:
+        return bytes(_BYTES.get(c, ord(c)) for c in run).decode("utf-8")
+    except (UnicodeError, ValueError):
+        return None
+
+
+def _one_layer(text: str) -> str:
+    """Runs of high bytes with evidence in them, as a whole where that is UTF-8, else the evidence alone."""
+    found = [m.span() for m in _MOJIBAKE_RUN.finditer(text)]
+    if not found:
+        return text
+    out, done, k = [], 0, 0
+    for run in _HIGH_RUN.finditer(text):
+        mine = []
+        while k < len(found) and found[k][1] <= run.end():
+            mine.append(found[k])
+            k += 1
+        whole = _redecode(run.group()) if mine else None
+        for start, end in [run.span()] if whole is not None else mine:
+            part = text[start:end]
+            out += [text[done:start], (whole if whole is not None else _redecode(part)) or part]
+            done = end
+    return "".join([*out, text[done:]])
+
+
+def _ungarbled(text: str) -> str:
+    """Layer after layer while there is evidence of one; every layer makes the text shorter."""
+    while (less := _one_layer(text)) != text:
+        text = less
+    return text.translate(_C1_TABLE)
 
 
 @F.pandas_udf(StringType())
 def _undo_mojibake(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _MOJIBAKE_RUN.sub(lambda m: _redecode(m.group()), t), na_action="ignore")
+    return text.map(_ungarbled, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -171,12 +200,7 @@ def _compose(text: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def clean_udf(text: pd.Series) -> pd.Series:
     """Both Unicode repairs in one Arrow pass."""
-    return text.map(
-        lambda t: unicodedata.normalize(
-            "NFC", _MOJIBAKE_RUN.sub(lambda m: _redecode(m.group()), t)
-        ),
-        na_action="ignore",
-    )
+    return text.map(lambda t: unicodedata.normalize("NFC", _ungarbled(t)), na_action="ignore")
 
 
 def _only_if(text: Column, pattern: str, repair) -> Column:
@@ -185,7 +209,10 @@ def _only_if(text: Column, pattern: str, repair) -> Column:
 
 
 def fix_mojibake(text: Column) -> Column:
-    """Undo UTF-8 that was decoded as windows-1252 or latin-1."""
+    """Undo UTF-8 that was decoded as windows-1252 or latin-1, any number of times.
+
+    What is left of C1 controls becomes the windows-1252 characters they stand for.
+    """
     return _only_if(text, _MAY_BE_MOJIBAKE, _undo_mojibake)
 
 
@@ -215,16 +242,9 @@ def clean_text(text: Column, flag: Column | None = None, unicode_repair: bool =
 
 
 def survives_cleaning(text: Column) -> Column:
-    """Whether cleaning leaves anything; needs no Python.
-
-    Of the Unicode repairs only one can empty a string: wrongly decoded
-    whitespace or control characters turning back into what they were. Those
-    sequences are removed here by pattern. Most texts are settled by holding
-    a visible ASCII character and no markup.
-    """
-    bare = F.regexp_replace(strip_html(missing_token(text)), _GARBLED_BLANK, "")
+    """Whether cleaning leaves anything. A visible ASCII character without markup does; only other texts are cleaned."""
     plain = text.rlike("[!-~]") & ~text.contains("<") & ~text.contains("&")
-    return F.when(plain, F.lit(True)).otherwise(collapse_ws(strip_controls(bare)) != "")
+    return F.when(plain, F.lit(True)).otherwise(clean_text(F.when(~plain, text)) != "")
 
 
 def mask_references(text: Column) -> Column:

@@ -39,13 +39,14 @@ def train_test_split(
     Rows are counted per digest prefix; a table of at most ``16 ** digits`` rows
     says which prefixes are test as a whole and, for the one prefix the border
     runs through, the digest it stops at. The rows themselves are neither
-    shuffled nor sorted. ``key`` has to be unique.
+    shuffled nor sorted. ``key`` has to be unique; rows with a null key are training
+    rows, and the ratio is that of the others.
     """
     if ratio == 0:
         return rows.withColumn("is_test", F.lit(False))
     digest = seeded_digest(F.col(key), seed)
     prefix = F.substring("_digest", 1, digits)
-    digests = rows.select(digest.alias("_digest")).withColumn("_prefix", prefix)
+    digests = rows.select(digest.alias("_digest")).dropna().withColumn("_prefix", prefix)
     everything = Window.partitionBy(F.lit(0))
     earlier = everything.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.ceil(F.sum("_size").over(everything) * F.lit(ratio))
@@ -66,8 +67,8 @@ def train_test_split(
     return (
         rows.withColumn("_digest", digest)
         .withColumn("_prefix", prefix)
-        .join(F.broadcast(rule), "_prefix")
-        .withColumn("is_test", taken)
+        .join(F.broadcast(rule), "_prefix", "left")
+        .withColumn("is_test", F.coalesce(taken, F.lit(False)))
         .drop("_digest", "_prefix", "_size", "_take", "_stop")
     )
 

@@ -38,32 +38,11 @@ def join_gold_default(answers: DataFrame, gold: DataFrame, spread_by: list[str])
     )
 
 
-def pair_tokens(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, token, in_left, in_right): token counts of both texts of a pair.
+def tfidf_pair_similarity(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, similarity): TF-IDF cosine of two texts, fitted on just the two; nothing is moved.
 
-    Texts are placed by key before they are split into tokens, so this count and
-    any later one by key need no further shuffle.
+    Every pair keeps its row; the similarity is null where a text is null or neither has a token.
     """
-
-    def tokens(side: str) -> Column:
-        return F.regexp_extract_all(F.lower(F.col(side)), F.lit(M.TOKEN), F.lit(0))
-
-    sides = F.array(
-        F.struct(F.lit(1).alias("l"), F.lit(0).alias("r"), tokens(left).alias("tokens")),
-        F.struct(F.lit(0).alias("l"), F.lit(1).alias("r"), tokens(right).alias("tokens")),
-    )
-    return (
-        pairs.select(key, left, right)
-        .repartition(key)
-        .select(key, F.inline(sides))
-        .select(key, "l", "r", F.explode_outer("tokens").alias("token"))
-        .groupBy(key, "token")
-        .agg(F.sum("l").alias("in_left"), F.sum("r").alias("in_right"))
-    )
-
-
-def tfidf_pair_similarity(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, similarity): TF-IDF cosine of two texts, fitted on just the two; nothing is moved."""
     return pairs.select(key, M.tfidf_cosine(F.col(left), F.col(right)).alias("similarity"))
 
 

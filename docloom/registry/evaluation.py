@@ -102,19 +102,15 @@ def consistency(spark, d):
 
 
 def tfidf_pair_similarity(spark, d):
-    """Token counts of both texts, summed up per pair."""
-    judged = S.join_gold(pairs(spark, d), gold(spark, d), ["pair_id"]).filter(F.col("gold").isNotNull())
-    return S.pair_tokens(judged, "pair_id", "answer", "gold").groupBy("pair_id").agg(
-        F.count("token").alias("n_tokens"),
-        F.count(F.when((F.col("in_left") > 0) & (F.col("in_right") > 0), 1)).alias("n_shared"),
-    )
+    """Every answer against its question's gold answer; null where there is none."""
+    judged = S.join_gold(pairs(spark, d), gold(spark, d), ["pair_id"])
+    return S.tfidf_pair_similarity(judged, "pair_id", "answer", "gold").withColumn("similarity", F.round("similarity", 6))
 
 
 def tfidf_cosine(spark, d):
-    judged = S.join_gold(pairs(spark, d), gold(spark, d), ["pair_id"]).filter(F.col("gold").isNotNull())
-    return S.tfidf_pair_similarity(judged, "pair_id", "answer", "gold").select(
-        "pair_id", F.round("similarity", 6).alias("similarity")
-    )
+    """The column by itself, where a missing gold answer is an empty text."""
+    judged = S.join_gold_default(pairs(spark, d), gold(spark, d), ["pair_id"])
+    return judged.select("pair_id", F.round(M.tfidf_cosine(F.col("answer"), F.col("gold")), 6).alias("similarity"))
 
 
 def throughput(spark, d):
@@ -138,7 +134,10 @@ def answer_counts(spark, d):
 
 
 def readability(spark, d):
-    counted = S.readability(documents(spark, d).select("doc_id", "text"), "text").drop("text")
+    # every second document with no-break and wide blanks
+    blanks = F.translate("text", " \n", "\u00a0\u3000")
+    texts = documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, blanks).otherwise(F.col("text")).alias("text"))
+    counted = S.readability(texts, "text").drop("text")
     return counted.withColumn("flesch_reading_ease", F.round("flesch_reading_ease", 6))
 
 
@@ -231,8 +230,11 @@ def _marks(x: str) -> str:
     return f"len(regexp_extract_all({x}, '[.!?]'))"
 
 
+_BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def _lexicon(x: str) -> str:
-    return f"len(regexp_extract_all({x}, '[^\\s]*[\\p{{L}}\\p{{N}}_][^\\s]*'))"
+    return f"len(regexp_extract_all({x}, '[^{_BLANKS}]*[\\p{{L}}\\p{{N}}_][^{_BLANKS}]*'))"
 
 
 def _sentences(x: str) -> str:
@@ -249,7 +251,7 @@ def _ease(x: str) -> str:
 
 
 def _solid(x: str) -> str:
-    return f"length(regexp_replace({x}, '[\\s\\x{{0B}}]', '', 'g'))"
+    return f"length(regexp_replace({x}, '[{_BLANKS}]', '', 'g'))"
 
 
 _JUDGED = f"""{sql.PAIRS},
@@ -288,17 +290,21 @@ ORACLES = {
       round(coalesce(similarity_sum, 0), 6) AS similarity_sum FROM vectored LEFT JOIN peers USING (pair_id)""",
     "consistency": f"""WITH {_VECTORED} SELECT {_ID}, round(coalesce(similarity_sum / n_others, 1), 6) AS consistency
       FROM vectored LEFT JOIN peers USING (pair_id)""",
-    "tfidf_pair_similarity": f"""WITH {_JUDGED}, {sql.TFIDF} SELECT pair_id, count(*) AS n_tokens,
-      count(*) FILTER (a > 0 AND b > 0) AS n_shared FROM counted GROUP BY pair_id""",
-    "tfidf_cosine": f"WITH {_JUDGED}, {sql.TFIDF} SELECT pair_id, round(similarity, 6) AS similarity FROM cosines",
+    "tfidf_pair_similarity": f"""WITH {_JUDGED}, {sql.TFIDF}
+      SELECT pair_id, round(similarity, 6) AS similarity FROM pairs LEFT JOIN cosines USING (pair_id)""",
+    "tfidf_cosine": f"""WITH {_JUDGED}, {sql.TFIDF}
+      SELECT pair_id, round(coalesce(similarity, CASE WHEN regexp_matches(answer, '[\\p{{L}}\\p{{N}}_]{{2}}') THEN 0 END), 6) AS similarity
+      FROM pairs LEFT JOIN cosines USING (pair_id)""",
     "throughput": f"""WITH {sql.PAIRS} SELECT pair_id, round(CASE WHEN length(question) % 50 > 0
       THEN {n_words('answer')} / ((length(question) % 50) / 10.0::DOUBLE) ELSE 0 END, 6) AS throughput FROM pairs""",
     "token_cost": f"""WITH {sql.PAIRS} SELECT pair_id, round({n_words('question')} / 1000.0::DOUBLE * 0.0003::DOUBLE
       + {n_words('answer')} / 1000.0::DOUBLE * 0.0025::DOUBLE, 9) AS cost FROM pairs""",
     "answer_counts": f"""SELECT doc_id, {n_words('text')} AS word_count, {_marks('text')} AS sentence_count,
       length(text) AS char_count FROM documents""",
-    "readability": f"""SELECT doc_id, {_lexicon('text')} AS word_count, {_solid('text')} AS char_count,
-      {_sentences('text')} AS sentence_count, round({_ease('text')}, 6) AS flesch_reading_ease FROM documents""",
+    "readability": f"""WITH texts AS (
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, ' ' || chr(10), chr(160) || chr(12288)) ELSE text END AS text FROM documents)
+      SELECT doc_id, {_lexicon('text')} AS word_count, {_solid('text')} AS char_count,
+      {_sentences('text')} AS sentence_count, round({_ease('text')}, 6) AS flesch_reading_ease FROM texts""",
     "embedding_cosine": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
       FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "score_answers": f"""WITH {_JUDGED}, {sql.TFIDF}

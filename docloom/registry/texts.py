@@ -36,9 +36,10 @@ def strip_html(spark, d):
 
 
 def fix_mojibake(spark, d):
-    """Every second document is garbled first; all have to come out as they were."""
-    garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    text = F.when(F.col("doc_id") % 2 == 0, garbled).otherwise(F.col("text"))
+    """A third of the documents is garbled once, a third twice; all have to come out as they were."""
+    once = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, once).when(k == 1, F.decode(F.encode(once, "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", T.fix_mojibake(text).alias("text"))
 
 
@@ -57,9 +58,9 @@ def collapse_ws(spark, d):
     return _docs(spark, d).select("doc_id", T.collapse_ws(spaced).alias("text"))
 
 
-#: Added to prose: references, curly quotes, a ligature, full-width letters, French quotes.
-ODD = " &lsquo;caf&eacute;&#8217; “ﬁne” Ａ１ « cité\u00a0» Ã©tÃ©"
-ODD_CLEAN = " 'café' \"fine\" A1 « cité » été"
+#: Added to prose: references, curly quotes, a ligature, full-width letters, French quotes, garbling once and twice, C1 quotes.
+ODD = " &lsquo;caf&eacute;&#8217; &copy 2020 “ﬁne” Ａ１ « cité\u00a0» Ã©tÃ© ÃƒÂ©tÃƒÂ© \x93Hi\x94"
+ODD_CLEAN = " 'café' © 2020 \"fine\" A1 « cité » été été \"Hi\""
 
 
 def clean_text(spark, d):

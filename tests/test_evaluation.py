@@ -237,6 +237,16 @@ def test_answers_without_vector_do_not_count(spark):
     assert got == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0}
 
 
+def test_all_unicode_blanks_part_words(spark):
+    blanks = "\u00a0 \u2003\u3000\u202f\u2028\x85\x1f\x0b\t"
+    texts = [f"one{b}two three! Four{b}five six?" for b in blanks]
+    got = S.readability(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    for r in got:
+        assert (r.word_count, r.char_count, r.sentence_count) == (len(r.t.split()), len("".join(r.t.split())), 2) == (6, 24, 2)
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(M.word_count(F.col("t")).alias("n")).collect()
+    assert {r.n for r in words} == {6}
+
+
 def test_readability_of_one_long_word(spark):
     texts = [("x" * 100_000,), ("-" * 100_000,), ("a b c. - - - d! e f g h?",)]
     got = S.readability(spark.createDataFrame(texts, "t string"), "t").collect()

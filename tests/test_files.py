@@ -1,11 +1,16 @@
 import csv
 import json
+import pathlib
 import random
+import types
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import sinks, sources
 from docloom.operators.audit import corpus_audit
+from docloom.plans.stored import stored
+from docloom.session import _work_root, folder_exists, work_scope
 from docloom.sources import ranges
 from docloom.streaming import stream_ingest_docs
 
@@ -133,6 +138,40 @@ def test_stream_ingest_takes_new_files_only(spark, tmp_path):
         (0, "text", "one", None), (1, "checkbox", "two?", True), (1, "text", "two?", None)
     ]
     assert [r.doc_path.rsplit("/", 1)[-1] for r in spark.read.parquet(f"{out}/rejected").collect()] == ["bad.json"]
+    # a lost checkpoint offers all files again; a third one is new
+    write(src / "z" / "3.json", json.dumps([element("three")]))
+    stream_ingest_docs(spark, str(src), out, str(tmp_path / "other")).awaitTermination()
+    stream_ingest_docs(spark, str(src), out, str(tmp_path / "third")).awaitTermination()
+    items = spark.read.parquet(f"{out}/items").collect()
+    assert sorted((r.epoch, r.value_text or r.question) for r in items) == [(0, "one"), (1, "two?"), (1, "two?"), (2, "three")]
+    manifest = spark.read.parquet(f"{out}/manifest").collect()
+    assert sorted((r.epoch, r.doc_path.rsplit("/", 1)[-1]) for r in manifest) == [(0, "1.json"), (1, "2.json"), (1, "bad.json"), (2, "3.json")]
+
+
+def test_an_unfinished_micro_batch_is_written_over(spark, tmp_path, monkeypatch):
+    write(tmp_path / "in" / "1.json", json.dumps([{"type": "Text", "text": "one", "metadata": {}}]))
+    out = str(tmp_path / "out")
+    spark.createDataFrame([(1,)], "half_written int").write.parquet(f"{out}/items/epoch=0")  # no manifest: never finished
+    before = {p.name for p in pathlib.Path(_work_root(spark)).glob("epoch-*")}
+    stream_ingest_docs(spark, str(tmp_path / "in"), out, str(tmp_path / "cp")).awaitTermination()
+    assert [r.value_text for r in spark.read.parquet(f"{out}/items").collect()] == ["one"]
+    assert {p.name for p in pathlib.Path(_work_root(spark)).glob("epoch-*")} == before
+
+
+def test_work_folder_is_shared_or_refused(spark, monkeypatch):
+    with work_scope(spark, "scope"):
+        inner = stored(spark.range(3), "rows")
+        assert inner.count() == 3 and "/scope-" in inner.inputFiles()[0]
+        folder = inner.inputFiles()[0].rsplit("/", 1)[0]
+        assert folder_exists(spark, folder)
+    assert not folder_exists(spark, folder)
+
+    class Cluster:
+        sparkContext = types.SimpleNamespace(master="local-cluster[2,1,1024]", applicationId="a")
+        conf = types.SimpleNamespace(get=lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _work_root(Cluster)
 
 
 def _element(rng, depth=0):

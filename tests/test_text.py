@@ -1,3 +1,4 @@
+import time
 import unicodedata
 
 import pytest
@@ -79,6 +80,39 @@ def test_repair_needs_evidence(spark):
     assert apply(spark, T.fix_mojibake, *garbled) == ["café", "£5", "it’s", "cœur", "😀", "\ufeffx", "éèà là\u00a0»"]
 
 
+def test_repair_goes_through_all_layers(spark):
+    def garble(t, charset, times):
+        for _ in range(times):
+            t = "".join(bytes([b]).decode(charset) if charset == "latin-1" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in t.encode())
+        return t
+
+    right = ["été", "voilà l’été — « ça »", "“Größe”", "naïve 😀 cœur"]
+    values = [garble(t, c, n) for t in right for c in ("latin-1", "cp1252") for n in (1, 2, 3)]
+    assert apply(spark, T.fix_mojibake, *values) == [t for t in right for _ in range(6)]
+    assert apply(spark, T.fix_mojibake, "\x93Hi\x94 \x80 5\x85", "a\x81b") == ["“Hi” € 5…", "a\x81b"]
+    sound = ["« café\u00a0»", "voilà\u00a0»", "RÉSUMÉ\u00a0:", "où\u00a0?", "Å", "Ω÷2"]
+    assert apply(spark, T.clean_udf, *sound) == sound
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<!--", '<a "', "<a '\"", "<script ", "<style x='", "</script", "<!-- --", "<template><!--", "&amp", "<"])
+def test_markup_is_linear(spark, unit):
+    spark.range(1).select(T.strip_html(F.lit("<a>b"))).collect()
+    long = spark.createDataFrame([(unit * (1_000_000 // len(unit)),)], "t string")
+    started = time.perf_counter()
+    got = long.select(F.length(T.strip_html(F.col("t"))).alias("n")).first().n
+    assert got <= 1_000_000 and time.perf_counter() - started < 5
+
+
+def test_unclosed_markup_and_references(spark):
+    texts = {
+        "a<script>b": "a ", "a<!-- b": "a ", "a<style>b</style>c<style>d": "a c ", "x<script>'<!--'</script>y": "x y", "<a 'b": "<a 'b",
+        "&copy 2020": "© 2020", "&copy 2020 &eacute;": "© 2020 é", "&nbsp &#xa0;&#160 &nbsp;": "      ", "&notit; &#38;lt;": "¬it; &lt;", "a & b &c": "a & b &c",
+    }
+    got = apply(spark, T.strip_html, *texts)
+    assert [g.replace("\u00a0", "?") for g in got[:7] + got[8:]] == [v for k, v in texts.items() if not k.startswith("&nbsp")]
+    assert set(got[7]) == {" "}
+
+
 def test_references_and_typography(spark):
     texts = ["&#8217;&#xA3;&eacute;&rarr;&nbsp;x", "AT&T &amp;eacute; &lt;b&gt;", "&unknown; &amp;", None]
     assert apply(spark, T.strip_html, *texts) == ["’£é→ x", "AT&T &eacute; <b>", "&unknown; &", None]

@@ -46,6 +46,11 @@ def test_split_is_exact_and_stable(spark):
         again = D.train_test_split(rows.repartition(3), "k", ratio, digits=3)
         assert {r.k for r in again.filter("is_test").collect()} == test
     assert D.train_test_split(rows, "k", 0).filter("is_test").count() == 0
+    some = rows.unionByName(rows.limit(30).withColumn("k", F.lit(None).cast(rows.schema["k"].dataType)))
+    split = D.train_test_split(some, "k", 0.3)
+    assert split.count() == 1067 and split.filter("k IS NULL AND NOT is_test").count() == 30
+    assert split.filter("is_test").count() == math.ceil(1037 * 0.3)
+    assert D.train_test_split(some.filter("k IS NULL"), "k", 0.3).filter("NOT is_test").count() == 30
 
 
 @pytest.mark.parametrize("groups", [14, 15, 16, 40])

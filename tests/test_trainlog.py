@@ -5,7 +5,7 @@ import pytest
 
 from docloom.operators import trainlog as L
 from docloom.plans.segments import position
-from docloom.streaming import stream_token_speed
+from docloom.streaming import stream_token_speed, token_speed
 from pyspark.sql import functions as F
 
 START = dt.datetime(2024, 1, 1)
@@ -75,7 +75,8 @@ def test_position_of_a_hot_key(spark):
     assert all(r["at"] == (r.id + 1 if r.id < 400 else 1) for r in got)
 
 
-def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
+def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_speed, "MERGED", 3)
     rows = sorted(make_log(2), key=lambda r: r[2])
     schema = "run bigint, step bigint, ts timestamp, loss double"
     for n, at in enumerate(range(0, len(rows), 60)):
@@ -85,6 +86,14 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
         stream_token_speed(
             stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "checkpoint"), per_step=10
         ).awaitTermination()
+        # a micro-batch leaves its own runs only, and what was merged goes one micro-batch later
+        state = spark.read.parquet(str(tmp_path / "state" / f"epoch={n}"))
+        assert {r.run for r in state.collect()} == {r[0] for r in rows[at : at + 60]}
+        kept = {p.name for p in (tmp_path / "state").iterdir()}
+        due = n - n % 3
+        older = {f"epoch={e}" for e in range(due - 3, due)} | {f"merged={due - 3}"} if due and n == due else set()
+        assert kept <= {f"epoch={e}" for e in range(due, n + 1)} | {f"merged={due}"} | older
+    assert n >= 7
     got = {(r.run, r.step): r.tokens_per_second for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     expected = watched(rows, 10)
     assert got.keys() == expected.keys()
