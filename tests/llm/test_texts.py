@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from docloom.llm import brown, decontaminate, licenses, packing, pii, toxicity, urlfilter
 from docloom.llm.words import blank_words, letter_words
@@ -320,3 +322,13 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(expected.columns)
     rows = {tuple(r) for r in got.select(*expected.columns).collect()}
     assert rows == set(expected.fetchall())
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, " \n" * 600_000 + "end", "a" + "　" * 120_000])
+def test_very_long_blanks_are_packed(spark, run):
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [*exact.encode(run, add_special_tokens=False).ids, 2]
+    rows = packing.digest(_docs(spark, [(1, run), (2, "short")])).where("doc_id = 1").orderBy("piece").collect()
+    assert sum(r.length for r in rows) == len(ids) and [r.start for r in rows] == [0, *np.cumsum([r.length for r in rows])[:-1]]
+    for r in rows:
+        assert r.length <= 1024 and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
