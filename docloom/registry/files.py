@@ -61,9 +61,9 @@ def read_item_docs(spark, d):
     apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "items")
     sinks.write_items(items(spark, d).join(apps, "doc_id").withColumnRenamed("doc_id", "document"), folder)
-    read = sources.read_item_docs(spark, folder, PART)
+    read = sources.read_item_docs(spark, folder)
     return read.select(
-        F.regexp_extract("doc_path", r"document=([0-9]+)", 1).cast("bigint").alias("doc_id"),
+        sources.path_parts(F.col("doc_path"))["filename"].cast("bigint").alias("doc_id"),
         "type", "question", "value_text", "value_bool", "section", "page_number", F.array_join("keys", ",").alias("keys"),
     )
 
@@ -123,14 +123,13 @@ def save_dataset(spark, d):
 
 
 def write_items(spark, d):
-    """Every document's file: its key, its application and how many items of which kinds it holds."""
+    """Every packed document: its key, its application and how many items of which kinds it holds."""
     apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "written")
     rows = items(spark, d).join(apps, "doc_id").withColumn("document", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf.json")))
-    sinks.write_items(rows, folder)
-    read = sources.read_item_docs(spark, folder, PART)
-    application = F.regexp_extract("doc_path", "application=([^/]+)", 1)
-    name = F.regexp_extract("doc_path", "document=([^/]+)", 1)
+    sinks.write_items(rows, folder, segment_items=20)
+    read = sources.read_item_docs(spark, folder)
+    name, application = (sources.path_parts(F.col("doc_path"))[c] for c in ("filename", "application"))
     return read.groupBy(sinks.item_key(F.concat_ws("/", application, name)).alias("key"), application.alias("application")).agg(
         F.count("idx").alias("n_items"), F.count(F.when(F.col("type") == "checkbox", 1)).alias("n_boxes"), F.bool_or("malformed").alias("malformed")
     )

@@ -9,6 +9,7 @@ from docloom.sinks.tables import (  # noqa: F401
     report_columns,
     save_dataset,
     upsert_chunks,
+    write_item_files,
     write_items,
     write_jsonl,
     write_report_csv,

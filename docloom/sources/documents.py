@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import is_blank
+from docloom.session import folder_exists
 from docloom.sources.ranges import WHOLE_BYTES, large_arrays
 
 
@@ -109,17 +110,40 @@ def read_element_docs(
     return small if large is None else small.unionByName(_element_columns(large, ["doc_path"]))
 
 
+def _item_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_path, broken, idx, item) of packed items; the segments of a long document follow each other by the index."""
+    line = F.try_parse_json("value")
+    rows = spark.read.text(f"{folder}/items", lineSep="\n").select(
+        *[F.try_variant_get(line, f"$.{c}", kind).alias(c) for c, kind in (("application", "string"), ("document", "string"), ("segment", "bigint"))],
+        F.try_variant_get(line, "$.items", "array<variant>").alias("array"),
+    )
+    whole = Window.partitionBy("application", "document").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    index = spark.read.parquet(f"{folder}/index").withColumn("first", F.sum("n_items").over(whole))
+    later = index.where("first IS NOT NULL").select("application", "document", "segment", "first")
+    # a document without items keeps its row, an empty segment between others does not exist
+    return rows.join(later, ["application", "document", "segment"], "left").select(
+        F.concat_ws("/", F.lit(folder.rstrip("/")), "application", "document").alias("doc_path"),
+        F.coalesce("first", F.lit(0)).alias("first"),
+        F.col("array").isNull().alias("broken"),
+        F.posexplode_outer("array").alias("at", "item"),
+    ).select("doc_path", "broken", (F.col("first") + F.col("at")).alias("idx"), "item")
+
+
 def read_item_docs(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
     """Item rows of every item document; an empty document keeps one row with null ``idx``.
 
-    A file that is no JSON array has one such row with ``malformed`` set; in a row of an
+    ``folder`` holds what ``write_items`` packed, and ``doc_path`` is then made of application and
+    document, or a file per document. A file that is no JSON array has one row with ``malformed`` set; in a row of an
     array it marks what is no object. ``value`` is a string in text items and a boolean in checkbox items, so it
     becomes two columns.
     """
-    array = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
-    rows = _files(spark, folder, glob).select("doc_path", array.alias("array")).select(
-        "doc_path", F.col("array").isNull().alias("broken"), F.posexplode_outer("array").alias("idx", "item")
-    )
+    if folder_exists(spark, f"{folder}/index"):
+        rows = _item_lines(spark, folder)
+    else:
+        array = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
+        rows = _files(spark, folder, glob).select("doc_path", array.alias("array")).select(
+            "doc_path", F.col("array").isNull().alias("broken"), F.posexplode_outer("array").alias("idx", "item")
+        )
     item = F.col("item")
     value = F.try_variant_get(item, "$.value", "variant")
     return rows.select(

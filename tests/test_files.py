@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom import sinks, sources
 from docloom.operators.audit import corpus_audit
+from docloom.plans import bloom
 from docloom.plans.stored import stored
 from docloom.session import _work_root, folder_exists, work_scope
+from docloom.sinks import tables
 from docloom.sources import ranges
 from docloom.streaming import stream_ingest_docs
 
@@ -220,3 +222,76 @@ def test_one_large_file_is_many_tasks(spark, tmp_path):
         assert got.selectExpr("count(*)", "count(DISTINCT idx)", "max(idx)", "max(n_elements)").first() == (2000, 2000, 1999, 2000)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+ITEMS = "app string, doc string, idx bigint, type string, question string, value_text string, value_bool boolean, section string, page_number bigint"
+
+
+def test_packed_items_read_back(spark, tmp_path):
+    rows = [("a", "long", i * 3, "text", None, f"v{i} é\r\n ", None, "S", i) for i in range(100)]
+    rows += [("a", "short", 0, "checkbox", "Q", None, True, "S", 1), ("a", "short", 5, "checkbox", "Q", None, None, "S", None)]
+    rows += [("b", "none", None, None, None, None, None, None, None), ("b", "long", 7, "image", None, None, None, None, 2)]
+    items = spark.createDataFrame(rows, ITEMS)
+    folder = str(tmp_path / "packed")
+    sinks.write_items(items.repartition(5), folder, "app", "doc", segment_items=30)
+    read = sources.read_item_docs(spark, folder)
+    got = {}
+    for r in read.collect():
+        got.setdefault(tuple(r.doc_path.split("/")[-2:]), []).append((r.idx, r.type, r.value_text, r.value_bool, r.section, r.page_number, r.malformed))
+    assert sorted(got["a", "long"]) == [(i, "text", f"v{i} é\r\n ", None, "S", i, False) for i in range(100)]
+    assert sorted(got["a", "short"]) == [(0, "checkbox", None, True, "S", 1, False), (1, "checkbox", None, None, "S", None, False)]
+    assert got["b", "none"] == [(None, None, None, None, None, None, False)] and got["b", "long"] == [(0, "image", None, None, None, 2, False)]
+    # the index names bytes: every line can be had by itself
+    index = spark.read.parquet(f"{folder}/index").collect()
+    assert len(index) == 10 + 3 and len({r.file for r in index}) <= 5
+    for r in index:
+        with open(r.file.removeprefix("file://").removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            line = json.loads(f.read(r.length))
+        assert (line["application"], line["document"], line["segment"], len(line["items"])) == (r.application, r.document, r.segment, r.n_items)
+    # the same rows from a file per document
+    sinks.write_item_files(items.withColumnRenamed("app", "application").withColumnRenamed("doc", "document"), str(tmp_path / "files"))
+    single = sources.read_item_docs(spark, str(tmp_path / "files"), "part-*")
+    assert sorted(map(str, single.drop("doc_path").collect())) == sorted(map(str, read.drop("doc_path").collect()))
+
+
+def test_many_documents_in_few_files(spark, tmp_path):
+    items = spark.range(30_000).selectExpr(
+        "CAST(id % 7 AS STRING) AS application", "CAST(id AS STRING) AS document", "0L AS idx", "'text' AS type", "CAST(NULL AS STRING) AS question",
+        "'v' AS value_text", "CAST(NULL AS BOOLEAN) AS value_bool", "'S' AS section", "1L AS page_number",
+    )
+    sinks.write_items(items, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed" / "items").glob("part-*"))) <= 8
+    assert sources.read_item_docs(spark, str(tmp_path / "packed")).selectExpr("count(DISTINCT doc_path)").first()[0] == 30_000
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(0, 100_000, 2).selectExpr("concat('k', id) AS k").unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k"))
+    table = bloom.bloom_filter(keys, "k", 50_000)
+    assert table.count() == 2
+    held = bloom.may_hold(spark.range(100_000).selectExpr("id", "concat('k', id) AS k"), "k", table, 50_000)
+    found = {r.id for r in held.collect()}
+    assert found >= set(range(0, 100_000, 2)) and len(found) < 50_000 + 250
+    with pytest.raises(ValueError):
+        bloom.may_hold(keys, "k", table, bloom.MOST_KEYS + 1)
+
+
+def test_appends_meet_only_possible_hits(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "collection")
+    chunks = lambda a, b, text: spark.range(a, b).selectExpr("concat('md_', id) AS chunk_id", "CAST(id % 3 AS STRING) AS application", f"'{text}' AS document")
+    sinks.upsert_chunks(chunks(0, 5000, "one"), path)
+    met = []
+    may_hold = tables.may_hold
+    monkeypatch.setattr(tables, "may_hold", lambda *a: met.append(may_hold(*a)) or met[-1])
+    new = sinks.new_chunks(chunks(4900, 5100, "two"), spark.read.parquet(path))
+    assert met[0].count() <= 110 and new.count() == 100
+    assert "Exchange" not in met[0]._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    for _ in range(2):  # a repeated append adds nothing
+        sinks.upsert_chunks(chunks(4900, 5100, "two").unionByName(chunks(5099, 5101, "a")), path)
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("chunk_id").distinct().count() == 5101
+    assert {r.document: r["count"] for r in got.groupBy("document").count().collect()} == {"one": 5000, "two": 99, "a": 2}
+    monkeypatch.setattr(tables, "MOST_KEYS", 10)
+    sinks.upsert_chunks(chunks(5000, 5200, "three"), path)
+    assert spark.read.parquet(path).count() == 5200
+    assert not list(pathlib.Path(_work_root(spark)).glob("upsert-*"))
