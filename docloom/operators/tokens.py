@@ -97,20 +97,18 @@ def make_batches(
 ) -> DataFrame:
     """Add ``batch_id``: consecutive batches in shuffled order, or in key order.
 
-    Only the last batch can be short. For key order (``seed=None``) the rows are
-    written out in key ranges first: Spark picks ranges of equal size whatever the
-    keys look like, and once written a recomputed task cannot see other ranges.
+    Only the last batch can be short. For key order (``seed=None``) the rows are written once, as they
+    come, and only their keys are put in ranges, numbered and joined back: Spark picks ranges
+    of equal size whatever the keys look like, and once written a recomputed task cannot see other
+    ranges. Equal keys come in any order, null ones first.
     """
-    if seed is None:
-        ranges = rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id())
-        numbered = position(
-            stored(ranges, "ranges"), [], [F.col(key)], [F.col("_range")], "_row_at"
-        ).drop("_range")
-    else:
-        numbered = shuffled_position(rows, key, seed, "_row_at")
-    return numbered.withColumn(
-        "batch_id", F.floor((F.col("_row_at") - 1) / batch_size).cast("bigint")
-    ).drop("_row_at")
+    batch = F.floor((F.col("_row_at") - 1) / batch_size).cast("bigint").alias("batch_id")
+    if seed is not None:
+        return shuffled_position(rows, key, seed, "_row_at").select(*rows.columns, batch)
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keys = rows.select(key, "_row").repartitionByRange(key, "_row").withColumn("_range", F.spark_partition_id())
+    numbered = position(stored(keys, "keys"), [], [F.col(key), F.col("_row")], [F.col("_range")], "_row_at")
+    return rows.join(numbered.select("_row", batch), "_row").drop("_row")
 
 
 def pad_batch(

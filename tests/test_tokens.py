@@ -76,6 +76,14 @@ def test_batches_and_padding(spark):
     assert batch[0].attention_mask == [1, 0, 0]
     assert batch[3].input_ids == [1, 2, 3] and batch[3].labels == [1, 2, 3]
     assert batch[20].input_ids == [1, 2, 3]
+    odd = rows.withColumn("id", F.when(F.col("id") >= 3, F.col("id") % 10))  # null and equal keys
+    got = K.make_batches(odd, "id", 4, seed=None)
+    assert got.columns == [*rows.columns, "batch_id"]
+    got = got.select("batch_id", "id").collect()
+    assert Counter(r.batch_id for r in got) == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 1}
+    assert sorted(((r.batch_id, -1 if r.id is None else r.id) for r in got)) == [
+        (n // 4, k) for n, k in enumerate(sorted(-1 if i < 3 else i % 10 for i in range(21)))
+    ]
     free = {r.id: r for r in K.pad_batch(K.make_batches(rows, "id", 4, seed=None), max_length=None).collect()}
     assert len(free[0].input_ids) == 4
 
