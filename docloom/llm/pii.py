@@ -1,12 +1,14 @@
 """Personal data: fixed base patterns, and contexts learnt from what they find.
 
 Base kinds (email, ip, card, phone) come from their patterns. Every base span is a seed:
-the words around it make lexical patterns. Tokens that look like identifiers and stand in
-the same contexts, but match no base pattern, are candidates. Patterns and instances form
+the words around it make lexical patterns. Candidates are what stands in such contexts and
+matches no base pattern: runs of neighbouring digit groups of any length, and tokens with four digits
+or an at sign. Patterns with ``SUPPORT`` certain instances and their candidates form
 a graph that Spark scores in turns, per kind: a pattern is as good as the mean of its
 instances, an instance as good as its patterns together (noisy or), seeds of the kind
-being certain and those of other kinds certainly not. Instances that reach ``ACCEPT`` add
-their places under the kind that took them; base spans always stay.
+being certain and those of other kinds certainly not. Instances that reach ``ACCEPT`` are accepted, add
+their places under the kind that took them, and are certain from then on: the contexts they
+stand in become patterns of the next generation, until one accepts nothing. Base spans always stay.
 
 Counting distinct instances, not places, keeps a passage copied a thousand times from
 making its own context trustworthy. All counts cover all documents; hot contexts are
@@ -47,8 +49,8 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A token that may be an identifier: no blanks, and a digit or an at sign in it.
-_TOKEN = re.compile(r"[^\s]+")
+#: What may be an identifier: digit groups with up to three marks or blanks between two of them, or any token.
+_TOKEN = re.compile(r"(?P<run>\(?[0-9]++(?:[\x20().\-/]{1,3}[0-9]++)*+(?![^\s.,;:!?)\]}>\"']))|[^\s]+")
 _EDGE = "\"'`.,;:!?()[]{}<>|=*"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -110,21 +112,17 @@ def _contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def _candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens clear of the base spans."""
-    out, k = [], 0
-    spans = sorted((a, b) for a, _, b in taken)
-    for m in _TOKEN.finditer(text):
-        token = m.group()
-        if not (_DIGIT.search(token) or "@" in token):
-            continue
-        inner = token.strip(_EDGE)
-        start = m.start() + token.find(inner) if inner else m.start()
-        end = start + len(inner)
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        clear = k == len(spans) or spans[k][0] >= end
-        if 5 <= len(inner) <= 80 and clear and (sum(map(str.isdigit, inner)) >= 4 or "@" in inner):
-            out.append((start, end))
+    """Between the base spans: runs of neighbouring digit groups, and tokens of letters with digits or an at sign."""
+    out, at = [], 0
+    for a, _, b in [*sorted(taken), (len(text), 0, len(text))]:
+        for m in _TOKEN.finditer(text, at, max(at, a)):
+            found = m.group()
+            whole = m["run"] and (found[0] != "(" or ")" in found)
+            inner = found if whole else found.strip(_EDGE)
+            if len(inner) >= 5 and ("@" in inner or sum(map(str.isdigit, inner)) >= 4):
+                start = m.start() + found.find(inner)
+                out.append((start, start + len(inner)))
+        at = max(at, b)
     return out
 
 
@@ -153,23 +151,34 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, acc
     edges = seen.select("value", "kind", F.explode("patterns").alias("pattern"))
     # one edge per pattern and value; a value that is a seed anywhere is a seed
     edges = stored(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
-    seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("sure"))
-    crowd = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    patterns = stored(seeds.where(F.col("sure") >= support).join(crowd, "pattern"), "patterns")
     loose = edges.where("kind IS NULL").select("pattern", "value")
-    open_edges = stored(loose.join(patterns, "pattern"), "open")
-    scores = open_edges.select("value", "kind").distinct().withColumn("score", F.lit(0.0))
+    crowd = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    accepted = edges.sparkSession.createDataFrame([], "value string, kind int, score double")
+    while True:
+        # seeds and what earlier generations accepted
+        known = edges.where("kind IS NOT NULL").select("pattern", "kind").unionByName(loose.join(accepted, "value").select("pattern", "kind"))
+        sure = known.groupBy("pattern", "kind").agg(F.count("*").alias("sure")).where(F.col("sure") >= support)
+        patterns = stored(sure.join(crowd, "pattern"), "patterns")
+        fresh = stored(_accepted(loose.join(accepted, "value", "left_anti").join(patterns, "pattern"), patterns, rounds, accept), "accepted")
+        if fresh.isEmpty():
+            return accepted
+        accepted = accepted.unionByName(fresh)
+
+
+def _accepted(edges: DataFrame, patterns: DataFrame, rounds: int, accept: float) -> DataFrame:
+    """(value, kind, score) of one generation: patterns and their instances score each other in turns."""
+    edges = stored(edges, "open")
+    scores = edges.select("value", "kind").distinct().withColumn("score", F.lit(0.0))
     for _ in range(rounds):
-        soft = open_edges.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("soft"))
+        soft = edges.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("score").alias("soft"))
         trust = patterns.join(soft, ["pattern", "kind"], "left").select(
             "pattern", "kind", ((F.col("sure") + F.coalesce("soft", F.lit(0.0))) / (F.col("n") + DOUBT)).alias("trust")
         )
         missed = F.sum(F.log1p(-F.least("trust", F.lit(0.999))))
-        told = open_edges.select("value", "pattern", "kind").join(trust, ["pattern", "kind"])
+        told = edges.select("value", "pattern", "kind").join(trust, ["pattern", "kind"])
         scores = stored(told.groupBy("value", "kind").agg((1 - F.exp(missed)).alias("score")), "scores")
     best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
-    accepted = scores.where(F.col("score") >= accept)
-    return accepted.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    return scores.where(F.col("score") >= accept).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
 def spans(docs: DataFrame, name: str, row: str, **settings: float) -> DataFrame:

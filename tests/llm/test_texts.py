@@ -166,6 +166,52 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.digest(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
 
 
+def test_accepted_identifiers_teach_new_contexts(spark):
+    numbers = [f"0{i}3 7744 {91 + i}" for i in range(8)]
+    rows = [(200 + i, f"please phone office +1 (202) 555-{1000 + i} today or later") for i in range(30)]
+    rows += [(300 + i, f"please phone office {n} today") for i, n in enumerate(numbers)]
+    rows += [(400 + i, f"then dial desk {n} now") for i, n in enumerate(numbers)]  # a context no seed stands in
+    rows += [(500, "then dial desk (0207) 99-18 now"), (501, "then order item (0207) 99-18 now"), (502, "then order item 55512 now")]
+    got = {r.doc_id: r.spans for r in pii.digest(_docs(spark, rows)).collect()}
+    assert got[300] == "phone:20:31" and got[400] == "phone:15:26"
+    assert got[500] == "phone:15:27" and got[501] == "phone:16:28" and got[502] == ""
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrapping_equals_plain_python(spark, seed):
+    rng = np.random.default_rng(seed)
+    seen = [(None if v > 12 else int(v % 2), f"v{v}", [f"p{p}" for p in sorted({int(x) for x in rng.integers(0, 9, 3)} | {v % 9})]) for v in range(40) for _ in range(2)]
+    edges: dict = {}
+    for kind, value, patterns in seen:
+        for p in patterns:
+            edges[p, value] = kind
+    accepted: dict = {}
+    while True:
+        sure = Counter((p, k if k is not None else accepted[v]) for (p, v), k in edges.items() if k is not None or v in accepted)
+        n = Counter(p for p, _ in edges)
+        admitted = {pk: c for pk, c in sure.items() if c >= 3 and n[pk[0]] >= 3}
+        open_ = [(v, p, k) for (p, v), kind in edges.items() if kind is None and v not in accepted for q, k in admitted if q == p]
+        scores = {(v, k): 0.0 for v, _, k in open_}
+        for _ in range(pii.ROUNDS):
+            trust = {(p, k): (c + sum(scores[v, k] for v, q, l in open_ if (q, l) == (p, k))) / (n[p] + pii.DOUBT) for (p, k), c in admitted.items()}
+            scores = {(v, k): 1 - math.prod(1 - min(trust[q, l], 0.999) for w, q, l in open_ if (w, l) == (v, k)) for v, k in scores}
+        new = {v: max((k for w, k in scores if w == v), key=lambda k: (scores[v, k], -k)) for v, _ in scores if max(scores[v, k] for w, k in scores if w == v) >= 0.7}
+        if not new:
+            break
+        accepted |= new
+    frame = spark.createDataFrame(seen, "kind int, value string, patterns array<string>")
+    got = {r.value: r.kind for r in pii.bootstrap(frame, support=3, accept=0.7).collect()}
+    assert got == accepted and accepted
+
+
+@pytest.mark.parametrize("text, found", [
+    ("call 555 123 4567 now", ["555 123 4567"]), ("(0207) 99-18.", ["(0207) 99-18"]), ("id AB-1234-77, 12 34", ["AB-1234-77", "12 34"]), ("x@y 1 2 3 4 5", ["1 2 3 4 5"]),
+    ("1" * 500, ["1" * 500]), ("4 55 x", []), ("a@bcd e", ["a@bcd"]), ("12a 3456", []), ("99991234x", ["99991234x"]),
+])
+def test_candidates(text, found):
+    assert [text[a:b] for a, b in pii._candidates(text, [])] == found
+
+
 # toxicity
 
 
