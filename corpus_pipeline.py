@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import decontaminate, packing, pii, simhash, toxicity
 from docloom.llm.columns import few_texts_at_once
 from docloom.llm.queries import table
-from docloom.plans.stored import stored
+from docloom.session import drop_folder, work_folder, work_scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +56,18 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenising, fitting and hashing whole texts has no SQL form; tests hold the rows against a brute-force version.
+#: Tokenising, fitting and hashing whole texts has no SQL form; tests/llm holds the rows against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order. What a stage stores on its way goes when it is written, its input when the next one is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = work_folder(spark, name)
+        with work_scope(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            drop_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
