@@ -1,16 +1,16 @@
 """Licence scans by a positional index of rare words.
 
-Licence templates are short runs of words. Their index lists for every word where in which
+Licence templates are runs of words, notices and whole licence texts. Their index lists for every word where in which
 template it stands. Document frequencies over the whole corpus tell which licence words
-are rare; each file looks up the rarest ones of every template whose mandatory phrase it
-holds. A posting and a place in the file give
+are rare; each file looks up the rarest ones it has of every template that it has enough words of
+to match at all. A posting and a place in the file give
 the place where the template would begin; postings that agree on it are counted, and a
-template is taken if enough of its looked-up words agree and its mandatory phrase
+template is taken if enough of its looked-up words agree and, checked last, its mandatory phrase
 stands in the file.
 
 Base labels come from three fixed phrases and always stay. Everything is DataFrame
-functions: one scan counts word frequencies, one reduces each file to its licence words
-and their places, and the rest runs on that small stored table.
+functions: one scan counts word frequencies, one finds the licence words each file has and keeps
+the words of files that may hold a template, and the rest runs on that small stored table.
 
 Defined results: a null or empty text has no words, no places and score 0; repeated rows
 are scanned each (rows are told apart by a number of their own in the stored table).
@@ -18,7 +18,7 @@ are scanned each (rows are told apart by a number of their own in the stored tab
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-#: label: (words of the notice, mandatory phrase).
+#: Fixed values. label: (words of the notice or text, mandatory phrase).
 TEMPLATES = {
     "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
@@ -47,10 +47,37 @@ TEMPLATES = {
     "mit-notice": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     "mpl-2.0": ("subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to "
+        "in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "unless required by applicable law",
+    ),
+    "gpl-3.0-header": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version this program is "
+        "distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability "
+        "or fitness for a particular purpose see the gnu general public license for more details",
+        "published by the free software foundation",
+    ),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+        "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+        "to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the software",
+        "to deal in the software without restriction",
+    ),
 }
 
 #: Words of templates that ordinary English is full of; they are not indexed.
-COMMON = frozenset("a and any are in into is of or the this to under use with without work".split())
+COMMON = frozenset(
+    (
+        "a all an and any are as at be by can do either even for http if in into is it may more not of on or org see so that the this to under "
+        "use whom will with without work writing www you your"
+    ).split()
+)
 
 #: Rarest words of a template that a file looks up for it.
 LOOKUPS = 8
@@ -58,12 +85,6 @@ LOOKUPS = 8
 AGREE = 0.6
 
 
-def _phrase_regex(phrase: str) -> str:
-    letter = WORD_REGEX[:-1]
-    gap = "[" + letter[2:] + "+"
-    return f"(?i)(?<!{letter})" + gap.join(map(re.escape, phrase.split())) + f"(?!{letter})"
-
-
 def _words(text: str) -> Column:
     """Lower-cased words; only A-Z are lowered, so two letters that full lower-casing turns into ASCII are kept out of it."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -98,11 +119,17 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _holds(words: Column, phrase: str) -> Column:
+    return F.size(_places(words, phrase)) > 0
+
+
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, str]] = TEMPLATES, base: Mapping[str, str] = BASE) -> DataFrame:
     """One row per row of ``docs`` with base places, labels and the method's matches."""
     spark = docs.sparkSession
     index = postings(spark, templates)
-    indexed = sorted({w for notice, _ in templates.values() for w in notice.split()} - COMMON)
+    own = {label: [w for w in notice.split() if w not in COMMON] for label, (notice, _) in templates.items()}
+    indexed = sorted(set().union(*own.values()))
+    phrases = sorted({w for phrase in base for w in phrase.split()} - set(indexed))
 
     # document frequencies over the whole corpus; at most one row per indexed word comes back
     present = F.array_intersect(_words("text"), _array(indexed))
@@ -110,41 +137,48 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, str]] = TEMPLATES,
     rarest = sorted(indexed, key=lambda w: (seen.get(w, 0), w))
 
     none = F.expr("CAST(array() AS array<int>)")
-    read = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), _words("text").alias("words"))
-    # of each template whose mandatory phrase is in the file, the rarest words that the file has
-    verified = []
-    for label, (notice, must) in templates.items():
-        own = [w for w in rarest if w in notice.split()]
-        rare = F.slice(F.array_intersect(_array(own), "words"), 1, LOOKUPS).alias("rare")
-        verified.append(F.when(F.col("text").rlike(_phrase_regex(must)), F.struct(F.lit(label).alias("template"), rare)))
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-
-    def with_spots(found: Column) -> Column:
-        spots = F.filter(numbered, lambda s: F.exists(found, lambda v: F.array_contains(v["rare"], s["word"])))
-        return F.struct(found.alias("verified"), F.when(F.size(found) > 0, spots).alias("spots"))
-
-    # one lambda variable and one stored column, so that Spark matches the phrases once a file
-    some = F.size(F.array_intersect(_array(rarest), "words")) > 0
-    looked = F.when(some, F.get(F.transform(F.array(F.array_compact(F.array(*verified))), with_spots), F.lit(0)))
-    phrases = {label: F.when(F.col("text").rlike(_phrase_regex(p)), _places(F.col("words"), p)) for p, label in base.items()}
-    reduced = read.select(
+    read = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _words("text").alias("words"))
+    read = read.withColumn("present", F.array_intersect(_array([*rarest, *phrases]), "words"))
+    # a template needs so many of its words in a file at least, however they stand
+    hopeful = []
+    for label, words in own.items():
+        least = math.ceil(AGREE * min(LOOKUPS, len(words))) - (len(words) - len(set(words)))
+        hopeful.append(F.when(F.size(F.array_intersect(_array(sorted(set(words))), "present")) >= least, F.lit(label)))
+    told = read.withColumn("hopeful", F.array_compact(F.array(*hopeful)))
+    bases = {
+        label: F.when(F.size(F.array_intersect(_array(sorted(set(p.split()))), "present")) == len(set(p.split())), _places(F.col("words"), p))
+        for p, label in base.items()
+    }
+    reduced = told.select(
         "row",
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
-        *[F.coalesce(places, none).alias(f"base_{label}") for label, places in phrases.items()],
-        looked.alias("looked"),
+        *[F.coalesce(places, none).alias(f"base_{label}") for label, places in bases.items()],
+        F.when(F.size("hopeful") > 0, F.struct("hopeful", "present", "words")).alias("looked"),
     )
     files = stored(reduced, "licenses")
 
+    # of each template the rarest words that the file has, and where they stand
+    open_files = files.where("looked IS NOT NULL").select("row", "looked.*")
+    rare = F.lit(None)
+    for label, words in own.items():
+        ordered = _array([w for w in rarest if w in words])
+        rare = F.when(F.col("template") == label, F.slice(F.array_intersect(ordered, "present"), 1, LOOKUPS)).otherwise(rare)
+    asked = open_files.select("row", "words", "present", F.explode("hopeful").alias("template")).select("row", "words", "template", rare.alias("rare"))
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word")))
+    spots = asked.select("row", "template", F.explode(F.filter(numbered, lambda s: F.array_contains("rare", s["word"]))).alias("s"))
+
     # postings that agree on where their template begins
-    spot = files.where("size(looked.verified) > 0").select("row", "looked.verified", F.explode("looked.spots").alias("s")).select("row", "verified", "s.*")
-    looked_up = F.exists("verified", lambda v: (v["template"] == F.col("template")) & F.array_contains(v["rare"], F.col("word")))
-    met = spot.withColumnRenamed("at", "place").join(F.broadcast(index), "word").where(looked_up)
+    met = spots.select("row", "template", "s.*").join(F.broadcast(index), ["word", "template"])
     begins = met.groupBy("row", "template", "indexed", (F.col("place") - F.col("at")).alias("begin"))
     agreed = begins.agg(F.count_distinct("at").alias("n")).withColumn("share", F.least(F.lit(1.0), F.col("n") / F.col("indexed")))
-    taken = agreed.where(F.col("share") >= AGREE).groupBy("row").agg(
-        F.collect_set("template").alias("found"), F.max("share").alias("share")
-    )
+    agreed = agreed.where(F.col("share") >= AGREE).groupBy("row", "template").agg(F.max("share").alias("share"))
+    # last the mandatory phrase, in the few files that are left
+    verified = F.lit(False)
+    for label, (_, must) in templates.items():
+        verified = F.when(F.col("template") == label, _holds(F.col("words"), must)).otherwise(verified)
+    sure = agreed.join(open_files.select("row", "words"), "row").where(verified)
+    taken = sure.groupBy("row").agg(F.collect_set("template").alias("found"), F.max("share").alias("share"))
     return files.join(taken, "row", "left").drop("looked", "row")
 
 

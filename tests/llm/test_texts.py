@@ -334,6 +334,38 @@ def test_licenses(spark):
     assert licenses.digest(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_own_labels_equal_plain_python(spark):
+    rng = np.random.default_rng(11)
+    notices, rows = [n.split() for n, _ in licenses.TEMPLATES.values()], []
+    for d in range(150):  # notices with words lost, changed or moved
+        words = [f"w{x}" for x in rng.integers(0, 50, 20)]
+        for k in rng.integers(0, len(notices), int(rng.integers(1, 4))):
+            part = [w if rng.random() > 0.04 * (d % 8) else "x" for w in notices[k] if rng.random() > 0.01 * (d % 5)]
+            words += part + [f"w{x}" for x in rng.integers(0, 50, 5)]
+        rows.append((d, " ".join(words)))
+    files = {d: [w.decode() for w in letter_words(t)] for d, t in rows}
+    own = {label: [(w, i) for i, w in enumerate(n.split()) if w not in licenses.COMMON] for label, (n, _) in licenses.TEMPLATES.items()}
+    df = Counter(w for words in files.values() for w in set(words))
+    expected = {}
+    for d, words in files.items():
+        found = set()
+        for label, places in own.items():
+            rare = sorted({w for w, _ in places} & set(words), key=lambda w: (df[w], w))[: licenses.LOOKUPS]
+            agree: dict = {}
+            for word, at in places:
+                for i in range(len(words) if word in rare else 0):
+                    if words[i] == word:
+                        agree.setdefault(i - at, set()).add(at)
+            share = min(1.0, max(map(len, agree.values()), default=0) / min(licenses.LOOKUPS, len(places)))
+            must = licenses.TEMPLATES[label][1].split()
+            if share >= licenses.AGREE and any(words[i : i + len(must)] == must for i in range(len(words))):
+                found.add(label)
+        expected[d] = found
+    got = {r.doc_id: set(r.found or []) for r in licenses.scan(_docs(spark, rows)).collect()}
+    assert got == expected
+    assert 100 < sum(map(len, expected.values())) and len(set().union(*expected.values())) == len(own)
+
+
 def test_licenses_of_files_with_several_notices(spark):
     notices = [n for n, _ in licenses.TEMPLATES.values()]
     words = sorted({w for n in notices for w in n.split()})
