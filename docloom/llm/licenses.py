@@ -93,11 +93,17 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), "[" + WORD_REGEX[2:-1] + "+"), "")
 
 
+def indexed_words(notice: str) -> list[tuple[str, int]]:
+    """(word, place) of what is indexed of a template: uncommon words that stand in it once."""
+    words = notice.split()
+    return [(w, i) for i, w in enumerate(words) if w not in COMMON and words.count(w) == 1]
+
+
 def postings(spark, templates: Mapping[str, tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(word, template, at, indexed): where indexed words stand, and how many are looked up."""
     rows = []
     for label, (notice, _) in templates.items():
-        places = [(w, i) for i, w in enumerate(notice.split()) if w not in COMMON]
+        places = indexed_words(notice)
         rows += [(w, label, i, min(LOOKUPS, len(places))) for w, i in places]
     return spark.createDataFrame(rows, "word string, template string, at int, indexed int")
 
@@ -127,7 +133,7 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, str]] = TEMPLATES,
     """One row per row of ``docs`` with base places, labels and the method's matches."""
     spark = docs.sparkSession
     index = postings(spark, templates)
-    own = {label: [w for w in notice.split() if w not in COMMON] for label, (notice, _) in templates.items()}
+    own = {label: [w for w, _ in indexed_words(notice)] for label, (notice, _) in templates.items()}
     indexed = sorted(set().union(*own.values()))
     phrases = sorted({w for phrase in base for w in phrase.split()} - set(indexed))
 
@@ -142,8 +148,8 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, str]] = TEMPLATES,
     # a template needs so many of its words in a file at least, however they stand
     hopeful = []
     for label, words in own.items():
-        least = math.ceil(AGREE * min(LOOKUPS, len(words))) - (len(words) - len(set(words)))
-        hopeful.append(F.when(F.size(F.array_intersect(_array(sorted(set(words))), "present")) >= least, F.lit(label)))
+        least = math.ceil(AGREE * min(LOOKUPS, len(words)))
+        hopeful.append(F.when(F.size(F.array_intersect(_array(words), "present")) >= least, F.lit(label)))
     told = read.withColumn("hopeful", F.array_compact(F.array(*hopeful)))
     bases = {
         label: F.when(F.size(F.array_intersect(_array(sorted(set(p.split()))), "present")) == len(set(p.split())), _places(F.col("words"), p))
