@@ -316,8 +316,8 @@ def extract_sound(
 def quarantine_docs(
     elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Elements of the sound documents, and the rejected documents."""
-    rejected = rejected_docs(elements, doc, segment_rows)
+    """Elements of the sound documents, and the rejected documents, stored as both results read them."""
+    rejected = stored(rejected_docs(elements, doc, segment_rows), "rejected")
     return elements.join(rejected, doc, "left_anti"), rejected
 
 
