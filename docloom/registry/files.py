@@ -28,25 +28,33 @@ def _doc_of(path: str) -> Column:
     return F.regexp_extract(path, r"doc=([0-9]+)", 1).cast("bigint")
 
 
+def _packed(docs, spark: SparkSession, label: str) -> str:
+    """Documents (application, doc, content) packed below a fresh folder, at the paths a file for each would have."""
+    named = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    path = F.concat(F.lit("application="), named("application"), F.lit("/doc="), named("doc"), F.lit("/part-0.txt"))
+    folder = work_folder(spark, label)
+    sinks.write_packed_docs(docs.select(path.alias("path"), F.concat("content", F.lit("\n")).alias("content")), folder)
+    return folder
+
+
 def _element_files(spark: SparkSession, d: str) -> str:
-    """Every document as one JSON array file below its application folder."""
+    """Every document as one JSON array at a path below its application folder."""
     element = F.struct(
         "idx", "type", "text", F.struct("page_number", "text_as_html").alias("metadata")
     )
     docs = elements(spark, d).groupBy(F.col("source").alias("application"), F.col("doc_id").alias("doc")).agg(
         F.to_json(F.sort_array(F.collect_list(element))).alias("content")
     )
-    folder = work_folder(spark, "elements")
-    docs.repartition("doc").write.partitionBy("application", "doc").text(folder)
-    return folder
+    return _packed(docs, spark, "elements")
 
 
 def _text_files(spark: SparkSession, d: str) -> str:
-    folder = work_folder(spark, "texts")
-    documents(spark, d).select(F.col("source").alias("application"), F.col("doc_id").alias("doc"), "text").repartition(
-        "doc"
-    ).write.partitionBy("application", "doc").text(folder)
-    return folder
+    """Every document's text at a path below its application folder; rows of one document follow each other."""
+    lines = F.collect_list(F.coalesce("text", F.lit("")))
+    docs = documents(spark, d).groupBy(F.col("source").alias("application"), F.col("doc_id").alias("doc")).agg(
+        F.array_join(lines, "\n").alias("content")
+    )
+    return _packed(docs, spark, "texts")
 
 
 def read_element_docs(spark, d):

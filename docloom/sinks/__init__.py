@@ -12,5 +12,6 @@ from docloom.sinks.tables import (  # noqa: F401
     write_item_files,
     write_items,
     write_jsonl,
+    write_packed_docs,
     write_report_csv,
 )

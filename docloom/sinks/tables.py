@@ -14,6 +14,7 @@ from docloom.plans.bloom import MOST_KEYS, bloom_filter, may_hold
 from docloom.plans.segments import carry_in
 from docloom.plans.stored import stored
 from docloom.session import folder_exists, work_scope
+from docloom.sources.documents import PACKED
 
 #: Positions of a document that one line of packed items holds.
 SEGMENT_ITEMS = 10_000
@@ -125,6 +126,14 @@ def write_item_files(items: DataFrame, folder: str, application: str = "applicat
     docs.hint("rebalance", application).write.mode("overwrite").partitionBy(application, document).text(folder)
 
 
+def write_packed_docs(docs: DataFrame, folder: str, path: str = "path", content: str = "content") -> None:
+    """Documents packed into few files, each with its path below ``folder``; the document sources read them as files.
+
+    A file and a folder per document cost the file system some calls each, which is most of the time with many small ones.
+    """
+    docs.select(F.col(path).alias("path"), F.col(content).alias("content")).write.mode("overwrite").parquet(f"{folder}/{PACKED}")
+
+
 def write_jsonl(df: DataFrame, folder: str) -> None:
     """One JSON object per line, characters and nulls kept as they are."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)

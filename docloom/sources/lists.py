@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import schemas
 from docloom.functions.text import strip
+from docloom.sources.documents import whole_files
 
 
 def read_token_jsonl(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
@@ -30,16 +31,9 @@ def read_ordered_lines(spark: SparkSession, path: str, glob: str = "*") -> DataF
     The file is read whole because line order is only certain inside one row. A
     newline at the end of the file does not open another line.
     """
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.posexplode(F.split(body, r"\r?\n")).alias("at", "line"),
-        )
-        .select("file", (F.col("at") + 1).cast("bigint").alias("ordinal"), "line")
+    at_line = F.posexplode(F.split(F.regexp_replace("content", r"\r?\n\z", ""), r"\r?\n")).alias("at", "line")
+    return whole_files(spark, path, glob).select(F.col("doc_path").alias("file"), at_line).select(
+        "file", (F.col("at") + 1).cast("bigint").alias("ordinal"), "line"
     )
 
 
