@@ -15,6 +15,8 @@ document) and ``page_present`` (false when the page key is absent).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,8 +234,8 @@ def annotate_elements(
     )
 
 
-def items_from_annotated(annotated: DataFrame, doc: str = "doc_path") -> DataFrame:
-    """One row per item in document order: checkbox, image or text."""
+def items_from_annotated(annotated: DataFrame, doc: str = "doc_path", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per item in document order: checkbox, image or text; with the columns ``keep`` of its element."""
     kind = """CASE WHEN answers THEN 'checkbox'
         WHEN is_title THEN CASE WHEN text <> '' THEN 'text' END
         WHEN type = 'Image' THEN 'image'
@@ -253,14 +255,15 @@ def items_from_annotated(annotated: DataFrame, doc: str = "doc_path") -> DataFra
             " END AS value_bool",
             "section",
             "page_number",
+            *[f"`{c}`" for c in keep],
         )
     )
 
 
 def extract_items(
-    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS
+    elements: DataFrame, doc: str = "doc_path", segment_rows: int = SEGMENT_ROWS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    return items_from_annotated(annotate_elements(elements, doc, segment_rows), doc)
+    return items_from_annotated(annotate_elements(elements, doc, segment_rows), doc, keep)
 
 
 _FLAGS = ("null_text", "null_html", "malformed")

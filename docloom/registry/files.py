@@ -6,11 +6,12 @@ wrote through the source under test, and so has to return the driver table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import sinks, sources
 from docloom.operators import chunks as C
+from docloom.operators import extract as X
 from docloom.plans.stored import stored
 from docloom.registry import sql
 from docloom.registry.evaluation import hosted_records, hosted_sql, local_records, n_words
@@ -64,11 +65,19 @@ def read_element_docs(spark, d):
     )
 
 
+def _applied_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items with their document's application, which rides along where an id is one document; else items meet all of its rows."""
+    apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
+    if apps.groupBy("doc_id").count().where("count > 1").isEmpty():
+        carried = X.extract_items(elements(spark, d), "doc_id", keep=["source"])
+        return carried.where("doc_id IS NOT NULL").withColumnRenamed("source", "application")
+    return items(spark, d).join(apps, "doc_id")
+
+
 def read_item_docs(spark, d):
     """Items written by the item sink, read back with their two-typed value and the keys each kind has."""
-    apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "items")
-    sinks.write_items(items(spark, d).join(apps, "doc_id").withColumnRenamed("doc_id", "document"), folder)
+    sinks.write_items(_applied_items(spark, d).withColumnRenamed("doc_id", "document"), folder)
     read = sources.read_item_docs(spark, folder)
     return read.select(
         sources.path_parts(F.col("doc_path"))["filename"].cast("bigint").alias("doc_id"),
@@ -132,9 +141,8 @@ def save_dataset(spark, d):
 
 def write_items(spark, d):
     """Every packed document: its key, its application and how many items of which kinds it holds."""
-    apps = documents(spark, d).select("doc_id", F.col("source").alias("application"))
     folder = work_folder(spark, "written")
-    rows = items(spark, d).join(apps, "doc_id").withColumn("document", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf.json")))
+    rows = _applied_items(spark, d).withColumn("document", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf.json")))
     sinks.write_items(rows, folder, segment_items=20)
     read = sources.read_item_docs(spark, folder)
     name, application = (sources.path_parts(F.col("doc_path"))[c] for c in ("filename", "application"))
