@@ -260,3 +260,15 @@ def test_attach_outputs(spark):
     assert got == [(1, "q1", "a1", 0.5), (2, "q2", None, None)]
     with pytest.raises(Exception, match="more than one output"):
         Q.attach_outputs(asked, told.union(told), ["id"]).collect()
+
+
+def test_readability_tries_patterns_once_a_row(spark):
+    texts = ["One two three. No! a - b -- c... d", " x　y\x1cz.?", "... ?! --", "", None, "é_1 ß² ٣ . . a b", "a -b- c d!e f g"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = S.readability(df, "t")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spoken = lambda t: [w for w in t.split() if re.search(r"\w", w)]
+    for r in out.collect():
+        if r.t is not None:
+            long = sum(len(spoken(p)) >= 3 for p in re.split("[.!?]+", r.t))
+            assert (r.word_count, r.char_count, r.sentence_count) == (len(spoken(r.t)), len("".join(r.t.split())), max(long, 1))

@@ -152,3 +152,27 @@ def test_parse_tells_absent_from_null(spark):
     assert rejected == {"no metadata", "no type", "numeric text", "object", "strings", "broken"}
     sound, _ = X.quarantine_docs(parsed)
     assert {r.doc_path for r in X.extract_items(sound).collect()} == {"absent page", "null page"}
+
+
+def test_rejected_documents_are_found_once(spark):
+    rows = [("a", 0, "Title", "T", "", 1, False), ("b", 0, "Text", "x", "", 1, False), ("b", 1, "Text", "x", BOX, 1, True), ("b", 2, "Text", None, "", 1, True)]
+    sound, rejected = X.quarantine_docs(spark.createDataFrame(rows, SCHEMA), "doc")
+    for found in (sound, rejected):
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc for r in sound.collect()}.isdisjoint(r.doc for r in rejected.collect())
+
+
+def test_sentences_are_counted_before_they_are_exploded(spark, tmp_path):
+    from docloom.registry.tables import elements
+
+    texts = [(1, "a. b. c", "s"), (2, "a", "s"), (3, None, "s"), (4, "", "s")]
+    spark.createDataFrame(texts, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = elements(spark, str(tmp_path))
+    assert "replace(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.doc_id, r.n_elements) for r in made.collect()} == {(1, 5), (2, 1), (4, 1)}
+
+
+def test_items_keep_columns_of_their_elements(spark):
+    rows = [("a", 0, "Text", "x", "", 1, False, "app")]
+    items = X.extract_items(spark.createDataFrame(rows, SCHEMA + ", source string"), "doc", keep=["source"])
+    assert [(r.value_text, r.source) for r in items.collect()] == [("x", "app")]

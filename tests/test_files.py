@@ -295,3 +295,39 @@ def test_appends_meet_only_possible_hits(spark, tmp_path, monkeypatch):
     sinks.upsert_chunks(chunks(5000, 5200, "three"), path)
     assert spark.read.parquet(path).count() == 5200
     assert not list(pathlib.Path(_work_root(spark)).glob("upsert-*"))
+
+
+def test_packed_documents_are_read_as_files(spark, tmp_path):
+    element = {"type": "NarrativeText", "text": "x", "metadata": {"page_number": 1, "text_as_html": ""}}
+    texts = {"a/1.json": json.dumps([element] * 3), "a/2.json": "[]", "b/3.json": "no JSON", "b/4.md": "one\r\ntwo\n\nlast\n", "b/5.md": " \n"}
+    for name, text in texts.items():
+        write(tmp_path / "files" / name, text)
+    folder = str(tmp_path / "one")
+    sinks.write_packed_docs(spark.createDataFrame(list(texts.items()), "path string, content string"), folder)
+    assert len(list((tmp_path / "one" / "packed").glob("part-*"))) <= 4
+
+    def seen(df, where):
+        return sorted(str({**r.asDict(), df.columns[0]: r[0].split(where)[1]}) for r in df.collect())
+
+    for read, glob in ((sources.read_element_docs, "*.json"), (sources.read_markdown_docs, "*.md"), (sources.read_ordered_lines, "*.md"), (sources.read_item_docs, "*.json")):
+        assert seen(read(spark, folder, glob), "/one/") == seen(read(spark, str(tmp_path / "files"), glob), "/files/")
+
+    out = str(tmp_path / "out")
+    for again in ("first", "second"):  # the manifest knows packed documents, too
+        stream_ingest_docs(spark, folder, out, str(tmp_path / again)).awaitTermination()
+        assert spark.read.parquet(f"{out}/items").count() == 3
+        assert spark.read.parquet(f"{out}/manifest").count() == 3
+    assert [r.doc_path for r in spark.read.parquet(f"{out}/rejected").collect()] == [f"{folder}/b/3.json"]
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (1, 1)])
+def test_applications_ride_along_with_items(spark, tmp_path, ids):
+    from docloom.registry import files
+
+    rows = [(ids[0], "a. b?", "s"), (ids[1], "c. d", "t")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = files._applied_items(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("(doc_id" in plan.split("Join Inner")[-1]) if ids[0] == ids[1] else "Join Inner" not in plan
+    n = files.items(spark, str(tmp_path)).count()
+    assert found.count() == (n if ids[0] != ids[1] else 2 * n)

@@ -103,3 +103,14 @@ def test_malformed_token_lines_are_not_lost_silently(spark):
     with pytest.raises(Exception, match="malformed token line"):
         D.make_dataset(rows, "g").collect()
     assert D.make_dataset(rows, "g", skip_malformed=True).count() == 3
+
+
+def test_known_words_are_no_rows(spark):
+    texts = [(1, "a b a c"), (2, None), (3, "  \x1c"), (4, "zz a b"), (5, "a c"), (5, "zz b")]
+    lines = spark.createDataFrame(texts, "id bigint, input string")
+    vocab = spark.createDataFrame([("a", 3, 4), ("b", 2, 5), ("c", 1, 6)], "word string, n bigint, token_id bigint")
+    out = K.encode_tokens(lines, vocab, ["id"], head_words=1)
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.input_ids for r in out.collect()} == {
+        1: [2, 4, 5, 4, 6, 1], 2: [2, 1], 3: [2, 1], 4: [2, 3, 4, 5, 1], 5: [2, 3, 4, 5, 6, 1]
+    }
