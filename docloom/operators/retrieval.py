@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions.metrics import dot, norm, squared_l2
 from docloom.functions.prompts import build_prompt, parse_rank_score
 from docloom.operators import sketches
+from docloom.operators.nearest import nearest, pairs_within
 from docloom.plans.stored import stored
 
 # Hits kept by distance; chunks kept after reranking per model flavour.
@@ -56,12 +57,15 @@ def knn_join(
     application with a third of all chunks is many tasks, and no side has to be
     broadcast; Spark still does so where the queries are few. There are as many shards
     as the number of chunks asks for. Vectors travel as they are stored; null ones take no part.
+    All queries with all chunks by ``l2`` meet in cells, as matrices (``nearest``).
     """
     queries, chunks = (side.where("embedding IS NOT NULL") for side in (queries, chunks))
-    if shards is None:
-        shards = max(1, -(-chunks.count() // SHARD_ROWS))
     if scope not in ("application", "global"):
         raise ValueError(f"unknown scope {scope!r}")
+    if scope == "global" and metric == "l2":
+        return _top(nearest(queries, chunks, k, shards), k)
+    if shards is None:
+        shards = max(1, -(-chunks.count() // SHARD_ROWS))
     on = ["shard", "application"] if scope == "application" else ["shard"]
     with_norm = metric == "cosine"
     asked = queries.select(
@@ -83,35 +87,46 @@ def knn_join(
 
 
 def knn_lsh(
-    queries: DataFrame, chunks: DataFrame, k: int = N_HITS, seed: int = 7, near: DataFrame | None = None
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = N_HITS,
+    seed: int = 7,
+    near: DataFrame | None = None,
+    tuning: sketches.Tuning | None = None,
 ) -> DataFrame:
     """Approximate l2 search over all chunks: candidates by hashing, exact distances.
 
-    ``candidates`` names the pairs worth comparing (``near``, if they are at hand); only these meet the vectors. A query with
+    ``candidates`` names the pairs worth comparing (``near``, if they are at hand); only these meet the vectors. Without
+    buckets they are a share of all pairs, so they are ranked where their sketches meet. A query with
     fewer than k of them is searched exactly, so every query gets its k hits. Vectors that
     are null take no part.
     """
     asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
     held = chunks.select("chunk_id", "embedding").where("embedding IS NOT NULL")
-    near = candidates(asked, held, k, seed) if near is None else near
-    pairs = near.join(asked.withColumnRenamed("embedding", "query_vec"), "query_id")
-    pairs = pairs.join(held.withColumnRenamed("embedding", "chunk_vec"), "chunk_id")
-    top = stored(_top(pairs.select("query_id", "chunk_id", _distance("l2").alias("distance")), k), "nearest")
+    if near is None and tuning is None:
+        tuning = tuned(asked, held, k, seed)
+    if near is None and tuning.setting and not tuning.setting.probes:
+        top = nearest(asked, held, k, allowed=tuning.allowed(asked.sparkSession))
+    else:
+        near = candidates(asked, held, k, seed, tuning) if near is None else near
+        pairs = near.join(asked.withColumnRenamed("embedding", "query_vec"), "query_id")
+        pairs = pairs.join(held.withColumnRenamed("embedding", "chunk_vec"), "chunk_id")
+        top = pairs.select("query_id", "chunk_id", _distance("l2").alias("distance"))
+    top = stored(_top(top, k), "nearest")
     served = top.filter(F.col("rank") == k).select("query_id")
     filled = knn_join(asked.join(served, "query_id", "left_anti"), held, k, "l2", "global")
     return top.join(served, "query_id", "left_semi").unionByName(filled)
 
 
-def candidates(asked: DataFrame, held: DataFrame, k: int = N_HITS, seed: int = 7) -> DataFrame:
-    """Distinct (query_id, chunk_id) that hold ``sketches.RECALL`` of the k nearest chunks or more.
+def tuned(asked: DataFrame, held: DataFrame, k: int = N_HITS, seed: int = 7) -> sketches.Tuning:
+    """How ``candidates`` searches these tables.
 
     ``sketches.MEASURED`` queries, a bounded set that does not depend on the partitions, are answered
-    exactly first; they set how many cells are opened and how far sketches may differ. Only ids
-    and sketches go through the buckets. A bucket with very many rows is a skewed join key, which Spark splits.
+    exactly first; they set how many cells are opened and how far sketches may differ.
     """
     asked, held = (side.where("embedding IS NOT NULL") for side in (asked, held))
     if held.isEmpty() or asked.isEmpty():
-        return asked.select("query_id").limit(0).crossJoin(held.select("chunk_id").limit(0))
+        return sketches.Tuning(None, None)
     shape, points = sketches.draw(held, seed)
     some = stored(asked.orderBy(F.xxhash64("embedding"), "query_id").limit(sketches.MEASURED), "measured")
     exact = knn_join(some, held, k, "l2", "global").select("query_id", "chunk_id")
@@ -120,19 +135,28 @@ def candidates(asked: DataFrame, held: DataFrame, k: int = N_HITS, seed: int = 7
     near: dict = {}
     for row in pairs.select("query_id", "query_vec", "embedding").collect():
         near.setdefault(row["query_id"], (np.array(row["query_vec"], float), []))[1].append(row["embedding"])
-    setting = sketches.measure(shape, points, [(q, np.array(vs, float)) for q, vs in near.values()])
+    return sketches.Tuning(shape, sketches.measure(shape, points, [(q, np.array(vs, float)) for q, vs in near.values()]))
+
+
+def candidates(
+    asked: DataFrame, held: DataFrame, k: int = N_HITS, seed: int = 7, tuning: sketches.Tuning | None = None
+) -> DataFrame:
+    """Distinct (query_id, chunk_id) that hold ``sketches.RECALL`` of the k nearest chunks or more.
 
+    ``tuning`` is that of ``tuned``, if it is at hand. Only ids
+    and sketches go through the buckets. A bucket with very many rows is a skewed join key, which Spark splits.
+    """
+    asked, held = (side.where("embedding IS NOT NULL") for side in (asked, held))
+    tuning = tuned(asked, held, k, seed) if tuning is None else tuning
+    shape, setting = tuning.shape, tuning.setting
+    if setting is None:
+        return asked.select("query_id").limit(0).crossJoin(held.select("chunk_id").limit(0))
+    if not setting.probes:
+        return pairs_within(asked, held, tuning.allowed(asked.sparkSession))
     left, right = sketches.sketched(asked, shape, "query_sketch"), sketches.sketched(held, shape, "chunk_sketch")
-    if setting.probes:
-        left, right = sketches.bucketed(left, shape, setting.probes), sketches.bucketed(right, shape)
-        met, again = left.drop("embedding").join(right.drop("embedding"), "bucket"), True
-    else:
-        shards = max(1, -(-held.count() // SHARD_ROWS))
-        left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = right.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"))
-        met, again = left.drop("embedding").join(right.drop("embedding"), "shard"), False
-    close = met.where(sketches.apart("query_sketch", "chunk_sketch") <= setting.apart).select("query_id", "chunk_id")
-    return close.distinct() if again else close
+    left, right = sketches.bucketed(left, shape, setting.probes), sketches.bucketed(right, shape)
+    met = left.drop("embedding").join(right.drop("embedding"), "bucket")
+    return met.where(sketches.apart("query_sketch", "chunk_sketch") <= setting.apart).select("query_id", "chunk_id").distinct()
 
 
 def fetch_by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ into its own cells and into those next to them, nearest cell borders first. A sk
 comparing. How many cells are opened and how far sketches may differ is not fixed: a bounded
 number of queries is answered exactly, and both are raised until that share of their
 neighbours is found. Where vectors have so little structure that the cells to open hold most of the
-table, the buckets are left out and the sketches alone are compared, shard by shard.
+table, the buckets are left out and the sketches alone are compared, cell by cell (``nearest``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -78,6 +78,18 @@ class Setting:
     apart: int  # bits two sketches may differ in
 
 
+@dataclass
+class Tuning:
+    """Projections and setting for two tables; None where one of them is empty."""
+
+    shape: Projections | None
+    setting: Setting | None
+
+    def allowed(self, spark: SparkSession) -> tuple:
+        """What tells pairs worth comparing by their sketches alone."""
+        return spark.sparkContext.broadcast(self.shape), self.setting.apart
+
+
 def draw(held: DataFrame, seed: int) -> tuple[Projections, np.ndarray]:
     """Projections for a bounded sample of the table, which does not depend on its partitions."""
     some = held.orderBy(F.xxhash64("embedding"), "chunk_id").limit(SAMPLE).select("embedding").toArrow()

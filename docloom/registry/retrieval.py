@@ -56,8 +56,11 @@ def knn_lsh(spark, d):
     """Every 20th vector asks for its 20 nearest; against exact search 0.9 of them are found, from a fifth of all pairs."""
     every = stored(chunks(spark, d), "chunks")
     asked = stored(every.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), "asked")
-    near = stored(R.candidates(asked, every.select("chunk_id", "embedding")), "near")
-    found = stored(R.knn_lsh(asked, every, near=near), "found")
+    tuning = R.tuned(asked, every.select("chunk_id", "embedding"))
+    near = R.candidates(asked, every.select("chunk_id", "embedding"), tuning=tuning)
+    by_cells = tuning.setting is not None and tuning.setting.probes is not None
+    near = stored(near, "near") if by_cells else near
+    found = stored(R.knn_lsh(asked, every, near=near if by_cells else None, tuning=tuning), "found")
     exact = R.knn_join(asked, every, scope="global").select("query_id", "chunk_id")
     hit = F.col("hit").isNotNull().cast("double")
     recall = exact.join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left").agg(F.avg(hit)).first()[0]

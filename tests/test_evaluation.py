@@ -89,6 +89,34 @@ def test_lsh_finds_neighbours_without_any_structure(spark):
     assert recall >= 0.9 and share < 0.2
 
 
+def test_nearest_in_cells_is_the_plain_join(spark, monkeypatch):
+    from docloom.operators import nearest as N
+
+    monkeypatch.setattr(N, "QUERIES", 7), monkeypatch.setattr(N, "CHUNKS", 40), monkeypatch.setattr(N, "_MATRIX", 100), monkeypatch.setattr(N, "_GAPS", 50)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(200)]  # many equal distances
+    rows += [(3, [0.5, 0.25, 0.1]), (None, [0.1, 0.2, 0.3]), (300, [1.0, None, 0.0]), (301, [1.0, 2.0]), (302, [math.nan, 0.0, 0.0]), (303, [math.inf, 1.0, 1.0]), (304, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    queries = chunks.selectExpr("chunk_id AS query_id", "embedding").where("query_id IS NULL OR query_id % 20 < 4")
+    pairs = queries.where("embedding IS NOT NULL").withColumnRenamed("embedding", "query_vec").crossJoin(chunks.where("embedding IS NOT NULL").withColumnRenamed("embedding", "chunk_vec"))
+    plain = R._top(pairs.select("query_id", "chunk_id", R._distance("l2").alias("distance")), 20)
+    seen = lambda df: Counter(map(str, df.collect()))
+    assert seen(R.knn_join(queries, chunks, 20, "l2", "global")) == seen(plain)
+
+
+def test_lsh_without_cells_ranks_where_sketches_meet(spark, monkeypatch):
+    points = np.random.default_rng(4).normal(size=(500, 32))
+    chunks = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "chunk_id long, embedding array<float>")
+    queries = chunks.selectExpr("chunk_id AS query_id", "embedding").where("query_id % 20 = 0")
+    tuning = R.tuned(queries, chunks)
+    assert tuning.setting.probes is None
+    near = R.candidates(queries, chunks, tuning=tuning)
+    want = sorted(R.knn_lsh(queries, chunks, near=near).collect())
+    # no pair is a row of its own on the way
+    monkeypatch.setattr(R, "candidates", None)
+    assert sorted(R.knn_lsh(queries, chunks, tuning=tuning).collect()) == want
+
+
 def test_lsh_of_few_null_and_equal_vectors(spark, frames):
     queries, chunks = frames
     exact = {tuple(r) for r in R.knn_join(queries, chunks, 5000, "l2", "global").select("query_id", "chunk_id").collect()}
