@@ -1,6 +1,7 @@
 """Near copies and repeated passages against brute force."""
 
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -191,3 +192,32 @@ def test_every_passage_at_the_least_similarity_is_found(spark, frequent, monkeyp
         tokens = np.concatenate(substring.tokens([" ".join(w) for _, w in rows[::3]]))
         monkeypatch.setattr(substring, "hot", lambda texts: np.unique(tokens))
     assert {r.doc_id: r.class_id for r in substring.digest(docs).collect()} == {k + i: i for k in (0, 100) for i in range(100)}
+
+
+def test_documents_that_share_a_line_alone_are_not_verified(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    line, passage = _words(rng, 20), _words(rng, 60)
+    rows = [(i, _words(rng, 40) + line + _words(rng, 40)) for i in range(30)]
+    rows += [(100 + i, line + passage + _words(rng, 20)) for i in range(3)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    checked, met = substring._checked, []
+
+    def counted(texts, pairs):
+        met.append(pairs.select("doc_id", "leader").distinct().count())
+        return checked(texts, pairs)
+
+    monkeypatch.setattr(substring, "_checked", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in substring.digest(docs).collect()}
+    assert got == {100 + i: (100, 2) for i in range(3)}
+    assert met[0] == 32 and met[1] <= 3  # the smallest document; then 31 * 32 / 2 before
+
+
+def test_tables_that_are_used_up_are_deleted(spark):
+    rng = np.random.default_rng(13)
+    passage = _words(rng, 60)
+    docs = spark.createDataFrame([(i, " ".join(_words(rng, 30) + passage)) for i in range(3)], "doc_id long, text string")
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in root.glob("*/*")}
+    assert substring.digest(docs).count() == 3
+    left = {p.name.partition("-")[0] for p in root.glob("*/*") if p.name not in before}
+    assert "links" in left and not left & {"keys", "check", "open", "windows", "cut", "runs"}
