@@ -4,6 +4,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -221,3 +222,97 @@ def test_tables_that_are_used_up_are_deleted(spark):
     assert substring.digest(docs).count() == 3
     left = {p.name.partition("-")[0] for p in root.glob("*/*") if p.name not in before}
     assert "links" in left and not left & {"keys", "check", "open", "windows", "cut", "runs"}
+
+
+def test_runs_are_compared_once_and_texts_are_not_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    passage = _words(rng, 60)
+    docs = spark.createDataFrame([(i, " ".join(_words(rng, 30) + passage)) for i in range(3)], "doc_id long, text string")
+    plans, stored = defaultdict(list), substring.stored
+
+    def noted(df, label, *path):
+        plans[label].append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, label, *path)
+
+    monkeypatch.setattr(substring, "stored", noted)
+    assert substring.digest(docs).count() == 3
+    assert len(plans["held"]) == 2
+    for plan in plans["held"]:  # not once to choose the pairs and again for their passages
+        assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+    for label in ("shared", "cut", "near"):  # the large side streams past the small one
+        assert plans[label] and all("strategy=shuffle_hash" in plan for plan in plans[label])
+    for plan in plans["cut"]:  # no shuffle of tokens for the rows of an id
+        assert plan.split("MapInArrow")[0].count("Aggregate") == 0 and "Generate" not in plan.split("MapInArrow")[0]
+
+
+def test_keys_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(15)
+    texts = [None, "", "a b c", " ".join(_words(rng, 49)), "x y z w v " * 60, " ".join(_words(rng, 90) * 3)]
+    texts += [" ".join(_words(rng, int(rng.integers(40, 400)), 60 if i % 2 else 4000)) for i in range(20)]
+    hashes = substring.tokens(texts)
+    frequent = np.unique(hashes[5][::7])
+    got = [tuple(x) for part in substring._keys_of(hashes, frequent) for x in zip(*(c.tolist() for c in part))]
+    want = []
+    for i, h in enumerate(hashes):
+        order = (substring._mixed(h * substring._ODD[2]) >> np.uint64(1)) | (np.isin(h, frequent).astype(np.uint64) << np.uint64(63))
+        least = [sorted(order[k : k + substring._RUN].tolist())[substring.KEYS - 1] for k in range(len(h) - substring._RUN + 1)]
+        places = [p for p in range(len(h)) if any(order[p] <= least[k] for k in range(max(0, p - substring._RUN + 1), min(len(least), p + 1)))]
+        seen = set()
+        for p in substring._thinned(h, np.array(places, np.int64)).tolist():
+            around = tuple(h[p + k] if 0 <= p + k < len(h) else 0 for k in range(1 - substring._RUN, substring._RUN))
+            want.append((int(h[p]), i, p, around not in seen))
+            seen.add(around)
+    assert got == want and any(not first for *_, first in got)
+    assert sum(len(p[0]) for p in substring._keys_of([], frequent)) == 0
+
+
+def test_surroundings_and_runs_are_compared_by_their_definitions():
+    rng = np.random.default_rng(16)
+    width, reach = 2 * substring._NEAR + 1, range(substring._NEAR - substring._REACH, substring._NEAR + substring._REACH + 1)
+    near = rng.integers(1, 256, (600, width)).astype(np.uint8)
+    theirs = rng.integers(1, 256, (600, width)).astype(np.uint8)
+    for i in range(600):  # from nothing in common to more than enough, side by side or moved by eight
+        n, by = int(rng.integers(30, 60)), i % 2 * 8
+        theirs[i, 70 + by : 70 + by + n] = near[i, 70 : 70 + n]
+    near[::5, :90], theirs[::7, 150:] = 0, 0
+    want = []
+    for a, b in zip(near.tolist(), theirs.tolist()):
+        common = [a[k] in set(b) - {0} for k in reach]
+        want.append(any(sum(common[k : k + substring._RUN]) >= substring._SHARED for k in range(len(common) - substring._RUN + 1)))
+    sides = [pa.array([x.tobytes() for x in side], pa.binary()) for side in (near, theirs)]
+    assert substring._alike(*sides).tolist() == want and 50 < sum(want) < 550
+    assert substring._alike(*(s.slice(7, 300) for s in sides)).tolist() == want[7:307]
+    assert substring._alike(*(s.slice(0, 0) for s in sides)).tolist() == []
+
+    mine = [rng.integers(0, 400, int(rng.integers(0, 150))).astype(np.uint32) for _ in range(200)]
+    other = [np.concatenate([m[3:], rng.integers(0, 400, 20).astype(np.uint32)]) if i % 2 else rng.integers(0, 400, 90).astype(np.uint32) for i, m in enumerate(mine)]
+
+    def spans(own, there):
+        good = [k for k in range(len(own) - substring._RUN + 1) if sum(x in there for x in own[k : k + substring._RUN]) >= substring._SHARED]
+        out = []
+        for k in good:
+            if out and k <= out[-1][1]:
+                out[-1][1] = k + substring.PASSAGE_WORDS
+            else:
+                out.append([k, k + substring.PASSAGE_WORDS])
+        return out
+
+    both = {i: (spans(m.tolist(), set(o.tolist())), spans(o.tolist(), set(m.tolist()))) for i, (m, o) in enumerate(zip(mine, other))}
+    columns = [pa.array(range(200)), pa.array(range(200)), pa.array([0] * 200, pa.int32()), pa.array([0] * 200, pa.int32())]
+    columns += [pa.array([x.tobytes() for x in side], pa.binary()) for side in (mine, other)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "leader", "at", "from_", "mine", "theirs"])
+    got = [r for out in substring._verified(iter([batch.slice(0, 90), batch.slice(90), batch.slice(0, 0)])) for r in out.to_pylist()]
+    got = {r["doc_id"]: tuple([[s["start"], s["end"]] for s in r[side]] for side in ("mine", "theirs")) for r in got}
+    assert got == {i: x for i, x in both.items() if x[0] and x[1]} and len(got) > 30
+
+
+def test_rows_of_one_id_are_cut_once(spark):
+    rng = np.random.default_rng(17)
+    texts = [" ".join(_words(rng, n)) for n in (80, 60)]
+    docs = spark.createDataFrame([(1, texts[0])] * 3 + [(2, texts[1])], "doc_id long, text string")
+    need = spark.createDataFrame([(1, [(0, 50), (70, 90), (500, 600)]), (2, [(10, 1000)])], "doc_id long, runs array<struct<start: int, end: int>>")
+    half = [(h >> np.uint64(32)).astype(np.uint32) for h in substring.tokens(texts)]
+    rows = substring._cut_out(docs, need).collect()
+    got = {(r.doc_id, r.start, r.end, bytes(r.hashes)) for r in rows}
+    assert got == {(1, 0, 50, half[0][:50].tobytes()), (1, 70, 90, half[0][70:].tobytes()), (1, 500, 600, b""), (2, 10, 1000, half[1][10:].tobytes())}
+    assert len(rows) == 4
