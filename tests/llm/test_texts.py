@@ -269,6 +269,55 @@ def test_language_model(spark, head, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("head", [brown.HEAD, 6])  # 6: all odd words are outside the dictionary
+@pytest.mark.parametrize("rows", [2, 2000])
+def test_words_outside_the_exchange_are_placed_by_their_neighbours(spark, head, rows, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "CLUSTERED", 4)
+    # words of one ending follow "left", those of the other one "right"; the odd ones have the wrong ending
+    kinds = {f"{k}{e}": side for k in range(8) for e, side in (("aa", "left"), ("bb", "right"))}
+    odd = {"odd1aa": "right", "odd2aa": "right", "odd3bb": "left", "odd4bb": "left"}
+    train = [f"{side} {w} stop end" for w, side in [*kinds.items(), *kinds.items(), *odd.items()] for _ in range(10)]
+    texts = [*train, *(f"{side} {w} stop end" for w in odd for side in ("left", "right")), None, "left new1aa stop end"]
+    docs = _docs(spark, list(enumerate(texts)))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        got = {r.doc_id: r.score for r in brown.score(docs, docs.doc_id < len(train)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    for i, side in enumerate(odd.values()):
+        left, right = (got[len(train) + 2 * i + k] for k in (0, 1))
+        assert left > right + 0.1 if side == "left" else right > left + 0.1
+    assert len(got) == len(texts) and all(x < 0 for x in got.values())
+
+
+def test_best_class_is_the_most_probable_one():
+    rng = np.random.default_rng(1)
+    total = 7
+    pairs = rng.integers(50, 500, (total, total)).astype(float)
+    tokens, types = pairs.sum(axis=0), rng.integers(1, 50, total).astype(float)
+    seen = rng.integers(0, 4, (40, 2 * total)).astype(float)
+    seen[:, 0] += np.maximum(0, seen[:, total:].sum(axis=1) - seen[:, :total].sum(axis=1))
+    seen[:, total] += seen[:, :total].sum(axis=1) - seen[:, total:].sum(axis=1)  # as many before as after
+    own = rng.integers(0, total - 1, 40)
+    want = []
+    for w, home in zip(seen, own):
+        before, after, n = w[:total], w[total:], w[:total].sum()
+        value = []
+        for k in range(total - 1):
+            less = n if k == home else 0
+            x = -n * math.log10(tokens[k] - less + 0.5 * (types[k] + 1 - (k == home)))
+            for c in range(total):
+                into, out = pairs[c, k] - before[c] * (k == home), pairs[k, c] - after[c] * (k == home)
+                x += before[c] * math.log10((into + brown.PRIOR * (pairs[:, k].sum() - less + 1) / (pairs.sum() + total)) / (pairs[c].sum() + brown.PRIOR))
+                x += after[c] * math.log10((out + brown.PRIOR * (pairs[:, c].sum() + 1) / (pairs.sum() + total)) / (pairs[k].sum() - less + brown.PRIOR))
+            value.append(x)
+        want.append(int(np.argmax(value)))
+    assert brown.best_classes(seen, own, pairs, tokens, types).tolist() == want and len(set(want)) > 2
+
+
 def test_language_model_is_a_distribution(spark):
     """Over known words, classes and emissions leave only the smoothing's share."""
     docs = _docs(spark, [(0, "a b a b"), (2, "b a c")])
