@@ -266,6 +266,22 @@ def test_keys_of_many_texts_are_those_of_each():
     assert sum(len(p[0]) for p in substring._keys_of([], frequent)) == 0
 
 
+def test_equal_surroundings_are_compared_once(spark):
+    rng = np.random.default_rng(15)
+    width = 2 * substring._NEAR + 1
+    base = rng.integers(1, 256, width, dtype=np.uint8)
+    close = base.copy()
+    close[:3] = 0  # out of reach of the key
+    sides = [base.tobytes(), close.tobytes(), rng.integers(1, 256, width, dtype=np.uint8).tobytes()]
+    # many keys of one hash in three kinds of surroundings; under the second hash none is open with another
+    rows = [(1, i, i % 3, i % 9 != 2) for i in range(90)] + [(2, 200, 0, True), (2, 201, 2, False)]
+    near = spark.createDataFrame([(h, d, k, o, bytearray(sides[k])) for h, d, k, o in rows], "hash long, doc_id long, kind long, open boolean, near binary")
+    got = [tuple(r) for r in substring.alike_kinds(near).collect()]
+    assert sorted(got) == sorted([*((1, a, b) for a in (0, 1) for b in (0, 1)), (1, 2, 2), (2, 0, 0)])
+    met = substring.alike_kinds(near.where("hash = 1"))
+    assert met.count() == 5  # 90 keys would meet in thousands of pairs
+
+
 def test_surroundings_and_runs_are_compared_by_their_definitions():
     rng = np.random.default_rng(16)
     width, reach = 2 * substring._NEAR + 1, range(substring._NEAR - substring._REACH, substring._NEAR + substring._REACH + 1)
